@@ -6,7 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from latticeflow.llm.chat import digests
+from latticeflow.llm.mixing import taken_words
+from latticeflow.llm.neardup import near_duplicates
 from latticeflow.llm.ngram_join import ngram_components
+from latticeflow.llm.packing import pack
+from latticeflow.llm.vptree import nearest
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,7 +23,40 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(_table(spark, sf_dir, "documents"))
 
 
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all conversations, read back from the formatted text, and of one that quotes the format's marks."""
+    text = "\\### Assistant: </turn> ok"
+    quoting = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    return digests(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(quoting))
+
+
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every fiftieth."""
+    rows = _table(spark, sf_dir, "embeddings")
+    return nearest(rows, rows.where("vec_id % 50 = 0"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of each document a mix by source weights takes."""
+    return taken_words(_table(spark, sf_dir, "documents"))
+
+
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings of one label at cosine 0.93."""
+    return near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' pieces in sequences of 1024 tokens."""
+    return pack(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op4_chat_formatting": op4_chat_formatting,
+    "op5_nearest_neighbours": op5_nearest_neighbours,
+    "op7_mixing": op7_mixing,
+    "op8_embedding_near_dedup": op8_embedding_near_dedup,
+    "op10_best_fit_packing": op10_best_fit_packing,
 }
 ORACLES: dict[str, str] = {}

@@ -15,6 +15,9 @@ import pyarrow as pa
 CHUNK_BYTES = 1 << 20
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: Letters: A-Z, a-z and every byte of a character beyond ASCII.
+LETTERS = np.zeros(256, bool)
+LETTERS[65:91] = LETTERS[97:123] = LETTERS[128:] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -59,9 +62,12 @@ class Chunk:
         """A-Z in lower case; every other byte as it is."""
         return Chunk(self.first, _LOWER[self.data], self.offsets)
 
-    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Starts, ends and, per document, bounds of the runs of ``[^\\x20\\x09-\\x0D]``."""
-        solid = ~_BLANK[self.data]
+    def words(self, inside: np.ndarray = ~_BLANK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts, ends and, per document, bounds of the runs of bytes that are ``inside`` a word.
+
+        By default those are the runs of ``[^\\x20\\x09-\\x0D]``.
+        """
+        solid = inside[self.data]
         n = len(solid)
         before = np.empty(n, bool)
         before[1:] = solid[:-1]
