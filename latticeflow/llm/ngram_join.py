@@ -1,18 +1,23 @@
 """Exact Jaccard self-join of documents on word n-gram sets, by signature trees.
 
 1.  One pass over the texts gives each document's set size, a set key (equal sets, equal
-    key), a token bitmap of four bits a token, a few min-hashes and the *prefix*: the
+    key), a token bitmap of a few bits a token, and the *prefix*: the
     ``n - ceil(t n) + 1`` smallest tokens in one global order.  Two sets at or above the
     threshold share a prefix token whatever the order, so lists of classes by prefix token
     hold every link.  The order puts tokens that many documents share last, which keeps
     lists short; it never decides a result.
 2.  Copies (equal sets) become one class, before anything is shuffled by token.
-3.  Star pairs by min-hash are verified first and give provisional components.
-4.  Every list becomes a signature tree: nodes hold the OR of their members' bitmaps, size
-    range, largest bit excess and (if common) provisional component.  A dual traversal
-    drops node pairs whose largest possible overlap misses the threshold or that lie in one
-    component.  Lists longer than a block are traversed by pairs of blocks.
-5.  What is left is verified on the sets themselves; components follow.
+3.  Lists are bundled by their first member, since the lists of one family share it: a
+    document meets its family once, not once a token.  Every bundle becomes a signature
+    tree: nodes hold the OR of their members' bitmaps, size range, largest bit excess and
+    (if common) provisional component.  A dual traversal drops node pairs whose largest
+    possible overlap misses the threshold or that lie in one component.  Bundles longer
+    than a block are traversed by pairs of blocks.
+4.  Every class is traversed in its largest bundle first.  That yields a spanning forest of
+    the candidates, likeliest first; verified on the sets themselves, it gives provisional
+    components.  The same over all bundles joins what is left, and a last traversal of the
+    bundles with more candidates than a forest holds verifies every one that lies between
+    different components.
 
 Nothing is capped: a hot class, token or group costs blocks, never rows.
 """
@@ -32,7 +37,7 @@ PERCENT = 80
 BLOCK = 1024
 FANOUT = 4
 FILTER_BITS = 25
-SALTS = (np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3))
+SALT = np.uint64(0xA0761D6478BD642F)
 
 
 def _need(n: np.ndarray | int, percent: int):
@@ -41,8 +46,8 @@ def _need(n: np.ndarray | int, percent: int):
 
 
 def bitmap_bytes(n: int) -> int:
-    """Bytes of a bitmap of at least four bits a token: a power of two, 16 at least."""
-    return max(16, 1 << (max(n, 1) * 4 - 1).bit_length() >> 3)
+    """Bytes of a bitmap of at least three bits a token: a power of two, 16 at least."""
+    return max(16, 1 << (max(n, 1) * 3 - 1).bit_length() >> 3)
 
 
 def bitmap(tokens: np.ndarray) -> bytes:
@@ -68,7 +73,7 @@ def _sets(batch: pa.RecordBatch, width: int):
 
 
 def _key(tokens: np.ndarray) -> int:
-    return int(mix(mix(tokens ^ SALTS[0]).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(tokens)))[0].astype(np.int64)) if len(tokens) else 0
+    return int(mix(mix(tokens ^ SALT).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(tokens)))[0].astype(np.int64)) if len(tokens) else 0
 
 
 def _prefix(tokens: np.ndarray, percent: int, common: np.ndarray) -> tuple[np.ndarray, bool]:
@@ -88,7 +93,7 @@ def _describe(width: int, percent: int):
     def run(batches):
         counts: dict[int, int] = {}
         seen, docs = set(), 0
-        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("bits", pa.binary()), ("low", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int64())), ("heavy", pa.list_(pa.int64()))])
+        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("bits", pa.binary()), ("prefix", pa.list_(pa.int64())), ("heavy", pa.list_(pa.int64()))])
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
             out: dict[str, list] = {f: [] for f in schema.names}
@@ -107,7 +112,6 @@ def _describe(width: int, percent: int):
                 out["n"].append(len(tokens))
                 out["key"].append(key)
                 out["bits"].append(bitmap(tokens))
-                out["low"].append([int(mix(tokens ^ s).min().astype(np.int64)) for s in SALTS] if len(tokens) else [])
                 out["prefix"].append(prefix.view(np.int64))
                 out["heavy"].append(None)
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in schema], schema=schema)
@@ -118,7 +122,7 @@ def _describe(width: int, percent: int):
     return run
 
 
-DESCRIBED = "doc_id long, n long, key long, bits binary, low array<long>, prefix array<long>, heavy array<long>"
+DESCRIBED = "doc_id long, n long, key long, bits binary, prefix array<long>, heavy array<long>"
 
 
 def _reordered(width: int, percent: int, common):
@@ -136,48 +140,41 @@ def _reordered(width: int, percent: int, common):
     return run
 
 
-def _lists(block: int):
-    """Runs of equal tokens of a sorted stream as rows of at most ``block`` members; runs of one are left out."""
+def _lists(block: int, percent: int):
+    """Runs of equal tokens of a sorted stream, in rows of at most ``block`` members; runs of one are left out.
 
-    def emit(rows, token, part, keys, sizes):
-        rows.append((token, part, keys, int(sizes[0]), int(sizes[-1]), int(mix(keys.view(np.uint64)).sum(dtype=np.uint64).astype(np.int64))))
+    Members are in the order of their sizes, and a run is cut where the next size is out of
+    reach.  ``hub`` is the first member of what is left.  Lists of one family of documents
+    tend to share it, so that bundling lists by hub brings a family together once rather
+    than once a token.
+    """
 
     def frame(rows):
-        cols = list(zip(*rows)) or [[]] * 6
-        kinds = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], names=["token", "part", "members", "least", "most", "content"])
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int64()))], names=["hub", "members"])
 
     def run(batches):
-        token, keys, sizes, part = None, np.empty(0, np.int64), np.empty(0, np.int64), 0
-
-        def close(rows):
-            nonlocal keys, sizes
-            if len(keys) > 1 or part and len(keys):
-                emit(rows, token, part, keys, sizes)
-
+        token, size, hub, keys, long = None, 0, None, np.empty(0, np.int64), False
         for batch in batches:
-            t = batch.column("token").to_numpy(zero_copy_only=False)
-            k = batch.column("key").to_numpy(zero_copy_only=False)
-            n = batch.column("n").to_numpy(zero_copy_only=False)
+            t, k, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("token", "key", "n"))
             rows: list = []
             if len(t):
-                heads = np.concatenate([[0], np.flatnonzero(t[1:] != t[:-1]) + 1, [len(t)]])
+                heads = np.concatenate([[0], np.flatnonzero((t[1:] != t[:-1]) | (n[:-1] * 100 < n[1:] * percent)) + 1, [len(t)]])
                 spans = np.diff(heads)
                 busy = np.flatnonzero((spans > 1) | (heads[:-1] == 0) | (heads[1:] == len(t)))
                 for i in busy.tolist():
                     a, b = int(heads[i]), int(heads[i + 1])
-                    if token is None or int(t[a]) != token:
-                        close(rows)
-                        token, keys, sizes, part = int(t[a]), k[a:b], n[a:b], 0
+                    if token is None or a or int(t[a]) != token or size * 100 < int(n[a]) * percent:
+                        if len(keys) > 1 or long and len(keys):
+                            rows.append((hub, keys))
+                        token, hub, keys, long = int(t[a]), int(k[a]), k[a:b], False
                     else:
-                        keys, sizes = np.concatenate([keys, k[a:b]]), np.concatenate([sizes, n[a:b]])
+                        keys = np.concatenate([keys, k[a:b]])
+                    size = int(n[b - 1])
                     while len(keys) > block:
-                        emit(rows, token, part, keys[:block], sizes[:block])
-                        keys, sizes, part = keys[block:], sizes[block:], part + 1
+                        rows.append((hub, keys[:block]))
+                        keys, long = keys[block:], True
             yield frame(rows)
-        rows = []
-        close(rows)
-        yield frame(rows)
+        yield frame([(hub, keys)] if len(keys) > 1 or long and len(keys) else [])
 
     return run
 
@@ -200,7 +197,7 @@ class _Tree:
 
 
 def _pairs(left: _Tree, right: _Tree, percent: int, same: bool):
-    """Dual traversal: index pairs of members that may reach the threshold."""
+    """Dual traversal: index pairs of members that may reach the threshold, and their room above it."""
     width = min(left.width, right.width)
 
     def fold(bits):
@@ -211,12 +208,12 @@ def _pairs(left: _Tree, right: _Tree, percent: int, same: bool):
 
     excess_more = (left.width > width, right.width > width)
     depth = max(len(left.levels), len(right.levels)) - 1
-    a, b = np.zeros(1, np.int64), np.zeros(1, np.int64)
+    a, b, room = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0)
     for d in range(depth, -1, -1):
         la, lb = min(d, len(left.levels) - 1), min(d, len(right.levels) - 1)
         A, B = left.levels[la], right.levels[lb]
         bits_a, bits_b = fold(A[0]), fold(B[0])
-        kept_a, kept_b = [], []
+        kept_a, kept_b, kept_room = [], [], []
         step = max(1, (1 << 22) // width)
         for s in range(0, len(a), step):
             x, y = a[s : s + step], b[s : s + step]
@@ -235,9 +232,11 @@ def _pairs(left: _Tree, right: _Tree, percent: int, same: bool):
                 most = np.minimum(np.minimum(both + np.minimum(more_a, more_b), A[2][x]), B[2][y])
                 least = A[1][x] + B[1][y]
             fits = most * (100 + percent) >= least * percent
+            kept_room.append(most[fits] / least[fits])
             kept_a.append(x[fits])
             kept_b.append(y[fits])
         a, b = np.concatenate(kept_a), np.concatenate(kept_b)
+        room = np.concatenate(kept_room or [room])
         if d == 0 or not len(a):
             break
         na, nb = min(d - 1, len(left.levels) - 1), min(d - 1, len(right.levels) - 1)
@@ -249,7 +248,7 @@ def _pairs(left: _Tree, right: _Tree, percent: int, same: bool):
         b = np.repeat(base_b, len(fan_a) * len(fan_b)) + np.tile(fan_b, len(base_b) * len(fan_a))
         inside = (a < len(left.levels[na][0])) & (b < len(right.levels[nb][0]))
         a, b = a[inside], b[inside]
-    return a, b
+    return a, b, room
 
 
 def _tree(keys, sizes, maps, comps):
@@ -262,8 +261,30 @@ def _bands(sizes: np.ndarray, limit: int = 2) -> list[np.ndarray]:
     return [np.flatnonzero(sizes == s) for s in np.unique(sizes)]
 
 
-def _traverse(percent: int):
-    """Candidates of the block pairs of a partition; rows of a block pair come together."""
+def _forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of the pairs join two trees, taken in turn."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            root[x] = x = root.get(up, up)
+        return x
+
+    keep = np.zeros(len(a), bool)
+    for i, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
+        x, y = find(x), find(y)
+        if x != y:
+            root[x] = y
+            keep[i] = True
+    return keep
+
+
+def _traverse(percent: int, forest: bool):
+    """Candidates ``(a, b, job)`` of the block pairs of a partition; rows of a block pair come together.
+
+    With ``forest``, only a spanning forest of them, and a row without ``a`` and ``b`` for
+    each block pair that had more.
+    """
 
     def of(side, keys, sizes, maps, comps):
         found = []
@@ -278,8 +299,8 @@ def _traverse(percent: int):
         else:
             pairs = [(x, y, i == j) for i, x in enumerate(forests[0]) for j, y in enumerate(forests[0]) if i <= j]
         for (kx, x), (ky, y), same in pairs:
-            a, b = _pairs(x, y, percent, same)
-            found.append((kx[a], ky[b]))
+            a, b, room = _pairs(x, y, percent, same)
+            found.append((kx[a], ky[b], room))
         return found
 
     def run(batches):
@@ -293,7 +314,15 @@ def _traverse(percent: int):
             found = of(side, keys, sizes, maps, comps)
             a = np.concatenate([f[0] for f in found] or [np.empty(0, np.int64)])
             b = np.concatenate([f[1] for f in found] or [np.empty(0, np.int64)])
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], names=["a", "b"])
+            extra = 0
+            if forest:
+                order = np.argsort(-np.concatenate([f[2] for f in found] or [np.empty(0)]), kind="stable")
+                a, b = a[order], b[order]
+                keep = _forest(a, b)
+                extra = int(keep.sum() < len(a))
+                a, b = a[keep], b[keep]
+            ends = [pa.array(f(a, b).tolist() + [None] * extra, pa.int64()) for f in (np.minimum, np.maximum)]
+            return pa.RecordBatch.from_arrays([*ends, pa.array([job] * (len(a) + extra), pa.int64())], names=["a", "b", "job"])
 
         for batch in batches:
             jobs = batch.column("job").to_numpy(zero_copy_only=False)
@@ -316,26 +345,6 @@ def _traverse(percent: int):
     return run
 
 
-def _likely(percent: int):
-    """Pairs whose bitmaps allow the threshold."""
-
-    def run(batches):
-        for batch in batches:
-            na, nb = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("na", "nb"))
-            fits = (na * 100 >= nb * percent) & (nb * 100 >= na * percent)
-            for i, (x, y) in enumerate(zip(batch.column("ba").to_pylist(), batch.column("bb").to_pylist())):
-                if fits[i]:
-                    x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
-                    size = min(len(x), len(y))
-                    x, y = folded(x, size), folded(y, size)
-                    both, ones_x, ones_y = (int(np.bitwise_count(v).sum()) for v in (x & y, x, y))
-                    most = min(na[i] - ones_x + both, nb[i] - ones_y + both)
-                    fits[i] = most * (100 + percent) >= (na[i] + nb[i]) * percent
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(fits)) for c in ("a", "b", "na", "nb")], names=["a", "b", "na", "nb"])
-
-    return run
-
-
 def _spot(keys: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return (mix(keys.view(np.uint64) ^ mix(ids.view(np.uint64))) & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
 
@@ -383,11 +392,8 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return found.join(wanted.select("key"), "key", "left_semi").dropDuplicates(["key"])
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs ``(a, b, na, nb)`` that reach the threshold, by their sets."""
-    pairs = staged(pairs, "pairs")
-    wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct().join(classes.select("key", "rep"), "key")
-    sets = staged(_sets_of(docs, wanted, width), "sets")
     met = (
         pairs.join(sets.select(F.col("key").alias("a"), F.col("tokens").alias("ta")), "a")
         .join(sets.select(F.col("key").alias("b"), F.col("tokens").alias("tb")), "b")
@@ -414,49 +420,61 @@ def ngram_classes(documents: DataFrame, width: int = WIDTH, percent: int = PERCE
         heavy = rows.where("size(heavy) > 0").select(F.explode(F.expr("transform(sequence(0, cast(size(heavy) / 2 as int) - 1, 1), i -> struct(heavy[2 * i] as token, heavy[2 * i + 1] as c))")).alias("h"))
         found = heavy.groupBy("h.token").agg(F.sum("h.c").alias("c")).where(F.col("c") >= max(8, total // 1000)).select("token").toPandas()["token"].to_numpy(np.int64)
         common = np.sort(found.view(np.uint64)) if len(found) else common
-    classes = described.groupBy("key").agg(F.min(F.struct("doc_id", "n", "bits", "low", "prefix")).alias("r")).select("key", F.col("r.doc_id").alias("rep"), "r.n", "r.bits", "r.low", "r.prefix")
+    classes = described.groupBy("key").agg(F.min(F.struct("doc_id", "n", "bits", "prefix")).alias("r")).select("key", F.col("r.doc_id").alias("rep"), "r.n", "r.bits", "r.prefix")
     classes = staged(classes, "classes")
     narrow = classes.select("key", "n", "bits")
 
-    def likely(pairs: DataFrame) -> DataFrame:
-        wide = pairs.join(narrow.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba")), "a").join(narrow.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb")), "b")
-        return wide.mapInArrow(_likely(percent), "a long, b long, na long, nb long")
-
-    low = classes.select("key", "n", F.explode("low").alias("m"))
-    hub = low.groupBy("m").agg(F.min(F.struct("n", "key")).alias("hub"), F.count("*").alias("c")).where("c > 1").select("m", F.col("hub.key").alias("hub"))
-    star = low.join(hub, "m").where("key <> hub").select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")).distinct()
-    first = staged(_verified(docs, likely(star), classes, width, percent), "links")
-    early = staged(connected_components(first), "early")
-
     posted = classes.select("key", "n", "prefix")
     if len(common):
         moved = docs.mapInArrow(_reordered(width, percent, spark.sparkContext.broadcast(common)), "key long, moved array<long>").dropDuplicates(["key"])
         posted = posted.join(moved, "key", "left").select("key", "n", F.coalesce("moved", "prefix").alias("prefix"))
     sorted_posts = posted.select("key", "n", F.explode("prefix").alias("token")).repartition("token").sortWithinPartitions("token", "n", "key")
-    lists = staged(sorted_posts.mapInArrow(_lists(block), "token long, part int, members array<long>, least long, most long, content long"), "lists")
-
-    longer = lists.where("part > 0").select("token").distinct()
-    short = lists.join(longer, "token", "left_anti").dropDuplicates(["content"]).select(F.col("content").alias("list"), "part", "members", "least", "most")
-    tall = lists.join(longer, "token", "left_semi").select(F.col("token").alias("list"), "part", "members", "least", "most")
-    blocks = short.unionByName(tall)
-    members = staged(
-        blocks.select("list", "part", "least", "most", F.explode("members").alias("key"))
-        .join(early.select(F.col("node").alias("key"), "component"), "key", "left")
-        .select("list", "part", "least", "most", "key", F.coalesce("component", "key").alias("comp")),
-        "members",
-    )
-    mixed = members.groupBy("list").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("list")
-    parts = members.groupBy("list", "part", "least", "most").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).join(mixed, "list", "left_semi")
-    x, y = parts.alias("x"), parts.alias("y")
-    jobs = x.join(y, F.expr(f"x.list = y.list and x.part <= y.part and x.most * 100 >= y.least * {percent} and not (x.lo = x.hi and y.lo = y.hi and x.lo = y.lo)")).select(
-        F.col("x.list").alias("list"), F.col("x.part").alias("p"), F.col("y.part").alias("q")
-    )
-    sides = jobs.select("list", F.xxhash64("list", "p", "q").alias("job"), F.explode(F.expr("if(p = q, array(struct(p as part, 0 as side)), array(struct(p as part, 0 as side), struct(q as part, 1 as side)))")).alias("s")).select("list", "job", "s.part", "s.side")
-    loaded = sides.join(members.select("list", "part", "key", "comp"), ["list", "part"]).join(narrow, "key").select("job", "side", "key", "n", "comp", "bits")
-    candidates = loaded.repartition("job").sortWithinPartitions("job").mapInArrow(_traverse(percent), "a long, b long").distinct().join(first, ["a", "b"], "left_anti")
-    sized = candidates.join(narrow.select(F.col("key").alias("a"), F.col("n").alias("na")), "a").join(narrow.select(F.col("key").alias("b"), F.col("n").alias("nb")), "b").select("a", "b", "na", "nb")
-    second = _verified(docs, sized, classes, width, percent)
-    components = staged(connected_components(first.unionByName(second)), "components")
+    lists = staged(sorted_posts.mapInArrow(_lists(block, percent), "hub long, members array<long>"), "lists")
+    bundled = staged(lists.select("hub", F.explode("members").alias("key")).distinct(), "bundled")
+    blocks = bundled.groupBy("hub").agg((F.floor(F.count("*") / block) + 1).alias("blocks"))
+    members = bundled.join(blocks, "hub").select("hub", "key", F.pmod(F.xxhash64("key"), "blocks").cast("int").alias("part"))
+    members = staged(members.join(narrow, "key").select("hub", "key", "part", "n"), "members")
+
+    largest = bundled.join(bundled.groupBy("hub").agg(F.count("*").alias("c")), "hub").groupBy("key").agg(F.max(F.struct("c", "hub")).alias("m")).select("key", F.col("m.hub").alias("hub"))
+    primary = members.join(largest, ["hub", "key"])
+
+    def candidates(of: DataFrame, links: DataFrame | None, forest: bool, only: DataFrame | None = None) -> DataFrame:
+        """Pairs of members of different components that the trees leave: ``(a, b, job)``, see :func:`_traverse`."""
+        own = of.withColumn("comp", F.col("key"))
+        if links is not None:
+            comps = staged(connected_components(links), "early")
+            own = of.join(comps.select(F.col("node").alias("key"), "component"), "key", "left").select("hub", "key", "part", "n", F.coalesce("component", "key").alias("comp"))
+        mixed = own.groupBy("hub").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("hub")
+        parts = own.join(mixed, "hub", "left_semi").groupBy("hub", "part").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+        x, y = parts.alias("x"), parts.alias("y")
+        jobs = x.join(
+            y,
+            F.expr(f"x.hub = y.hub and x.part <= y.part and x.most * 100 >= y.least * {percent} and y.most * 100 >= x.least * {percent} and not (x.lo = x.hi and y.lo = y.hi and x.lo = y.lo)"),
+        ).select(F.col("x.hub").alias("hub"), F.col("x.part").alias("p"), F.col("y.part").alias("q"), F.xxhash64("x.hub", "x.part", "y.part").alias("job"))
+        if only is not None:
+            jobs = jobs.join(only, "job", "left_semi")
+        sides = jobs.select("hub", "job", F.explode(F.expr("if(p = q, array(struct(p as part, 0 as side)), array(struct(p as part, 0 as side), struct(q as part, 1 as side)))")).alias("s")).select("hub", "job", "s.part", "s.side")
+        loaded = sides.join(own, ["hub", "part"]).join(narrow.select("key", "bits"), "key").select("job", "side", "key", "n", "comp", "bits")
+        return staged(loaded.repartition("job").sortWithinPartitions("job").mapInArrow(_traverse(percent, forest), "a long, b long, job long"), "found")
+
+    def sized(found: DataFrame) -> DataFrame:
+        pairs = found.where("a is not null").select("a", "b").distinct()
+        return pairs.join(narrow.select(F.col("key").alias("a"), F.col("n").alias("na")), "a").join(narrow.select(F.col("key").alias("b"), F.col("n").alias("nb")), "b").select("a", "b", "na", "nb")
+
+    def sets_for(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct().join(classes.select("key", "rep"), "key")
+        return staged(_sets_of(docs, wanted, width), "sets")
+
+    tried = staged(sized(candidates(primary, None, True)), "pairs")
+    first = staged(_verified(tried, sets_for(tried), percent), "links")
+    again = candidates(members, first, True)
+    more = staged(sized(again).join(tried.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+    sets = sets_for(more)
+    second = staged(first.unionByName(_verified(more, sets, percent)), "links")
+    rest = sized(candidates(members, second, False, again.where("a is null").select("job").distinct()))
+    rest = staged(rest.join(tried.unionByName(more).select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+    third = _verified(rest, sets_for(rest), percent)
+    components = staged(connected_components(second.unionByName(third)), "components")
     return described_rows(rows), components
 
 
