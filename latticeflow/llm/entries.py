@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from latticeflow.llm.chat import digests
+from latticeflow.llm.langid import page_languages
+from latticeflow.llm.licenses import license_scan
 from latticeflow.llm.mixing import taken_words
 from latticeflow.llm.neardup import near_duplicates
 from latticeflow.llm.ngram_join import ngram_components
 from latticeflow.llm.packing import pack
+from latticeflow.llm.tokencount import token_counts
+from latticeflow.llm.toxicity import toxicity
 from latticeflow.llm.vptree import nearest
 
 
@@ -18,11 +22,21 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all pages; text models come from the labelled documents."""
+    return page_languages(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "documents"))
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of the five-word shingle sets of all documents at Jaccard 0.8."""
     return ngram_components(_table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learned from the labels that are not held out."""
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).drop("evidence")
+
+
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of all conversations, read back from the formatted text, and of one that quotes the format's marks."""
     text = "\\### Assistant: </turn> ok"
@@ -36,6 +50,11 @@ def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(rows, rows.where("vec_id % 50 = 0"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence families that all documents name."""
+    return license_scan(_table(spark, sf_dir, "documents")).drop("notices")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of each document a mix by source weights takes."""
     return taken_words(_table(spark, sf_dir, "documents"))
@@ -46,17 +65,26 @@ def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy word-piece lengths of all documents."""
+    return token_counts(_table(spark, sf_dir, "documents"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' pieces in sequences of 1024 tokens."""
     return pack(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op3_toxicity": op3_toxicity,
     "op4_chat_formatting": op4_chat_formatting,
     "op5_nearest_neighbours": op5_nearest_neighbours,
+    "op6_license_scan": op6_license_scan,
     "op7_mixing": op7_mixing,
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
+    "op9_token_counts": op9_token_counts,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 ORACLES: dict[str, str] = {}

@@ -1,8 +1,8 @@
 """Toxicity by the nearest labelled examples.
 
 A bounded, stratified sample of labelled documents is the index (``EXAMPLES`` a class, those
-with the smallest hashes).  Terms are runs of letters, A-Z lower-cased, kept where their
-association with the label is beyond its sampling error; document frequencies for the IDF
+with the smallest hashes).  Terms are runs of letters, A-Z lower-cased, and the stems of
+longer ones, kept where their association with the label is beyond its sampling error; document frequencies for the IDF
 count every document.  The index is an inverted index in blocks of examples with each term's
 largest weight per block.  A query visits blocks by falling upper bound and stops when the
 bound drops below its k-th best cosine, so the neighbours are exact.  Their distance-weighted
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from latticeflow.llm.common import staged
-from latticeflow.llm.kernels import LETTERS, chunks
+from latticeflow.llm.kernels import LETTERS, Chunk, chunks
 
 EXAMPLES = 2048
 TERMS = 1024
@@ -30,6 +30,7 @@ NEIGHBOURS = 15
 BLOCK = 64
 CONFIDENCE = 3.0
 LEAST_DOCS = 4
+STEMS = (4, 5, 6, 7, 9)  # bytes of a stem
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -37,15 +38,24 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("long").cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
 
 
+def _terms(low: Chunk) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of each document's words and of the stems of longer ones (0: no such stem), and bounds per document."""
+    starts, ends, bounds = low.words(LETTERS)
+    columns = [low.hashes(starts, ends)]
+    for n in STEMS:
+        stem = low.hashes(starts, np.minimum(ends, starts + n)) ^ np.uint64(n)
+        columns.append(np.where(ends - starts > n, stem, np.uint64(0)))
+    return np.stack(columns, 1).reshape(-1), bounds * len(columns)
+
+
 def _document_terms(batch: pa.RecordBatch, known: np.ndarray | None):
     """Per document: distinct term hashes (or places in the sorted ``known``) and counts."""
     for chunk in chunks(batch.column("text")):
-        low = chunk.lower()
-        starts, ends, bounds = low.words(LETTERS)
-        hashes = low.hashes(starts, ends)
+        hashes, bounds = _terms(chunk.lower())
         if known is None:
             for k in range(len(chunk)):
-                yield chunk.first + k, *np.unique(hashes[bounds[k] : bounds[k + 1]], return_counts=True)
+                own = hashes[bounds[k] : bounds[k + 1]]
+                yield chunk.first + k, *np.unique(own[own != 0], return_counts=True)
             continue
         if not len(known):
             for k in range(len(chunk)):
