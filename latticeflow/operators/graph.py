@@ -190,7 +190,7 @@ def void_list(table: DataFrame, hierarchy: DataFrame, min_dens_cut: float, least
     1e20).  ``edge`` tells whether a zone of that first group touches a border: the void's
     own border is not looked at.
     """
-    first = hierarchy.select("h", F.col("groups")[0].alias("g"), "final_ratio")
+    first = hierarchy.select("h", F.get("groups", F.lit(0)).alias("g"), "final_ratio")
     ratio = F.coalesce("g.ratio", "final_ratio")
     members = first.select("h", F.explode("g.zones").alias("z")).join(table.select(F.col("h").alias("z"), "edge"), "z").groupBy("h").agg(F.max("edge").alias("edge_flag"))
     rows = table.join(first, "h").withColumn("ratio", ratio).where((F.col("ratio") >= 1) & (F.col("core_dens") < min_dens_cut) & (F.col("np") >= least_members))

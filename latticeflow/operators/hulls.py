@@ -253,6 +253,17 @@ def ridges(simplex_rows: DataFrame) -> DataFrame:
     return pair.groupBy("grp", "a", "b").agg(F.sort_array(F.collect_list("simplex")).alias("vertices"))
 
 
+def intersections(planes: DataFrame, axes: list[str], interior: list[float], group: str = "grp") -> DataFrame:
+    """``(grp, vertex, *axes)``: corners of each group's half-spaces ``normal . x + offset <= 0`` about a point inside all."""
+
+    def of_group(pdf: pd.DataFrame) -> pd.DataFrame:
+        corners = halfspaces(pdf[axes].to_numpy(float), pdf["offset"].to_numpy(float), np.array(interior))
+        corners = corners[np.lexsort(np.round(corners, 9).T[::-1])]
+        return pd.DataFrame({"grp": int(pdf[group].iloc[0]), "vertex": range(len(corners))} | {a: corners[:, i] for i, a in enumerate(axes)})
+
+    return planes.select(F.col(group).cast("long").alias(group), *axes, "offset").groupBy(group).applyInPandas(of_group, "grp long, vertex int, " + ", ".join(f"{a} double" for a in axes))
+
+
 def joggled(points: DataFrame, axes: list[str], size: float, seed: int = 0) -> DataFrame:
     """Each coordinate moved by less than ``size``, reproducibly."""
     return points.withColumns({a: F.col(a) + size * (2 * uniform(F.col("id"), seed + i) - 1) for i, a in enumerate(axes)})

@@ -98,23 +98,50 @@ class Cell:
         return total, real
 
 
-def cell_of(point: np.ndarray, others: np.ndarray, known: float, half: float) -> tuple[float, list[int], bool]:
-    """Volume and neighbours of one cell; whether all points within twice its reach were among ``others``."""
-    rel = others - point
+def _carve(cell: Cell, rel: np.ndarray) -> dict[int, int]:
+    """Clips by the bisectors of the points ``rel``, nearest first; planes to points."""
     d2 = (rel * rel).sum(1)
     order = np.argsort(d2, kind="stable")
-    cell, of_plane = Cell(half), {}
-    far = cell.reach2()
-    for i in order.tolist():
-        if d2[i] > 4 * far:
+    rel, d2 = rel[order], d2[order]
+    of_plane: dict[int, int] = {}
+    far, at = cell.reach2(), 0
+    while at < len(rel) and d2[at] <= 4 * far:
+        end = min(at + 24, len(rel))
+        # bisectors that miss the polyhedron as it is never cut it later: skip to the first that does
+        cuts = np.flatnonzero((rel[at:end] @ cell.vertices.T > d2[at:end, None] / 2).any(1))
+        if not len(cuts):
+            at = end
+            continue
+        at += int(cuts[0])
+        if d2[at] > 4 * far:
             break
-        before = len(cell.normals)
-        cell.clip(rel[i], d2[i] / 2)
-        if len(cell.normals) > before:
-            of_plane[before] = i
-            far = cell.reach2()
+        of_plane[len(cell.normals)] = int(order[at])
+        cell.clip(rel[at], d2[at] / 2)
+        far = cell.reach2()
+        at += 1
+    return of_plane
+
+
+def _measured(cell: Cell, of_plane: dict[int, int], known: float) -> tuple[float, list[int], bool]:
     volume, real = cell.volume()
-    return volume, [of_plane[p] for p in real if p in of_plane], 4 * far <= known * known or half * half * 3 <= far
+    return volume, [of_plane[p] for p in real if p in of_plane], 4 * cell.reach2() <= known * known
+
+
+def cell_of(point: np.ndarray, others: np.ndarray, known: float, half: float) -> tuple[float, list[int], bool]:
+    """Volume and neighbours of one cell, and whether ``known`` reaches twice as far as it does."""
+    cell = Cell(half)
+    return _measured(cell, _carve(cell, others - point), known)
+
+
+def isolated_cell(point: np.ndarray, others: np.ndarray, known: float, length: float) -> tuple[float, list[int], bool]:
+    """A cell bounded by the box [0, length] as well."""
+    cell = Cell(2 * length)
+    for axis in range(3):
+        for sign, room in ((1.0, length - point[axis]), (-1.0, point[axis])):
+            normal = np.zeros(3)
+            normal[axis] = sign
+            cell.clip(normal, float(room))
+    return _measured(cell, _carve(cell, others - point), known)
 
 
 def ghosts(points: DataFrame, length: float, n: int, buffer: float, periodic: bool = True) -> DataFrame:
@@ -180,29 +207,6 @@ def tessellate(points: DataFrame, length: float, periodic: bool = True, boxes: i
     return done.drop("closed")
 
 
-def isolated_cell(point: np.ndarray, others: np.ndarray, known: float, length: float) -> tuple[float, list[int], bool]:
-    """A cell bounded by the box [0, length] as well."""
-    rel = others - point
-    d2 = (rel * rel).sum(1)
-    cell, of_plane = Cell(2 * length), {}
-    for axis in range(3):
-        for sign, room in ((1.0, length - point[axis]), (-1.0, point[axis])):
-            normal = np.zeros(3)
-            normal[axis] = sign
-            cell.clip(normal, float(room))
-    far = cell.reach2()
-    for i in np.argsort(d2, kind="stable").tolist():
-        if d2[i] > 4 * far:
-            break
-        before = len(cell.normals)
-        cell.clip(rel[i], d2[i] / 2)
-        if len(cell.normals) > before:
-            of_plane[before] = i
-            far = cell.reach2()
-    volume, real = cell.volume()
-    return volume, [of_plane[p] for p in real if p in of_plane], 4 * far <= known * known
-
-
 def edges_of(cells: DataFrame) -> DataFrame:
     """Symmetric ``(src, dst)``; a face seen from one side only (rounding) counts for both."""
     one = cells.select(F.col("id").alias("src"), F.explode("neighbours").alias("dst"))

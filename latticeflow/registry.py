@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -347,3 +346,6 @@ def s4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("t4_top_values", "select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 50")
 def t4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.top(load(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", "o_orderkey", 50)
+
+
+import latticeflow.registry_graphs  # noqa: E402,F401  registers the rest
