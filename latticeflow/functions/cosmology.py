@@ -44,7 +44,7 @@ class Cosmology:
         clamped = F.greatest(F.lit(0.0), F.least(F.lit(Z_MAX), z))
         i = F.least(F.floor(clamped / step), F.lit(KNOTS - 2)).cast("int")
         low = F.element_at(table, i + 1)
-        return low + (F.element_at(table, i + 2) - low) * (clamped - i * step) / step
+        return F.when(z.isNotNull(), low + (F.element_at(table, i + 2) - low) * (clamped - i * step) / step)
 
     def redshift(self, r: Column) -> Column:
         """Inverse lookup on the table's uneven knots, a batch at a time."""

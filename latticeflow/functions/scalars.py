@@ -85,7 +85,8 @@ def halo_order(particles: Column, prob: Column, most: Column) -> Column:
 
 
 def inverted(density: Column) -> Column:
-    return 1 / density
+    """One over the density; the edge density, which takes no part in a watershed, for an empty cell."""
+    return F.when(density == 0, F.lit(EDGE_DENSITY)).otherwise(1 / density)
 
 
 def mesh_sizing(mean_density: float, length: float) -> tuple[int, float]:

@@ -98,9 +98,11 @@ def density_range(nodes: DataFrame, border: float = EDGE_DENSITY) -> DataFrame:
 
 
 def direct_links(table: DataFrame, links: DataFrame, max_dens: float) -> DataFrame:
-    """``(h, leak, ratio)``: each zone's lowest saddle, the highest density where nothing touches it, over its core."""
+    """``(h, leak, ratio)``: each zone's lowest saddle, the highest density where nothing touches it, over its core (infinite over an empty one)."""
     low = links.groupBy("h").agg(F.min("slv").alias("slv"))
-    return table.join(low, "h", "left").select("h", F.coalesce("slv", F.lit(max_dens)).alias("leak"), (F.coalesce("slv", F.lit(max_dens)) / F.col("core_dens")).alias("ratio"))
+    leak = F.coalesce("slv", F.lit(max_dens))
+    ratio = F.when(F.col("core_dens") == 0, F.lit(float("inf"))).otherwise(leak / F.col("core_dens"))
+    return table.join(low, "h", "left").select("h", leak.alias("leak"), ratio.alias("ratio"))
 
 
 def flood(table: DataFrame, links: DataFrame, max_dens: float, tolerance: float = 1e30, most_zones: int = 5_000_000) -> DataFrame:

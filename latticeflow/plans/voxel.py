@@ -14,6 +14,9 @@ from latticeflow.operators import mesh as M
 from latticeflow.operators.stage import kept
 
 
+EMPTY = 1e-12  # an empty cell weighs as one of this density
+
+
 @dataclass(frozen=True)
 class Basins:
     """A watershed of a grid: cells with their zones, touching zones, and the zone table."""
@@ -69,7 +72,7 @@ def catalogue(basins: Basins, densities: DataFrame, n: int, length: float, cut:
     if masked is not None:
         picked = picked.join(masked.where("masked").select(F.col("vox").alias("core")), "core", "left_anti")
     x, y, z = S.voxel_corner(F.col("id"), n, length)
-    weight = F.col("rho") if clusters else 1 / F.col("rho")
+    weight = F.col("rho") if clusters else 1 / F.greatest(F.col("rho"), F.lit(EMPTY))
     members = basins.cells.select("id", F.col("zone").alias("h")).join(densities, "id").join(picked.select("h"), "h", "left_semi").withColumns({"x": x, "y": y, "z": z, "w": weight})
     means = members.groupBy("h").agg(F.avg("rho").alias("mean"), *(((F.sum(F.col(a) * F.col("w")) / F.sum("w")) if barycentres else F.max(F.when(F.col("id") == F.col("h"), F.col(a)))).alias(a) for a in "xyz"))
     if not barycentres:

@@ -253,7 +253,8 @@ def m6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("vox", F.round(M.contrast_survey(F.col("g"), F.col("r"), 25.0, 40.0), 9).alias("delta"), F.round(M.density_survey(F.col("g"), F.col("r"), 25.0, 40.0), 9).alias("density"), (F.col("r") <= 40).alias("masked"))
 
 
-_WATER = f"""{_CIC}, g as (select vox as id, cast(rho as float)::double as dens from cic),
+_WATER = f"""{_CIC}, full_grid as (select cast(range as bigint) as vox, coalesce(rho, 0) as rho from range(4096) left join cic on vox = range),
+g as (select * from (select vox as id, cast(rho as float)::double as dens from full_grid) where dens < 0.9e30),
 faces as (select * from (values (0,0,0,1),(1,0,0,-1),(2,0,1,0),(3,0,-1,0),(4,1,0,0),(5,-1,0,0)) f(ord,a,b,c)),
 e as (select g.id as src, ord, g.dens as d, cast(((g.id//256+a+16)%16)*256+(((g.id//16)%16+b+16)%16)*16+((g.id%16+c+16)%16) as bigint) as dst from g cross join faces),
 v as (select e.src, e.dst, e.ord, e.d, n.dens as dn from e join g n on n.id = e.dst),
@@ -288,7 +289,7 @@ def z4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _basins(spark, sf_dir)[1].links
 
 
-@query("z5_direct_links", f"with recursive {_WATER} select tb.h, coalesce(min(slv), (select max(dens) from g)) as leak, round(coalesce(min(slv), (select max(dens) from g))/core_dens, 9) as ratio from tb left join sd on sd.h = tb.h group by tb.h, core_dens")
+@query("z5_direct_links", f"with recursive {_WATER} select tb.h, coalesce(min(slv), (select max(dens) from g)) as leak, round(case when core_dens = 0 then 'infinity'::double else coalesce(min(slv), (select max(dens) from g))/core_dens end, 9) as ratio from tb left join sd on sd.h = tb.h group by tb.h, core_dens")
 def z5(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = _basins(spark, sf_dir)[1]
     return rounded(G.direct_links(b.table, b.links, b.max_dens), "ratio", digits=9)
@@ -305,13 +306,15 @@ def g12(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _voxel_sql(clusters: bool) -> str:
-    water = _WATER.replace("cast(rho as float)::double as dens from cic", "cast(cast(1 as double)/(rho*4096/(select count(*) from fx_tracers_box)) as float)::double as dens from cic" if clusters else "cast(rho*4096/(select count(*) from fx_tracers_box) as float)::double as dens from cic")
-    sign, power_, w, order = (">", "1.6::double", "rho", "desc") if clusters else ("<", "1.2::double", "1/rho", "asc")
-    del order
-    return f"""with recursive {water}, dn as (select vox as id, cast(rho*4096/(select count(*) from fx_tracers_box) as float)::double as rho from cic),
-lk as (select tb.h, coalesce(min(slv), (select max(dens) from g))/core_dens as ratio from tb left join sd on sd.h = tb.h group by tb.h, core_dens),
-pk as (select tb.h, tb.np, dn.rho as extreme from tb join dn on dn.id = tb.core where dn.rho {sign} 1),
-mb as (select zn.zone as h, avg(rho) as mean, sum((zn.id//256)*({w}))/sum({w}) as x, sum(((zn.id//16)%16)*({w}))/sum({w}) as y, sum((zn.id%16)*({w}))/sum({w}) as z from zn join dn on dn.id = zn.id group by 1)
+    rho = "rho*4096/(select count(*) from fx_tracers_box)"
+    dens = f"case when rho = 0 then 0.9e30 else cast(1 as double)/({rho}) end" if clusters else rho
+    water = _WATER.replace("cast(rho as float)::double as dens", f"cast({dens} as float)::double as dens")
+    sign, power_, w = (">", "1.6::double", "rho") if clusters else ("<", "1.2::double", "1/greatest(rho, 1e-12::double)")
+    return f"""with recursive {water}, dn as (select vox as id, cast(rho*4096/(select count(*) from fx_tracers_box) as float)::double as rho from full_grid),
+lk as (select tb.h, case when core_dens = 0 then 'infinity'::double else coalesce(min(slv), (select max(dens) from g))/core_dens end as ratio from tb left join sd on sd.h = tb.h group by tb.h, core_dens),
+ed as (select distinct zn.zone as h from zn join (select src, count(*) as n from v group by src) k on k.src = zn.id where k.n < 6),
+pk as (select tb.h, tb.np, dn.rho as extreme from tb join dn on dn.id = tb.core where dn.rho {sign} 1 and tb.h not in (select h from ed)),
+mb as (select zn.zone as h, avg(rho) as mean, sum(cast(zn.id//256 as double)*({w}))/sum({w}) as x, sum(((zn.id//16)%16)*({w}))/sum({w}) as y, sum((zn.id%16)*({w}))/sum({w}) as z from zn join dn on dn.id = zn.id group by 1)
 select pk.h as id, round(x, 6) as x, round(y, 6) as y, round(z, 6) as z, round(power(3*np/(4*pi()), 1.0::double/3), 6) as radius, round(extreme-1, 6) as extreme, round(mean-1, 6) as mean_contrast,
 round((mean-1)*power(power(3*np/(4*pi()), 1.0::double/3), {power_}), 6) as lambda, round(ratio, 6) as ratio from pk join mb on mb.h = pk.h join lk on lk.h = pk.h"""
 
