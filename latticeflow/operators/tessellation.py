@@ -207,10 +207,21 @@ def tessellate(points: DataFrame, length: float, periodic: bool = True, boxes: i
     return done.drop("closed")
 
 
+def symmetric(edges: DataFrame) -> DataFrame:
+    """Both directions of every edge, once."""
+    return edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+
+
 def edges_of(cells: DataFrame) -> DataFrame:
     """Symmetric ``(src, dst)``; a face seen from one side only (rounding) counts for both."""
-    one = cells.select(F.col("id").alias("src"), F.explode("neighbours").alias("dst"))
-    return one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    return symmetric(cells.select(F.col("id").alias("src"), F.explode("neighbours").alias("dst")))
+
+
+def real_edges(edges: DataFrame, particles: DataFrame) -> DataFrame:
+    """Edges between particles that are no mocks."""
+    real = particles.where("not is_mock").select("id")
+    one = edges.join(real.withColumnRenamed("id", "src"), "src", "left_semi")
+    return one.join(real.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst")
 
 
 def checks(cells: DataFrame) -> DataFrame:

@@ -86,11 +86,16 @@ def circumcentres(voids: DataFrame, nodes: DataFrame, edges: DataFrame, position
     return joined.select("h", *(F.when(ok, back(v)).otherwise(F.lit(0.0)).alias(c) for v, c in zip(centre, "xyz")), F.when(ok, F.lit("ok")).otherwise(F.lit("missing")).alias("status"))
 
 
-def barycentres(voids: DataFrame, zoned: DataFrame, nodes: DataFrame, positions: DataFrame, length: float) -> DataFrame:
-    """``(h, x, y, z, mean)``: centres of the members' volume around the core, nearest images, and their volume-weighted density."""
+def barycentres(voids: DataFrame, zoned: DataFrame, nodes: DataFrame, positions: DataFrame, length: float, strip: float | None = None, clusters: bool = False) -> DataFrame:
+    """``(h, x, y, z, mean)``: centres of the members' volume around the core, nearest images, and their volume-weighted density.
+
+    ``strip`` leaves out members of at least that density (at most, for clusters).
+    """
     at = positions.select("id", "x", "y", "z")
     cores = voids.select("h", "core").join(at.select(F.col("id").alias("core"), *(F.col(c).alias(f"c{c}") for c in "xyz")), "core")
     members = zoned.select("id", F.col("zone").alias("h")).join(cores, "h").join(at, "id").join(nodes.select("id", "dens", "vol", "is_edge").where("not is_edge"), "id")
+    if strip is not None:
+        members = members.where(F.col("dens") > strip if clusters else F.col("dens") < strip)
     w = F.col("vol")
     sums = members.groupBy("h").agg(
         (F.sum(w * F.col("dens")) / F.sum(w)).alias("mean"),

@@ -135,9 +135,9 @@ def shift_summary(points: DataFrame) -> DataFrame:
     return long.groupBy("axis").agg(F.stddev_pop("s").alias("std"), F.percentile("s", 0.16).alias("p16"), F.percentile("s", 0.84).alias("p84"), F.min("s").alias("least"), F.max("s").alias("most"))
 
 
-def export_positions(points: DataFrame, sky: bool, cosmology=None) -> DataFrame:
+def export_positions(points: DataFrame, sky: bool, cosmology=None, keep: tuple[str, ...] = ()) -> DataFrame:
     """What later stages read: box positions, or sky positions with systematic weight and completeness."""
     if not sky:
-        return points.select(*(F.col(f"new{a}").alias(a) for a in "xyz"))
+        return points.select(*keep, *(F.col(f"new{a}").alias(a) for a in "xyz"))
     ra, dec, r = S.sky(F.col("newx"), F.col("newy"), F.col("newz"))
-    return points.select(ra.alias("ra"), dec.alias("dec"), cosmology.redshift(r).alias("redshift"), "weight_systot", "comp")
+    return points.select(*keep, ra.alias("ra"), dec.alias("dec"), cosmology.redshift(r).alias("redshift"), "weight_systot", "comp")

@@ -334,10 +334,10 @@ def s1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.numbered(load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"), ("l_orderkey", "l_linenumber")).select("l_orderkey", "l_linenumber", "particle")
 
 
-@query("s2_union", "select id, x, 'tracer' as kind from fx_tracers_box union all select id, x, 'buffer' as kind from fx_particles_vel where id % 3 = 0")
+@query("s2_union", "select id, x, 'tracer' as kind from fx_tracers_box union all select id, x, 'buffer' as kind from fx_particles_vel")
 def s2(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = load(spark, sf_dir, "fx_tracers_box").select("id", "x", F.lit("tracer").alias("kind"))
-    return a.unionByName(load(spark, sf_dir, "fx_particles_vel").where("id % 3 = 0").select("id", "x", F.lit("buffer").alias("kind")))
+    return a.unionByName(load(spark, sf_dir, "fx_particles_vel").select("id", "x", F.lit("buffer").alias("kind")))
 
 
 @query("s4_adjacency", "select src, count(distinct dst) as n, min(dst) as first_dst, max(dst) as last_dst from fx_edges group by src")

@@ -9,6 +9,7 @@ from latticeflow.fixtures import load
 from latticeflow.functions import healpix as H
 from latticeflow.functions import scalars as S
 from latticeflow.functions.cosmology import Cosmology
+from latticeflow.functions.selection import Selection
 from latticeflow.operators import buffers as B
 from latticeflow.operators import catalog as C
 from latticeflow.operators import graph as G
@@ -20,6 +21,7 @@ from latticeflow.operators.stage import kept
 from latticeflow.plans import cells as P
 from latticeflow.plans import reconstruction as R
 from latticeflow.registry import LENGTH, N, query, rounded
+from latticeflow.sources.files import catalogue_lines, hierarchy_text
 
 _DENS = """v as (select e.src, e.dst, e.dst as ord, a.dens as d, b.dens as dn from fx_edges e join fx_dens a on a.id = e.src join fx_dens b on b.id = e.dst),
 j as (select n.id, coalesce(m.nxt, n.id) as nxt from fx_dens n left join (select src, arg_min(dst, {'a': dn, 'b': ord}) as nxt from v where dn < d group by src) m on m.src = n.id),
@@ -330,16 +332,19 @@ def v8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+_GUARD = "cast(0.1 as double)+{i}.range*(cast(15.8 as double)/29)"
+
+
 @query(
     "v11_j7_guards",
-    "with g as (select cast(a.range*36+b.range*6+c.range as bigint) as id, 0.1::double+a.range*(15.8::double/5) as x, 0.1::double+b.range*(15.8::double/5) as y, 0.1::double+c.range*(15.8::double/5) as z from range(6) a, range(6) b, range(6) c), p as (select * from fx_tracers_box where id % 64 = 0) "
-    "select g.id, round(g.x, 9) as x, round(g.y, 9) as y, round(g.z, 9) as z from g where not exists (select 1 from p where "
+    "with g as (select cast(a.range*900+b.range*30+c.range as bigint) as id, " + ", ".join(f"{_GUARD.format(i=i)} as {c}" for i, c in zip("abc", "xyz")) + " from range(30) a, range(30) b, range(30) c), "
+    "cell as (select *, cast(floor(x) as int) as i, cast(floor(y) as int) as j, cast(floor(z) as int) as k from fx_tracers_box), near as (select (i+a.range-1+16)%16 as i, (j+b.range-1+16)%16 as j, (k+c.range-1+16)%16 as k, x, y, z from cell, range(3) a, range(3) b, range(3) c), "
+    "hit as (select distinct g.id from g join near p on p.i = cast(floor(g.x) as int) and p.j = cast(floor(g.y) as int) and p.k = cast(floor(g.z) as int) where "
     + "+".join(f"power(abs(g.{c}-p.{c}) - case when abs(g.{c}-p.{c}) > 8 then 16 else 0 end, 2)" for c in "xyz")
-    + " <= power(15.8::double/6, 2))",
+    + " <= power(cast(15.8 as double)/30, 2)) select g.id, round(g.x, 9) as x, round(g.y, 9) as y, round(g.z, 9) as z from g where g.id not in (select id from hit)",
 )
 def v11(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = load(spark, sf_dir, "fx_tracers_box").where("id % 64 = 0")
-    return rounded(B.outer_guards(spark, points, 6, LENGTH), "x", "y", "z", digits=9)
+    return rounded(B.outer_guards(spark, load(spark, sf_dir, "fx_tracers_box"), 30, LENGTH), "x", "y", "z", digits=9)
 
 
 # ---- tessellation ----------------------------------------------------------------------------------
@@ -379,6 +384,54 @@ def z13(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- halos -----------------------------------------------------------------------------------------
 
 
+@query("v7_f13_real_edges", "select src, dst from fx_edges where src % 5 <> 0 and dst % 5 <> 0")
+def v7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    real = load(spark, sf_dir, "fx_dens").select("id", (F.col("id") % 5 == 0).alias("is_mock"))
+    return T.real_edges(load(spark, sf_dir, "fx_edges"), real)
+
+
+@query("io9_symmetric_edges", "select src, dst from fx_edges")
+def io9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    once = load(spark, sf_dir, "fx_edges").where("src < dst")
+    return T.symmetric(once)
+
+
+@query("io12_single_precision", f"with {_CIC16} select vox, cast(cast(rho/3 as float) as double) as rho from cic")
+def io12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.deposit(load(spark, sf_dir, "fx_tracers_box"), N, LENGTH).select("vox", (F.col("rho") / 3).cast("float").cast("double").alias("rho"))
+
+
+@query("io14_catalogue_lines", "select cast(id as varchar) || ' ' || printf('%.4f', x + 0.00001) || ' ' || printf('%.4f', y + 0.00001) as line from fx_tracers_box")
+def io14(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = load(spark, sf_dir, "fx_tracers_box").select("id", (F.col("x") + 0.00001).alias("x"), (F.col("y") + 0.00001).alias("y"))
+    return rows.select(catalogue_lines(rows, ["id", "x", "y"]).alias("line"))
+
+
+@query("io13_hierarchy_lines")
+def io13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hierarchy_text(_tree(spark, sf_dir).groups)
+
+
+@query("io17_survey_export", "select id, round(ra + 0.0000001::double, 6) as ra, round(dec + 0.0000001::double, 6) as dec, round(redshift + 0.0000001::double, 6) as redshift, weight_systot, comp from fx_sky")
+def io17(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = Cosmology(0.31)
+    rows = load(spark, sf_dir, "fx_sky").withColumn("dist", c.distance(F.col("redshift")))
+    x, y, z = S.cartesian(F.col("ra"), F.col("dec"), F.col("dist"))
+    out = R.export_positions(rows.withColumns({"newx": x, "newy": y, "newz": z}), True, c, keep=("id",))
+    return rounded(out.withColumns({n: F.col(n) + 1e-7 for n in ("ra", "dec", "redshift")}), "ra", "dec", "redshift")
+
+
+@query("p19_smooth_selection")
+def p19(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sky = load(spark, sf_dir, "fx_sky")
+    step = (3.375 - 0.5) / 15
+    edges = [(0.5 + i * step) ** (1.0 / 3) for i in range(16)]
+    counts = C.selection_function(C.radial_counts(sky.select((F.col("redshift") + 0.5).alias("r")), "r", edges), 200.0, 0.25).orderBy("bin").collect()
+    ends = sky.agg(F.min("redshift").alias("low"), F.max("redshift").alias("high")).first()
+    curve = Selection([(r["low"] + r["high"]) / 2 - 0.5 for r in counts], [r["f"] for r in counts], ends["low"], ends["high"])
+    return sky.select("id", F.round(curve(F.col("redshift")), 9).alias("f"))
+
+
 @query("g18_velocity_centroids", "select halo, count(*) as n, round(avg(vx), 9) as vx, round(avg(vy), 9) as vy, round(avg(vz), 9) as vz from fx_particles_vel group by halo")
 def g18(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(halos.velocity_centroids(load(spark, sf_dir, "fx_particles_vel")), "vx", "vy", "vz", digits=9)

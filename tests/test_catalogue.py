@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from latticeflow import params, registry
-from latticeflow.functions import healpix
+from latticeflow.functions import healpix, selection
 from latticeflow.functions.cosmology import Cosmology
 from latticeflow.operators import catalog, graph, halos, hulls, mesh, tessellation
 from latticeflow.plans import cells, reconstruction, voxel
@@ -272,6 +272,16 @@ def test_file_formats(spark, tmp_path):
     assert names == ["ra", "dec", "redshift", "weight_fkp", "comp", "c5"]
 
 
+def test_smoothing_keeps_cubics(spark):
+    x = np.linspace(-1, 1, 300)
+    y = 2 * x**3 - x + 0.5
+    assert np.allclose(selection.local_polynomials(y), y)
+    assert np.allclose(selection.linear(np.array([-1.0, 0.5, 3.0]), np.array([0.0, 1.0, 2.0]), np.array([0.0, 1.0, 3.0])), [-1.0, 0.5, 5.0])
+    curve = selection.Selection([0.0, 1.0], [1.0, 2.0], 0.0, 1.0)
+    got = spark.createDataFrame([(0.0,), (0.25,), (1.0,), (1.5,)], "z double").select(curve(F.col("z")).alias("f")).collect()
+    assert [r.f for r in got] == pytest.approx([1.0, 1.25, 2.0, 2.5])
+
+
 def test_parameters(tmp_path):
     path = tmp_path / "p.py"
     path.write_text("bias = 1.5\nis_box = True\nunrelated = 3\n")
