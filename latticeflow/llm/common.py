@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -16,6 +19,42 @@ def scratch_dir(spark: SparkSession) -> str:
     return given.rstrip("/")
 
 
+#: Bytes of text that travel between Spark and a Python worker at once.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to ``BATCH_BYTES``, so that long texts cost little memory."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key)
+    if not now.endswith("b") or not now[:-1].isdigit() or int(now[:-1]) > BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
+def frugal(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over batches, giving freed memory back to the system when a task ends.
+
+    Python workers are reused by later stages; without this each keeps its high-water mark.
+    """
+
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
+def release() -> None:
+    """Freed memory goes back to the system, where the platform can do that."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back.
 
@@ -36,29 +75,30 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_round
     smallest node of its neighbourhood, first the larger neighbours, then the smaller
     ones.  Paths shrink geometrically, so the rounds grow with the logarithm of the
     longest path.  Edges stay distributed; a round ends in a table in the shared folder.
+    Joins are merge joins, so that the driver builds no hash tables round after round.
     """
-    edges = staged(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "cc")
-
-    def state(e: DataFrame) -> tuple:
-        return tuple(e.select(F.count("*"), F.expr("sum(cast(xxhash64(u, v) as decimal(38, 0)))")).first())
+    def settled(e: DataFrame) -> tuple[DataFrame, tuple]:
+        """The edges as a table, and their count and hash, observed while they are written."""
+        seen = Observation()
+        table = staged(e.observe(seen, F.count(F.lit(1)).alias("n"), F.expr("sum(cast(xxhash64(u, v) as decimal(38, 0)))").alias("h")), "cc")
+        return table, (seen.get["n"], seen.get["h"])
 
-    seen = state(edges)
+    edges, seen = settled(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
     for _ in range(max_rounds):
         if not seen[0]:
             break
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.where("v > u").join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
-            large.join(low, "u")
+            large.join(low.hint("merge"), "u")
             .select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
             .select("e.*")
             .where("u <> v")
             .distinct()
         )
-        edges = staged(small, "cc")
-        now = state(edges)
+        edges, now = settled(small)
         if now == seen:
             break
         seen = now

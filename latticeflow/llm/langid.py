@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from latticeflow.llm.common import staged
+from latticeflow.llm.common import frugal, small_batches, staged
 from latticeflow.llm.kernels import LETTERS, Chunk, chunks
 
 SAMPLE_DOCS = 500
@@ -77,6 +77,7 @@ def _likelihoods(batch: pa.RecordBatch, text: str, model: Model) -> tuple[np.nda
 
 def fit(documents: DataFrame, per_language: int = SAMPLE_DOCS) -> Model:
     """Text models of the languages that label ``documents (doc_id, text, lang)``."""
+    small_batches(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     named = docs.where("doc_id is not null and lang is not null and lang <> ''")
     languages = sorted(r["lang"] for r in named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect())
@@ -97,7 +98,7 @@ def fit(documents: DataFrame, per_language: int = SAMPLE_DOCS) -> Model:
         k, b = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(b), pa.array(total[k, b])], names=["k", "b", "n"])
 
-    found = sample.mapInArrow(count, "k long, b long, n long").groupBy("k", "b").agg(F.sum("n").alias("n")).toArrow()
+    found = sample.mapInArrow(frugal(count), "k long, b long, n long").groupBy("k", "b").agg(F.sum("n").alias("n")).toArrow()
     counts = np.full((BUCKETS, len(languages)), 0.5)
     counts[found.column("b").to_numpy(), found.column("k").to_numpy()] += found.column("n").to_numpy()
     draft = Model(tuple(languages), np.log(counts / counts.sum(0)), 0.0)
@@ -127,7 +128,7 @@ def _with_likelihoods(rows: DataFrame, text: str, model: Model) -> DataFrame:
             flat = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * means.shape[1], pa.int32()), pa.array(means.reshape(-1)))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), pa.array(n), flat], names=[*names, "__n", "__means"])
 
-    return typed.mapInArrow(run, schema)
+    return typed.mapInArrow(frugal(run), schema)
 
 
 def _domain(host: Column) -> Column:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from latticeflow.llm.common import staged
+from latticeflow.llm.common import frugal, small_batches, staged
 
 CAPACITY = 1024
 END_ID = 2
@@ -216,8 +216,9 @@ def pack(documents: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, t
     rows; other columns are not read; an empty table gives no rows.  ``paths`` are the
     tokenizer file, and optionally its ranks and pattern, as each worker sees them.
     """
+    small_batches(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pieces = staged(docs.mapInArrow(_pieces(paths, tokenizer, capacity, end_id), "doc_id long, piece int, start long, length long, ids_crc32 long"), "pieces")
+    pieces = staged(docs.mapInArrow(frugal(_pieces(paths, tokenizer, capacity, end_id)), "doc_id long, piece int, start long, length long, ids_crc32 long"), "pieces")
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     slots = np.array(plan(histogram, capacity) or [(0, 0, 0, 0, 1, 0)], np.int64)
     buckets = max(1, sum(histogram.values()) // BUCKET_ROWS + 1)

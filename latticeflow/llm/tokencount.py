@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from latticeflow.llm.common import frugal, small_batches
 from latticeflow.llm.kernels import Chunk, chunks
 
 CACHED_WORDS = 1 << 20
@@ -158,4 +159,5 @@ def token_counts(documents: DataFrame, name: str = VOCABULARY, vocabulary: list[
                 tokens.append(t)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.concatenate(words)), pa.array(np.concatenate(tokens))], names=["doc_id", "n_words", "n_tokens"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_words long, n_tokens long")
+    small_batches(documents.sparkSession)
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(frugal(run), "doc_id long, n_words long, n_tokens long")

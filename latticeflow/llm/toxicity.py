@@ -18,10 +18,11 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latticeflow.llm.common import staged
+from latticeflow.llm.common import frugal, release, small_batches, staged
 from latticeflow.llm.kernels import LETTERS, Chunk, chunks
 
 EXAMPLES = 2048
@@ -166,27 +167,26 @@ def _calibrated(votes: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> t
     return max(float(beta[0]), 0.1), float(beta[1])
 
 
-def selected_terms(lists: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, terms: int) -> np.ndarray:
-    """Terms whose log odds ratio between the classes is ``CONFIDENCE`` errors from nothing, strongest first."""
-    n1, n0 = int(labels.sum()), int((1 - labels).sum())
-    counts: dict[int, list[int]] = {}
-    for own, y in zip(lists, labels.tolist()):
-        for t in own.tolist():
-            counts.setdefault(t, [0, 0])[y] += 1
-    strong = []
-    for t, (c0, c1) in counts.items():
-        if c0 + c1 < LEAST_DOCS:
-            continue
-        ratio = math.log((c1 + 0.5) / (n1 - c1 + 0.5)) - math.log((c0 + 0.5) / (n0 - c0 + 0.5))
-        error = math.sqrt(1 / (c1 + 0.5) + 1 / (n1 - c1 + 0.5) + 1 / (c0 + 0.5) + 1 / (n0 - c0 + 0.5))
-        if abs(ratio) > CONFIDENCE * error + 1.0:
-            strong.append((-abs(ratio) / error, t))
-    strong.sort()
-    return np.array([t for _, t in strong[:terms]], np.int64)
+def selected_terms(flat: np.ndarray, label: np.ndarray, n1: int, n0: int, terms: int) -> np.ndarray:
+    """Terms whose log odds ratio between the classes is ``CONFIDENCE`` errors from nothing, strongest first.
+
+    ``flat`` has each document's distinct terms, ``label`` the class of each of them.
+    """
+    names, place = np.unique(flat, return_inverse=True)
+    c1 = np.bincount(place, weights=label, minlength=len(names))
+    c0 = np.bincount(place, minlength=len(names)) - c1
+    kept = np.flatnonzero(c0 + c1 >= LEAST_DOCS)
+    names, c0, c1 = names[kept], c0[kept], c1[kept]
+    ratio = np.abs(np.log((c1 + 0.5) / (n1 - c1 + 0.5)) - np.log((c0 + 0.5) / (n0 - c0 + 0.5)))
+    error = np.sqrt(1 / (c1 + 0.5) + 1 / (n1 - c1 + 0.5) + 1 / (c0 + 0.5) + 1 / (n0 - c0 + 0.5))
+    strong = np.flatnonzero(ratio > CONFIDENCE * error + 1.0)
+    order = np.lexsort((names[strong], -ratio[strong] / error[strong]))
+    return names[strong[order[:terms]]]
 
 
 def fit(documents: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int = TERMS, k: int = NEIGHBOURS) -> Index:
     """The index learned from labelled documents that are not held out."""
+    small_batches(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").where(~held_out())
     marked = marked.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -196,27 +196,33 @@ def fit(documents: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms
     for y in (0, 1):
         part = known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples)
         chosen = part if chosen is None else chosen.unionByName(part)
-    rows = docs.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).mapInArrow(_term_lists, "doc_id long, toxic int, terms array<long>, counts array<long>").toArrow().sort_by("doc_id")
+    rows = docs.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).mapInArrow(frugal(_term_lists), "doc_id long, toxic int, terms array<long>, counts array<long>").toArrow().sort_by("doc_id").combine_chunks()
     y = rows.column("toxic").to_numpy().astype(np.int64)
     ids = rows.column("doc_id").to_numpy()
-    lists = [np.array(t, np.int64).view(np.uint64) for t in rows.column("terms").to_pylist()]
-    counts = [np.array(c, np.int64) for c in rows.column("counts").to_pylist()]
+    flat, n_flat = (rows.column(c).combine_chunks().flatten().to_numpy() for c in ("terms", "counts"))
+    lengths = np.array(pc.list_value_length(rows.column("terms")).to_numpy(), np.int64) if len(y) else np.empty(0, np.int64)
+    del rows
+    bounds = np.concatenate([[0], np.cumsum(lengths)])
     got = np.bincount(y, minlength=2)
     rates = np.array([sizes.get(c, 0) / max(1, got[c]) for c in (0, 1)])
     weights = rates[y] if len(y) else np.empty(0)
-    strong = selected_terms([t.view(np.int64) for t in lists], y, weights, terms)
+    strong = selected_terms(flat, np.repeat(y, lengths), int(y.sum()), int((1 - y).sum()), terms)
     vocabulary = np.sort(strong.view(np.uint64))
     total = max(1, documents.count())
     freq = np.zeros(len(vocabulary))
     if len(vocabulary):
-        for r in docs.mapInArrow(_frequencies(vocabulary), "term long, docs long").groupBy("term").agg(F.sum("docs").alias("docs")).collect():
+        for r in docs.mapInArrow(frugal(_frequencies(vocabulary)), "term long, docs long").groupBy("term").agg(F.sum("docs").alias("docs")).collect():
             freq[r["term"]] = r["docs"]
     index = Index(vocabulary, np.log((1.0 + total) / (1.0 + freq)) + 1.0, [], np.empty(0), np.empty(0), np.empty(0), k)
     vectors, rest = [], []
-    for i, (own, n) in enumerate(zip(lists, counts)):
-        at = np.searchsorted(vocabulary, own) if len(vocabulary) else np.zeros(len(own), np.int64)
-        hit = np.flatnonzero((at < len(vocabulary)) & (vocabulary[np.minimum(at, len(vocabulary) - 1)] == own)) if len(vocabulary) else np.empty(0, np.int64)
+    flat = flat.view(np.uint64)
+    for i in range(len(y)):
+        own, n = flat[bounds[i] : bounds[i + 1]], n_flat[bounds[i] : bounds[i + 1]]
+        at = np.searchsorted(vocabulary, own)
+        hit = np.flatnonzero(vocabulary[np.minimum(at, len(vocabulary) - 1)] == own) if len(vocabulary) else np.empty(0, np.int64)
         (vectors if len(hit) else rest).append((i, at[hit], n[hit]))
+    del flat, n_flat
+    release()
     use = [i for i, _, _ in vectors]
     index = Index(vocabulary, index.idf, [(at, index.weigh(at, n)) for _, at, n in vectors], y[use].astype(float), weights[use], ids[use], k)
     lone = [i for i, _, _ in rest]
@@ -255,7 +261,7 @@ def scored(documents: DataFrame, index: Index) -> DataFrame:
             )
 
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out().alias("held_out"))
-    return docs.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, evidence array<struct<doc_id: long, cosine: double, label: int>>")
+    return docs.mapInArrow(frugal(run), "doc_id long, held_out boolean, score double, predicted int, evidence array<struct<doc_id: long, cosine: double, label: int>>")
 
 
 def toxicity(documents: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int = TERMS, k: int = NEIGHBOURS) -> DataFrame:
