@@ -42,8 +42,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     numbered = docs.withColumn("__own", F.xxhash64("doc_id", "text"))
     rows, components = ngram_classes(numbered.select(F.col("__own").alias("doc_id"), "text"))
-    rooted = rows.where("n > 0").join(components.withColumnRenamed("node", "key"), "key", "left").select(F.col("doc_id").alias("__own"), F.coalesce("component", "key").alias("root"))
-    named = rooted.join(numbered.select("__own", F.col("doc_id").alias("__id")), "__own").groupBy("root").agg(F.min(F.struct(F.col("__id").isNull(), "__id", "__own")).alias("m"))
+    rooted = rows.where("n > 0").join(components.withColumnRenamed("node", "key").hint("merge"), "key", "left").select(F.col("doc_id").alias("__own"), F.coalesce("component", "key").alias("root"))
+    named = rooted.join(numbered.select("__own", F.col("doc_id").alias("__id")).hint("merge"), "__own").groupBy("root").agg(F.min(F.struct(F.col("__id").isNull(), "__id", "__own")).alias("m"))
     first = named.select(F.col("m.__own").alias("__own"))
     worded = staged(first.unionByName(rows.where("n = 0").select(F.col("doc_id").alias("__own"))).distinct(), "kept")
     return numbered.join(worded, "__own", "left_semi").dropDuplicates(["__own"]).select(*docs.columns)

@@ -19,6 +19,8 @@
     bundles with more candidates than a forest holds verifies every one that lies between
     different components.
 
+Joins are merge joins: the driver builds no hash tables, and Spark splits their hot keys.
+
 Nothing is capped: a hot class, token or group costs blocks, never rows.
 """
 
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latticeflow.llm.common import connected_components, staged
+from latticeflow.llm.common import connected_components, frugal, small_batches, staged
 from latticeflow.llm.kernels import chunks, mix, shingles
 
 WIDTH = 5
@@ -106,7 +108,7 @@ def _describe(width: int, percent: int):
                         seen.add(key)
                     for t in prefix.tolist():
                         counts[t] = counts.get(t, 0) + 1
-                    if len(counts) > 2_000_000:  # a lossy count: only the order of tokens hangs on it
+                    if len(counts) > 400_000:  # a lossy count: only the order of tokens hangs on it
                         counts = {t: c for t, c in counts.items() if c > 1 and c * 200 > docs}
                 out["doc_id"].append(ids[row])
                 out["n"].append(len(tokens))
@@ -388,15 +390,15 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                     out.append(tokens.view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(out, pa.list_(pa.int64()))], names=["key", "tokens"])
 
-    found = docs.mapInArrow(scan, "key long, tokens array<long>")
-    return found.join(wanted.select("key"), "key", "left_semi").dropDuplicates(["key"])
+    found = docs.mapInArrow(frugal(scan), "key long, tokens array<long>")
+    return found.join(wanted.select("key").hint("merge"), "key", "left_semi").dropDuplicates(["key"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs ``(a, b, na, nb)`` that reach the threshold, by their sets."""
     met = (
-        pairs.join(sets.select(F.col("key").alias("a"), F.col("tokens").alias("ta")), "a")
-        .join(sets.select(F.col("key").alias("b"), F.col("tokens").alias("tb")), "b")
+        pairs.join(sets.select(F.col("key").alias("a"), F.col("tokens").alias("ta")).hint("merge"), "a")
+        .join(sets.select(F.col("key").alias("b"), F.col("tokens").alias("tb")).hint("merge"), "b")
         .withColumn("both", F.size(F.array_intersect("ta", "tb")).cast("long"))
     )
     return met.where(F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * percent).select("a", "b")
@@ -411,8 +413,9 @@ def ngram_classes(documents: DataFrame, width: int = WIDTH, percent: int = PERCE
     empty results.
     """
     spark = documents.sparkSession
+    small_batches(spark)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = staged(docs.mapInArrow(_describe(width, percent), DESCRIBED), "described")
+    rows = staged(docs.mapInArrow(frugal(_describe(width, percent)), DESCRIBED), "described")
     total = rows.where("heavy is null").count()
     described = rows.where("heavy is null and n > 0")
     common = np.empty(0, np.uint64)
@@ -426,55 +429,68 @@ def ngram_classes(documents: DataFrame, width: int = WIDTH, percent: int = PERCE
 
     posted = classes.select("key", "n", "prefix")
     if len(common):
-        moved = docs.mapInArrow(_reordered(width, percent, spark.sparkContext.broadcast(common)), "key long, moved array<long>").dropDuplicates(["key"])
-        posted = posted.join(moved, "key", "left").select("key", "n", F.coalesce("moved", "prefix").alias("prefix"))
+        moved = docs.mapInArrow(frugal(_reordered(width, percent, spark.sparkContext.broadcast(common))), "key long, moved array<long>").dropDuplicates(["key"])
+        posted = posted.join(moved.hint("merge"), "key", "left").select("key", "n", F.coalesce("moved", "prefix").alias("prefix"))
     sorted_posts = posted.select("key", "n", F.explode("prefix").alias("token")).repartition("token").sortWithinPartitions("token", "n", "key")
-    lists = staged(sorted_posts.mapInArrow(_lists(block, percent), "hub long, members array<long>"), "lists")
+    lists = staged(sorted_posts.mapInArrow(frugal(_lists(block, percent)), "hub long, members array<long>"), "lists")
     bundled = staged(lists.select("hub", F.explode("members").alias("key")).distinct(), "bundled")
     blocks = bundled.groupBy("hub").agg((F.floor(F.count("*") / block) + 1).alias("blocks"))
-    members = bundled.join(blocks, "hub").select("hub", "key", F.pmod(F.xxhash64("key"), "blocks").cast("int").alias("part"))
-    members = staged(members.join(narrow, "key").select("hub", "key", "part", "n"), "members")
+    members = bundled.join(blocks.hint("merge"), "hub").select("hub", "key", F.pmod(F.xxhash64("key"), "blocks").cast("int").alias("part"))
+    members = staged(members.join(narrow.hint("merge"), "key").select("hub", "key", "part", "n"), "members")
 
-    largest = bundled.join(bundled.groupBy("hub").agg(F.count("*").alias("c")), "hub").groupBy("key").agg(F.max(F.struct("c", "hub")).alias("m")).select("key", F.col("m.hub").alias("hub"))
-    primary = members.join(largest, ["hub", "key"])
+    largest = bundled.join(bundled.groupBy("hub").agg(F.count("*").alias("c")).hint("merge"), "hub").groupBy("key").agg(F.max(F.struct("c", "hub")).alias("m")).select("key", F.col("m.hub").alias("hub"))
+    primary = members.join(largest.hint("merge"), ["hub", "key"])
 
-    def candidates(of: DataFrame, links: DataFrame | None, forest: bool, only: DataFrame | None = None) -> DataFrame:
+    def candidates(of: DataFrame, comps: DataFrame | None, forest: bool, only: DataFrame | None = None) -> DataFrame:
         """Pairs of members of different components that the trees leave: ``(a, b, job)``, see :func:`_traverse`."""
         own = of.withColumn("comp", F.col("key"))
-        if links is not None:
-            comps = staged(connected_components(links), "early")
-            own = of.join(comps.select(F.col("node").alias("key"), "component"), "key", "left").select("hub", "key", "part", "n", F.coalesce("component", "key").alias("comp"))
+        if comps is not None:
+            own = of.join(comps.select(F.col("node").alias("key"), "component").hint("merge"), "key", "left").select("hub", "key", "part", "n", F.coalesce("component", "key").alias("comp"))
         mixed = own.groupBy("hub").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("hub")
-        parts = own.join(mixed, "hub", "left_semi").groupBy("hub", "part").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+        parts = own.join(mixed.hint("merge"), "hub", "left_semi").groupBy("hub", "part").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
         x, y = parts.alias("x"), parts.alias("y")
         jobs = x.join(
-            y,
+            y.hint("merge"),
             F.expr(f"x.hub = y.hub and x.part <= y.part and x.most * 100 >= y.least * {percent} and y.most * 100 >= x.least * {percent} and not (x.lo = x.hi and y.lo = y.hi and x.lo = y.lo)"),
         ).select(F.col("x.hub").alias("hub"), F.col("x.part").alias("p"), F.col("y.part").alias("q"), F.xxhash64("x.hub", "x.part", "y.part").alias("job"))
         if only is not None:
-            jobs = jobs.join(only, "job", "left_semi")
+            jobs = jobs.join(only.hint("merge"), "job", "left_semi")
         sides = jobs.select("hub", "job", F.explode(F.expr("if(p = q, array(struct(p as part, 0 as side)), array(struct(p as part, 0 as side), struct(q as part, 1 as side)))")).alias("s")).select("hub", "job", "s.part", "s.side")
-        loaded = sides.join(own, ["hub", "part"]).join(narrow.select("key", "bits"), "key").select("job", "side", "key", "n", "comp", "bits")
-        return staged(loaded.repartition("job").sortWithinPartitions("job").mapInArrow(_traverse(percent, forest), "a long, b long, job long"), "found")
+        loaded = sides.join(own.hint("merge"), ["hub", "part"]).join(narrow.select("key", "bits").hint("merge"), "key").select("job", "side", "key", "n", "comp", "bits")
+        return staged(loaded.repartition("job").sortWithinPartitions("job").mapInArrow(frugal(_traverse(percent, forest)), "a long, b long, job long"), "found")
 
     def sized(found: DataFrame) -> DataFrame:
         pairs = found.where("a is not null").select("a", "b").distinct()
-        return pairs.join(narrow.select(F.col("key").alias("a"), F.col("n").alias("na")), "a").join(narrow.select(F.col("key").alias("b"), F.col("n").alias("nb")), "b").select("a", "b", "na", "nb")
+        return pairs.join(narrow.select(F.col("key").alias("a"), F.col("n").alias("na")).hint("merge"), "a").join(narrow.select(F.col("key").alias("b"), F.col("n").alias("nb")).hint("merge"), "b").select("a", "b", "na", "nb")
 
     def sets_for(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct().join(classes.select("key", "rep"), "key")
+        wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct().join(classes.select("key", "rep").hint("merge"), "key")
         return staged(_sets_of(docs, wanted, width), "sets")
 
+    def some(df: DataFrame) -> bool:
+        return df.limit(1).count() > 0
+
     tried = staged(sized(candidates(primary, None, True)), "pairs")
-    first = staged(_verified(tried, sets_for(tried), percent), "links")
-    again = candidates(members, first, True)
-    more = staged(sized(again).join(tried.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-    sets = sets_for(more)
-    second = staged(first.unionByName(_verified(more, sets, percent)), "links")
-    rest = sized(candidates(members, second, False, again.where("a is null").select("job").distinct()))
-    rest = staged(rest.join(tried.unionByName(more).select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-    third = _verified(rest, sets_for(rest), percent)
-    components = staged(connected_components(second.unionByName(third)), "components")
+    links = staged(_verified(tried, sets_for(tried), percent), "links")
+    components = staged(connected_components(links), "components")
+    again = candidates(members, components, True)
+    for forest in (True, False):
+        if forest:
+            found = again
+        elif some(again.where("a is null")):
+            found = candidates(members, components, False, again.where("a is null").select("job").distinct())
+        else:
+            break
+        if not some(found.where("a is not null")):
+            continue
+        more = staged(sized(found).join(tried.select("a", "b").hint("merge"), ["a", "b"], "left_anti"), "pairs")
+        if not some(more):
+            continue
+        new = staged(_verified(more, sets_for(more), percent), "links")
+        tried = tried.unionByName(more)
+        if some(new):
+            links = links.unionByName(new)
+            components = staged(connected_components(links), "components")
     return described_rows(rows), components
 
 
@@ -493,7 +509,7 @@ def ngram_components(documents: DataFrame, width: int = WIDTH, percent: int = PE
     """
     rows, components = ngram_classes(documents, width, percent, block)
     of_class = rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"))
-    placed = of_class.join(components.withColumnRenamed("node", "key"), "key", "left").select("key", "least", F.coalesce("component", "key").alias("root"))
+    placed = of_class.join(components.withColumnRenamed("node", "key").hint("merge"), "key", "left").select("key", "least", F.coalesce("component", "key").alias("root"))
     roots = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = placed.join(roots, "root").select("key", "component_id")
-    return rows.join(named.where("key <> 0"), "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    named = placed.join(roots.hint("merge"), "root").select("key", "component_id")
+    return rows.join(named.where("key <> 0").hint("merge"), "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
