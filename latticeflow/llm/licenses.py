@@ -6,8 +6,8 @@ the notices below, their variants and a bounded sample of ordinary paragraphs, a
 temperature is fitted on held-out folds, so that the unknown class is calibrated.  A predicted
 family must be confirmed by comparison with its notices.
 
-A paragraph without an anchor has no feature and is unknown by definition; scoring is one
-narrow projection without a shuffle.
+A paragraph without any sign of a licence (``SIGNS``) is unknown by definition; scoring is
+one narrow projection without a shuffle.
 """
 
 from __future__ import annotations
@@ -23,7 +23,9 @@ UNKNOWN = "unknown"
 SAMPLE_PARAGRAPHS = 1000
 MOST_FEATURES = 400
 CONFIRM = 0.6
-ANCHORS = ("license", "licence", "licensed", "licenced", "licenses", "gnu", "gpl", "lgpl", "agpl", "apache", "bsd", "mozilla", "commons", "copyright", "warranty", "spdx-license-identifier", "redistribution", "unlicense")
+ANCHORS = ("license", "licence", "licensed", "licenced", "licenses", "gnu", "gpl", "lgpl", "agpl", "apache", "bsd", "mozilla", "commons", "copyright", "warranty", "spdx-license-identifier", "redistribution", "unlicense", "cc", "cc0")
+#: A paragraph is looked at if it holds one of these, in any case, anywhere.
+SIGNS = ("licen", "gnu", "gpl", "apache", "bsd", "mozilla", "commons", "copyright", "warranty", "redistribution")
 #: Usual short notices of each family.
 NOTICES = {
     "apache": ("licensed under the apache license, version 2.0", "distributed under the apache license version 2.0", "spdx-license-identifier: apache-2.0", "released under the apache license 2.0"),
@@ -112,7 +114,8 @@ class Classifier:
 
     def predict(self, paragraph: str) -> list[float]:
         """Probabilities by family, in plain Python (what the projection computes)."""
-        return softmax([v / self.temperature for v in self._logits(self.weights, self.bias, ngrams(words(paragraph)))])
+        grams = ngrams(words(paragraph)) if any(s in paragraph.lower() for s in SIGNS) else []
+        return softmax([v / self.temperature for v in self._logits(self.weights, self.bias, grams)])
 
 
 def softmax(z: list[float]) -> list[float]:
@@ -132,26 +135,26 @@ def confirmed(paragraph: str, family: str) -> float:
 
 
 def fit(documents: DataFrame, sample: int = SAMPLE_PARAGRAPHS) -> Classifier:
-    """Trained with up to ``sample`` anchor-bearing ordinary paragraphs, those with the smallest hashes.
+    """Trained with up to ``sample`` ordinary paragraphs with a sign of a licence, those with the smallest hashes.
 
     A paragraph that a notice is confirmed in is no ordinary one and is left out.
     """
     paragraph = F.explode(F.split(F.col("text").cast("string"), "\n"))
-    some = documents.where(_any_anchor(F.lower(F.col("text").cast("string")))).select(paragraph.alias("p")).where(_any_anchor(F.lower("p")))
+    some = documents.where(_has_sign(F.lower(F.col("text").cast("string")))).select(paragraph.alias("p")).where(_has_sign(F.lower("p")))
     rows = some.where(F.length("p") <= 2000).orderBy(F.xxhash64("p"), "p").limit(sample).collect()
     return Classifier(sorted({r["p"] for r in rows if not any(confirmed(r["p"], f) >= CONFIRM for f in NOTICES)}))
 
 
-def _any_anchor(lowered: Column) -> Column:
-    """A cheap superset of "has an anchor word": substrings that cover all anchors."""
+def _has_sign(lowered: Column) -> Column:
+    """Whether a text has a sign of a licence: plain substring searches."""
     out = F.lit(False)
-    for part in ("licen", "gnu", "gpl", "apache", "bsd", "mozilla", "commons", "copyright", "warranty", "redistribution"):
+    for part in SIGNS:
         out = out | F.contains(lowered, F.lit(part))
     return out
 
 
 def _scan(model: Classifier) -> Column:
-    """Array of ``(paragraph, family, probability, overlap)`` of the text's anchor-bearing paragraphs."""
+    """Array of ``(paragraph, family, probability, overlap)`` of the text's paragraphs with a sign of a licence."""
     doubles = lambda xs: "array(" + ", ".join(f"{float(x)!r}D" for x in xs) + ")"
     text = lambda s: "'" + s.replace("'", "''") + "'"
     t = model.temperature
@@ -170,12 +173,12 @@ def _scan(model: Classifier) -> Column:
     family = f"{names}[cast(array_position(z, array_max(z)) as int) - 1]"
     overlap = let("b", f"array_distinct({runs(2)})", f"coalesce(array_max(transform({templates}[f], n -> cast(size(array_intersect(n, b)) as double) / size(n))), 0D)")
     body = let("z", logits, let("f", family, f"named_struct('paragraph', pos, 'family', f, 'probability', {probability}, 'overlap', if(f = '{UNKNOWN}', 0D, {overlap}))"))
-    scored = let("weights", table, f"transform(paras, (p, pos) -> if({_sql_anchor('lower(p)')}, {let('w', _sql_words('p'), body)}, null))")
+    scored = let("weights", table, f"transform(paras, (p, pos) -> if({_sql_sign('lower(p)')}, {let('w', _sql_words('p'), body)}, null))")
     return F.expr(f"filter({let('paras', 'split(txt, chr(10))', scored)}, x -> x is not null)")
 
 
-def _sql_anchor(lowered: str) -> str:
-    return "(" + " or ".join(f"contains({lowered}, '{p}')" for p in ("licen", "gnu", "gpl", "apache", "bsd", "mozilla", "commons", "copyright", "warranty", "redistribution")) + ")"
+def _sql_sign(lowered: str) -> str:
+    return "(" + " or ".join(f"contains({lowered}, '{p}')" for p in SIGNS) + ")"
 
 
 def _sql_words(p: str) -> str:
@@ -186,13 +189,13 @@ def license_scan(documents: DataFrame, model: Classifier | None = None) -> DataF
     """``(doc_id, n_notices, families, probability, notices)``, a row per document.
 
     ``families`` are the confirmed families in order, joined by commas (null if none), and
-    ``probability`` their best.  ``notices`` lists every paragraph with an anchor and its
+    ``probability`` their best.  ``notices`` lists every paragraph with a sign and its
     verdict; paragraphs are lines.  Null and empty texts have none; null and repeated
     doc_ids keep their rows; other columns are not read.
     """
     model = model or fit(documents)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("txt"))
-    scanned = docs.select("doc_id", F.when(_any_anchor(F.lower("txt")), _scan(model)).alias("notices"))
+    scanned = docs.select("doc_id", F.when(_has_sign(F.lower("txt")), _scan(model)).alias("notices"))
     sure = F.filter("notices", lambda x: (x["family"] != UNKNOWN) & (x["overlap"] >= CONFIRM))
     out = scanned.withColumn("sure", F.coalesce(sure, F.filter(F.array(F.struct(F.lit(0).alias("paragraph"), F.lit("").alias("family"), F.lit(0.0).alias("probability"), F.lit(0.0).alias("overlap"))), lambda x: F.lit(False))))
     return out.select(
