@@ -2,14 +2,16 @@
 
 A bounded, stratified sample of labelled documents is the index (``EXAMPLES`` a class, those
 with the smallest hashes).  Terms are runs of letters, A-Z lower-cased, and the stems of
-longer ones, kept where their association with the label is beyond its sampling error; document frequencies for the IDF
-count every document.  The index is an inverted index in blocks of examples with each term's
-largest weight per block.  A query visits blocks by falling upper bound and stops when the
-bound drops below its k-th best cosine, so the neighbours are exact.  Their distance-weighted
-votes, corrected for the sampling rates, are calibrated by a logistic fit on leave-one-out
-votes of the index itself.
-
-Index and vocabulary are bounded by parameters, so broadcasting them is safe at any size.
+longer ones: every term of every example counts, and a document's cosine with an example is
+over all of the document's terms that any example has.  Document frequencies for the IDF
+count every document.  All cosines of a document are computed, so the neighbours are exact.
+
+A score is a logistic fit of two votes, on leave-one-out votes of the index itself: that of
+the neighbours by all terms (the ``evidence``), and, as an extra, that of the neighbours by
+the ``TERMS`` terms whose association with the label is beyond its sampling error.  Votes are
+distance-weighted and corrected for the sampling rates.
+
+The index is bounded by the examples, so broadcasting it is safe at any size.
 """
 
 from __future__ import annotations
@@ -28,7 +30,9 @@ from latticeflow.llm.kernels import LETTERS, Chunk, chunks
 EXAMPLES = 2048
 TERMS = 1024
 NEIGHBOURS = 15
-BLOCK = 64
+COMMON = 512  # terms of the most examples, as a dense matrix
+QUERIES = 64  # documents compared at once
+SLICE = 512  # terms whose frequencies travel as a row
 CONFIDENCE = 3.0
 LEAST_DOCS = 4
 STEMS = (4, 5, 6, 7, 9)  # bytes of a stem
@@ -39,132 +43,205 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("long").cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
 
 
-def _terms(low: Chunk) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of each document's words and of the stems of longer ones (0: no such stem), and bounds per document."""
-    starts, ends, bounds = low.words(LETTERS)
+def _terms(low: Chunk, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of words and of the stems of longer ones (0: no such stem), a row a word."""
     columns = [low.hashes(starts, ends)]
     for n in STEMS:
         stem = low.hashes(starts, np.minimum(ends, starts + n)) ^ np.uint64(n)
         columns.append(np.where(ends - starts > n, stem, np.uint64(0)))
-    return np.stack(columns, 1).reshape(-1), bounds * len(columns)
+    return np.stack(columns, 1)
+
+
+def _places(known: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Places of hashes in the sorted ``known``; -1 for others."""
+    if not len(known):
+        return np.full(hashes.shape, -1, np.int32)
+    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+    return np.where((known[at] == hashes) & (hashes != 0), at, -1).astype(np.int32)
 
 
 def _document_terms(batch: pa.RecordBatch, known: np.ndarray | None):
     """Per document: distinct term hashes (or places in the sorted ``known``) and counts."""
     for chunk in chunks(batch.column("text")):
-        hashes, bounds = _terms(chunk.lower())
-        if known is None:
-            for k in range(len(chunk)):
-                own = hashes[bounds[k] : bounds[k + 1]]
-                yield chunk.first + k, *np.unique(own[own != 0], return_counts=True)
-            continue
-        if not len(known):
-            for k in range(len(chunk)):
-                yield chunk.first + k, np.empty(0, np.int64), np.empty(0, np.int64)
-            continue
-        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-        found = np.flatnonzero(known[at] == hashes)
-        inner = np.searchsorted(found, bounds)
-        at = at[found]
+        low = chunk.lower()
+        starts, ends, bounds = low.words(LETTERS)
+        _, first, word = np.unique(low.hashes(starts, ends), return_index=True, return_inverse=True)
+        terms = _terms(low, starts[first], ends[first])
+        none = np.uint64(0)
+        if known is not None:
+            terms, none = _places(known, terms), np.int32(-1)
         for k in range(len(chunk)):
-            if inner[k] == inner[k + 1]:
-                yield chunk.first + k, np.empty(0, np.int64), np.empty(0, np.int64)
-            else:
-                yield chunk.first + k, *np.unique(at[inner[k] : inner[k + 1]], return_counts=True)
+            own = terms[word[bounds[k] : bounds[k + 1]]].reshape(-1)
+            own = np.sort(own[own != none])
+            heads = np.flatnonzero(np.concatenate([np.ones(min(1, len(own)), bool), own[1:] != own[:-1]]))
+            yield chunk.first + k, own[heads], np.diff(heads, append=len(own))
 
 
 def _term_lists(batches):
     for batch in batches:
         rows = [(t.view(np.int64), c) for _, t, c in _document_terms(batch, None)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array([r[0] for r in rows], pa.list_(pa.int64())), pa.array([r[1] for r in rows], pa.list_(pa.int64()))], names=["doc_id", "toxic", "terms", "counts"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array([r[0] for r in rows], pa.list_(pa.int64())), pa.array([r[1] for r in rows], pa.list_(pa.int32()))], names=["doc_id", "toxic", "terms", "counts"])
+
 
+def _slices(total: np.ndarray):
+    """Rows ``(slice, docs)`` of the slices of ``total`` that are not all zero."""
+    rows = [(b, total[b * SLICE : (b + 1) * SLICE]) for b in range(-(-len(total) // SLICE))]
+    rows = [r for r in rows if r[1].any()]
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int64()))], names=["slice", "docs"])
 
-def _frequencies(known: np.ndarray):
+
+def _frequencies(known):
     def run(batches):
-        total = np.zeros(len(known), np.int64)
+        terms = known.value
+        total = np.zeros(len(terms), np.int64)
         for batch in batches:
-            for _, at, _ in _document_terms(batch, known):
+            for _, at, _ in _document_terms(batch, terms):
                 total[at] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(known))), pa.array(total)], names=["term", "docs"])
+        yield _slices(total)
+
+    return run
+
+
+def _added(n: int):
+    def run(batches):
+        total = np.zeros(n, np.int64)
+        for batch in batches:
+            for b, docs in zip(batch.column("slice").to_pylist(), batch.column("docs")):
+                total[b * SLICE : (b + 1) * SLICE] += docs.values.to_numpy()
+        yield _slices(total)
 
     return run
 
 
 class Index:
-    """Block-max inverted index of weighted examples."""
+    """Inverted index of weighted examples; the terms of the most examples as a dense matrix."""
 
     def __init__(self, known: np.ndarray, idf: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, weights: np.ndarray, ids: np.ndarray, k: int):
         self.known, self.idf, self.k = known, idf, k
-        order = sorted(range(len(vectors)), key=lambda i: (int(vectors[i][0][np.argmax(vectors[i][1])]), i))
-        self.labels, self.weights, self.ids = labels[order], weights[order], ids[order]
-        self.n = len(order)
-        blocks = -(-max(self.n, 1) // BLOCK)
-        self.most = np.zeros((len(known), blocks))
-        lists: list[list] = [[] for _ in range(blocks)]
-        for place, i in enumerate(order):
-            at, w = vectors[i]
-            b = place // BLOCK
-            self.most[at, b] = np.maximum(self.most[at, b], w)
-            lists[b] += zip(at.tolist(), [place % BLOCK] * len(at), w.tolist())
-        self.blocks = []
-        for entries in lists:
-            entries.sort()
-            terms = np.array([e[0] for e in entries], np.int64)
-            self.blocks.append((np.searchsorted(terms, np.arange(len(known) + 1)), np.array([e[1] for e in entries], np.int64), np.array([e[2] for e in entries], float)))
-        self.empty, self.scale = 0.0, (1.0, 0.0)
+        self.labels, self.weights, self.ids, self.n = labels, weights, ids, len(vectors)
+        places = np.repeat(np.arange(self.n, dtype=np.int32), [len(at) for at, _ in vectors])
+        terms = np.concatenate([np.empty(0, np.int32), *(at.astype(np.int32) for at, _ in vectors)])
+        order = np.argsort(terms, kind="stable")
+        self.heads = np.concatenate([[0], np.cumsum(np.bincount(terms, minlength=len(known)))])
+        del terms
+        self.places = places[order]
+        self.values = np.concatenate([np.empty(0), *(w for _, w in vectors)])[order]
+        self.dense = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"dense": None}
+
+    def _split(self) -> None:
+        """The dense rows of the most frequent terms, made where they are used."""
+        sizes = np.diff(self.heads)
+        common = np.sort(np.argsort(-sizes, kind="stable")[:COMMON])
+        self.row = np.full(len(sizes), -1, np.int32)
+        self.row[common] = np.arange(len(common))
+        self.dense = np.zeros((len(common), self.n))
+        for r, t in enumerate(common.tolist()):
+            s, e = self.heads[t], self.heads[t + 1]
+            self.dense[r, self.places[s:e]] = self.values[s:e]
 
     def weigh(self, at: np.ndarray, counts: np.ndarray) -> np.ndarray:
         w = (1.0 + np.log(counts)) * self.idf[at]
         length = math.sqrt(float((w * w).sum()))
         return w / length if length else w
 
+    def nearest_of(self, queries: list[tuple[np.ndarray, np.ndarray]], skips: list[int] | None = None) -> list[list[tuple[float, int]]]:
+        """For each query the ``k`` examples of largest positive cosine, ties to the earlier: ``(cosine, place)``."""
+        out = []
+        for first in range(0, len(queries), QUERIES):
+            part = queries[first : first + QUERIES]
+            scores = self._cosines(part)
+            for i, own in enumerate(scores):
+                if skips is not None:
+                    own[skips[first + i]] = 0.0
+                hits = np.flatnonzero(own > 0)
+                if len(hits) > self.k:
+                    floor = np.partition(own, self.n - self.k)[self.n - self.k]
+                    hits = hits[own[hits] >= floor - 2e-12]
+                best = sorted(((float(own[p]), p) for p in hits.tolist()), key=lambda x: (-round(x[0], 12), x[1]))
+                out.append(best[: self.k])
+        return out
+
+    def _cosines(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        if self.dense is None:
+            self._split()
+        common = np.zeros((len(queries), len(self.dense)))
+        rare = []
+        for q, (at, w) in enumerate(queries):
+            row = self.row[at]
+            common[q, row[row >= 0]] = w[row >= 0]
+            rare.append((at[row < 0], w[row < 0]))
+        scores = common @ self.dense
+        for q, (at, w) in enumerate(rare):
+            sizes = self.heads[at + 1] - self.heads[at]
+            ends = np.cumsum(sizes)
+            if len(ends) and ends[-1]:
+                own = np.arange(ends[-1]) + np.repeat(self.heads[at] - ends + sizes, sizes)
+                scores[q] += np.bincount(self.places[own], self.values[own] * np.repeat(w, sizes), self.n)
+        return scores
+
     def nearest(self, at: np.ndarray, w: np.ndarray, skip: int = -1) -> list[tuple[float, int]]:
-        """The ``k`` examples of largest positive cosine, ties to the earlier: ``(cosine, place)``."""
-        bound = w @ self.most[at]
-        best: list[tuple[float, int]] = []
-        floor = 0.0
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or (len(best) == self.k and bound[b] < floor - 1e-12):
-                break
-            heads, places, values = self.blocks[b]
-            scores = np.zeros(BLOCK)
-            for t, x in zip(at.tolist(), w.tolist()):
-                s, e = heads[t], heads[t + 1]
-                scores[places[s:e]] += x * values[s:e]
-            if skip // BLOCK == b and skip >= 0:
-                scores[skip % BLOCK] = 0.0
-            hits = np.flatnonzero(scores > (floor - 1e-12 if len(best) == self.k else 0))
-            best += [(float(scores[i]), b * BLOCK + int(i)) for i in hits]
-            best = sorted(best, key=lambda p: (-round(p[0], 12), p[1]))[: self.k]
-            floor = best[-1][0] if len(best) == self.k else 0.0
-        return best
-
-    def vote(self, neighbours: list[tuple[float, int]]) -> float:
-        """Share of label 1 among the neighbours, each by its weight and nearness."""
+        """:meth:`nearest_of` one query."""
+        return self.nearest_of([(at, w)], [skip] if skip >= 0 else None)[0]
+
+    def vote(self, neighbours: list[tuple[float, int]]) -> float | None:
+        """Share of label 1 among the neighbours, each by its weight and nearness; null without any."""
         if not neighbours:
-            return self.empty
+            return None
         places = [p for _, p in neighbours]
         near = np.array([1.0 / (1.05 - min(c, 1.0)) for c, _ in neighbours]) * self.weights[places]
         return float((near * self.labels[places]).sum() / near.sum())
 
-    def score(self, vote: float) -> float:
-        slope, shift = self.scale
-        return 1.0 / (1.0 + math.exp(-max(-40.0, min(40.0, slope * vote + shift))))
-
 
-def _calibrated(votes: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple[float, float]:
-    """Weighted, lightly penalised logistic fit by Newton steps; the slope never points down."""
-    x = np.stack([votes, np.ones(len(votes))], 1)
-    w, beta = weights / weights.sum() * len(weights), np.array([4.0, -2.0])
+class Model:
+    """An index by all terms, one by the terms with a label, and what their votes say."""
+
+    def __init__(self, whole: Index, marked: Index):
+        self.whole, self.marked = whole, marked
+        self.inner = np.full(len(whole.known), -1, np.int32)
+        self.inner[np.searchsorted(whole.known, marked.known)] = np.arange(len(marked.known))
+        self.empty, self.scale = (0.0, 0.0), (0.0, 0.0, 0.0)
+
+    def neighbours(self, documents: list[tuple[np.ndarray, np.ndarray]], own: bool = False) -> tuple[list, list]:
+        """Neighbours by all terms and by terms with a label; ``own``: the documents are the examples."""
+        found = []
+        for index, inner in ((self.whole, None), (self.marked, self.inner)):
+            queries = []
+            for at, counts in documents:
+                if inner is not None:
+                    at, counts = inner[at], counts[inner[at] >= 0]
+                    at = at[at >= 0]
+                queries.append((at, index.weigh(at, counts)))
+            found.append(index.nearest_of(queries, list(range(len(queries))) if own else None))
+        return tuple(found)
+
+    def score(self, votes: tuple[float | None, float | None]) -> float:
+        z = self.scale[-1] + sum(slope * (e if v is None else v) for slope, v, e in zip(self.scale, votes, self.empty))
+        return 1.0 / (1.0 + math.exp(-max(-40.0, min(40.0, z))))
+
+
+def _calibrated(votes: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple[float, ...]:
+    """Weighted, lightly penalised logistic fit by Newton steps to a column a vote; no slope points down."""
+    n = votes.shape[1]
+    x = np.concatenate([votes, np.ones((len(votes), 1))], 1)
+    w, beta = weights / weights.sum() * len(weights), np.array([4.0] * n + [-2.0])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -40, 40)))
         slope = x.T @ (w * (labels - p)) - 0.01 * beta
-        bend = (x * (w * p * (1 - p))[:, None]).T @ x + 0.01 * np.eye(2)
+        bend = (x * (w * p * (1 - p))[:, None]).T @ x + 0.01 * np.eye(n + 1)
         step = np.linalg.solve(bend, slope)
         beta = beta + np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-9:
             break
-    return max(float(beta[0]), 0.1), float(beta[1])
+    if n > 1 and beta[:n].min() < 0:  # a vote that points down is left out, and the others fitted again
+        kept = [k for k in range(n) if k != int(beta[:n].argmin())]
+        rest = _calibrated(votes[:, kept], labels, weights)
+        out = np.zeros(n + 1)
+        out[[*kept, n]] = rest
+        return tuple(out.tolist())
+    return (*(max(float(v), 0.1 if n == 1 else 0.0) for v in beta[:n]), float(beta[n]))
 
 
 def selected_terms(flat: np.ndarray, label: np.ndarray, n1: int, n0: int, terms: int) -> np.ndarray:
@@ -184,8 +261,8 @@ def selected_terms(flat: np.ndarray, label: np.ndarray, n1: int, n0: int, terms:
     return names[strong[order[:terms]]]
 
 
-def fit(documents: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int = TERMS, k: int = NEIGHBOURS) -> Index:
-    """The index learned from labelled documents that are not held out."""
+def fit(documents: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int = TERMS, k: int = NEIGHBOURS) -> Model:
+    """The model learned from labelled documents that are not held out."""
     small_batches(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").where(~held_out())
@@ -196,7 +273,7 @@ def fit(documents: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms
     for y in (0, 1):
         part = known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples)
         chosen = part if chosen is None else chosen.unionByName(part)
-    rows = docs.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).mapInArrow(frugal(_term_lists), "doc_id long, toxic int, terms array<long>, counts array<long>").toArrow().sort_by("doc_id").combine_chunks()
+    rows = docs.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).mapInArrow(frugal(_term_lists), "doc_id long, toxic int, terms array<long>, counts array<int>").toArrow().sort_by("doc_id").combine_chunks()
     y = rows.column("toxic").to_numpy().astype(np.int64)
     ids = rows.column("doc_id").to_numpy()
     flat, n_flat = (rows.column(c).combine_chunks().flatten().to_numpy() for c in ("terms", "counts"))
@@ -206,56 +283,73 @@ def fit(documents: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms
     got = np.bincount(y, minlength=2)
     rates = np.array([sizes.get(c, 0) / max(1, got[c]) for c in (0, 1)])
     weights = rates[y] if len(y) else np.empty(0)
-    strong = selected_terms(flat, np.repeat(y, lengths), int(y.sum()), int((1 - y).sum()), terms)
-    vocabulary = np.sort(strong.view(np.uint64))
+    strong = np.sort(selected_terms(flat, np.repeat(y, lengths), int(y.sum()), int((1 - y).sum()), terms).view(np.uint64))
+    vocabulary = np.unique(flat.view(np.uint64))
+    at = _places(vocabulary, flat.view(np.uint64))
+    del flat
     total = max(1, documents.count())
     freq = np.zeros(len(vocabulary))
     if len(vocabulary):
-        for r in docs.mapInArrow(frugal(_frequencies(vocabulary)), "term long, docs long").groupBy("term").agg(F.sum("docs").alias("docs")).collect():
-            freq[r["term"]] = r["docs"]
-    index = Index(vocabulary, np.log((1.0 + total) / (1.0 + freq)) + 1.0, [], np.empty(0), np.empty(0), np.empty(0), k)
-    vectors, rest = [], []
-    flat = flat.view(np.uint64)
-    for i in range(len(y)):
-        own, n = flat[bounds[i] : bounds[i + 1]], n_flat[bounds[i] : bounds[i + 1]]
-        at = np.searchsorted(vocabulary, own)
-        hit = np.flatnonzero(vocabulary[np.minimum(at, len(vocabulary) - 1)] == own) if len(vocabulary) else np.empty(0, np.int64)
-        (vectors if len(hit) else rest).append((i, at[hit], n[hit]))
-    del flat, n_flat
+        shared = documents.sparkSession.sparkContext.broadcast(vocabulary)
+        parts = docs.select("text").mapInArrow(frugal(_frequencies(shared)), "slice long, docs array<long>").repartition("slice")
+        for r in parts.mapInArrow(frugal(_added(len(vocabulary))), "slice long, docs array<long>").toArrow().to_batches():
+            for b, seen in zip(r.column("slice").to_pylist(), r.column("docs")):
+                freq[b * SLICE : (b + 1) * SLICE] = seen.values.to_numpy()
+    idf = np.log((1.0 + total) / (1.0 + freq)) + 1.0
     release()
-    use = [i for i, _, _ in vectors]
-    index = Index(vocabulary, index.idf, [(at, index.weigh(at, n)) for _, at, n in vectors], y[use].astype(float), weights[use], ids[use], k)
-    lone = [i for i, _, _ in rest]
+    own = [(at[s:e], n_flat[s:e]) for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+    places = np.searchsorted(vocabulary, strong)
+
+    def index(known: np.ndarray, weight: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]]) -> Index:
+        out = Index(known, weight, [], np.empty(0), np.empty(0), np.empty(0), k)
+        return Index(known, weight, [(a, out.weigh(a, n)) for a, n in vectors], y.astype(float), weights, ids, k)
+
+    inner = np.full(len(vocabulary), -1, np.int32)
+    inner[places] = np.arange(len(places))
+    model = Model(index(vocabulary, idf, own), index(strong, idf[places], [(inner[a][inner[a] >= 0], n[inner[a] >= 0]) for a, n in own]))
     share = float(weights[y == 1].sum() / weights.sum()) if len(y) else 0.0
-    index.empty = float((weights[lone] * y[lone]).sum() + share) / (weights[lone].sum() + 1.0) if lone else share
-    place = {int(d): p for p, d in enumerate(index.ids.tolist())}
-    votes = np.array([index.empty] * len(lone) + [index.vote(index.nearest(at, index.weigh(at, n), place[int(ids[i])])) for i, at, n in vectors])
-    truth = np.concatenate([y[lone], y[use]]).astype(float)
-    if len(votes) and 0 < truth.sum() < len(truth):
-        index.scale = _calibrated(votes, truth, np.concatenate([weights[lone], weights[use]]))
+    votes = np.array([[index.vote(f) for f in found] for index, found in zip((model.whole, model.marked), model.neighbours(own, True))], float).T.reshape(-1, 2)  # null: nan
+    lone = np.isnan(votes)
+    # the votes of examples without neighbours are their own share of label 1
+    model.empty = tuple(float((weights[m] * y[m]).sum() + share) / (float(weights[m].sum()) + 1.0) for m in lone.T)
+    votes = np.where(lone, np.array(model.empty), votes)
+    if 0 < y.sum() < len(y):
+        model.scale = _calibrated(votes, y.astype(float), weights)
     else:  # one class or none: the plain share
-        index.scale = (0.0, math.log((share + 1e-3) / (1 - share + 1e-3)))
-    return index
+        model.scale = (0.0, 0.0, math.log((share + 1e-3) / (1 - share + 1e-3)))
+    return model
 
 
-def scored(documents: DataFrame, index: Index) -> DataFrame:
+def scored(documents: DataFrame, model: Model) -> DataFrame:
     """``(doc_id, held_out, score, predicted, evidence)`` of all rows; evidence lists neighbours ``(doc_id, cosine, label)``.
 
-    Null and empty texts, and texts without a known term, have the score of such examples.
+    Null and empty texts, and texts that share no term with any example, have null evidence.
     Null and repeated doc_ids keep their rows; other columns are not read.
     """
-    shared = documents.sparkSession.sparkContext.broadcast(index)
+    shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         own = shared.value
+        whole, marked = own.whole, own.marked
         kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
         for batch in batches:
-            scores, evidence = np.full(batch.num_rows, own.score(own.empty)), [None] * batch.num_rows
-            for row, at, counts in _document_terms(batch, own.known):
+            scores, evidence = np.full(batch.num_rows, own.score((None, None))), [None] * batch.num_rows
+            rows, queries = [], []
+
+            def settle():
+                for row, near, also in zip(rows, *own.neighbours(queries)):
+                    scores[row] = own.score((whole.vote(near), marked.vote(also)))
+                    evidence[row] = [{"doc_id": int(whole.ids[p]), "cosine": c, "label": int(whole.labels[p])} for c, p in near]
+                rows.clear()
+                queries.clear()
+
+            for row, at, counts in _document_terms(batch, whole.known):
                 if len(at):
-                    found = own.nearest(at, own.weigh(at, counts))
-                    scores[row] = own.score(own.vote(found))
-                    evidence[row] = [{"doc_id": int(own.ids[p]), "cosine": c, "label": int(own.labels[p])} for c, p in found]
+                    rows.append(row)
+                    queries.append((at, counts))
+                    if len(rows) == QUERIES:
+                        settle()
+            settle()
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("held_out"), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32)), pa.array(evidence, kind)], names=["doc_id", "held_out", "score", "predicted", "evidence"]
             )
@@ -265,5 +359,5 @@ def scored(documents: DataFrame, index: Index) -> DataFrame:
 
 
 def toxicity(documents: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int = TERMS, k: int = NEIGHBOURS) -> DataFrame:
-    """:func:`scored` with the index of :func:`fit`; an empty label table scores all rows alike."""
+    """:func:`scored` with the model of :func:`fit`; an empty label table scores all rows alike."""
     return scored(documents, fit(documents, labels, examples, terms, k))

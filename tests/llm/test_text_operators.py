@@ -3,6 +3,7 @@
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,7 @@ from latticeflow.llm.mixing import mixed_documents, taken_words
 from latticeflow.llm.ngram_join import ngram_components
 from latticeflow.llm.packing import pack
 from latticeflow.llm.tokencount import token_counts
-from latticeflow.llm.toxicity import Index, toxicity
+from latticeflow.llm.toxicity import STEMS, Index, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, n int, component string, bits int, tile int, token string"
 WORDS = [f"w{i}" for i in range(300)] + ["É", "naïve", "ABC", "abc", "ß"]
@@ -279,3 +280,36 @@ def test_page_languages(spark):
         assert got[i].lang == l and got[i].accepted
     assert got[100].lang == got[101].lang == "und" and not got[101].accepted
     assert got[102].lang == "de"
+
+
+def test_toxicity_weighs_every_term_of_the_examples(spark):
+    rng = random.Random(4)
+    rows, labels = [], []
+    for i in range(300):
+        words = [rng.choice(WORDS[:300]) for _ in range(rng.randrange(1, 40))] + (["vile"] if i % 5 == 0 else [])
+        rows.append((i, " ".join(re.sub(r"\d", lambda m: "abcdefghij"[int(m[0])], w) for w in words), "en", "a", 1, "x", 1, "y", 2, 3, "z"))
+        labels.append((i, int(i % 5 == 0)))
+    rows.append((300, "12 34", "en", "a", 1, "x", 1, "y", 2, 3, "z"))
+    got = {r.doc_id: r for r in toxicity(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+
+    def terms(text):
+        own = re.findall("[a-z]+", text.lower())
+        return [t for w in own for t in [w, *((n, w[:n]) for n in STEMS if len(w) > n)]]
+
+    docs = {r[0]: Counter(terms(r[1])) for r in rows}
+    df = Counter(t for d in docs.values() for t in d)
+    examples = [i for i in range(300) if zlib.crc32(str(i).encode()) % 5]
+    known = {t for i in examples for t in docs[i]}
+
+    def vector(i):
+        w = {t: (1 + np.log(n)) * (np.log((1 + len(rows)) / (1 + df[t])) + 1) for t, n in docs[i].items() if t in known}
+        length = sum(v * v for v in w.values()) ** 0.5
+        return {t: v / length for t, v in w.items()}
+
+    vectors = {i: vector(i) for i in docs}
+    assert got[300].evidence is None
+    for i in range(300):
+        cosines = {e: sum(w * vectors[e].get(t, 0) for t, w in vectors[i].items()) for e in examples}
+        best = sorted((c for c in cosines.values() if c > 0), reverse=True)[:15]
+        assert len(got[i].evidence) == len(best) and np.allclose([e.cosine for e in got[i].evidence], best)
+        assert all(abs(cosines[e.doc_id] - e.cosine) < 1e-9 for e in got[i].evidence)
