@@ -6,8 +6,9 @@ the notices below, their variants and a bounded sample of ordinary paragraphs, a
 temperature is fitted on held-out folds, so that the unknown class is calibrated.  A predicted
 family must be confirmed by comparison with its notices.
 
-A paragraph without any sign of a licence (``SIGNS``) is unknown by definition; scoring is
-one narrow projection without a shuffle.
+A paragraph is left out only if it has no sign of a licence.  The signs follow from ``ANCHORS``
+and ``NOTICES``: without one a paragraph has no model feature and no notice can be confirmed
+in it.  Scoring is one narrow projection without a shuffle.
 """
 
 from __future__ import annotations
@@ -21,11 +22,9 @@ from pyspark.sql import functions as F
 
 UNKNOWN = "unknown"
 SAMPLE_PARAGRAPHS = 1000
+#: Most n-grams taken by frequency; those of the notices are kept beside them.
 MOST_FEATURES = 400
 CONFIRM = 0.6
-ANCHORS = ("license", "licence", "licensed", "licenced", "licenses", "gnu", "gpl", "lgpl", "agpl", "apache", "bsd", "mozilla", "commons", "copyright", "warranty", "spdx-license-identifier", "redistribution", "unlicense", "cc", "cc0")
-#: A paragraph is looked at if it holds one of these, in any case, anywhere.
-SIGNS = ("licen", "gnu", "gpl", "apache", "bsd", "mozilla", "commons", "copyright", "warranty", "redistribution")
 #: Usual short notices of each family.
 NOTICES = {
     "apache": ("licensed under the apache license, version 2.0", "distributed under the apache license version 2.0", "spdx-license-identifier: apache-2.0", "released under the apache license 2.0"),
@@ -38,6 +37,7 @@ NOTICES = {
     "cc-by": ("licensed under cc by 4.0", "this work is licensed under a creative commons attribution 4.0 international license", "licensed under the creative commons attribution license"),
     "cc-by-sa": ("licensed under cc by-sa 4.0", "this work is licensed under a creative commons attribution-sharealike 4.0 international license"),
     "cc-by-nc": ("licensed under cc by-nc 4.0", "this work is licensed under a creative commons attribution-noncommercial 4.0 international license"),
+    "reserved": ("all rights reserved", "copyright by the author all rights reserved"),
     "cc0": ("released under the cc0 license", "dedicated to the public domain under the creative commons cc0 license", "released into the public domain under the unlicense"),
 }
 ORDINARY = (
@@ -52,6 +52,35 @@ def words(text: str) -> list[str]:
     return re.findall(_WORD, re.sub("[A-Z]", lambda m: m[0].lower(), text))
 
 
+def _bigrams(own: list[str]) -> list[str]:
+    return [" ".join(p) for p in zip(own, own[1:])]
+
+
+def _anchors(first: tuple[str, ...]) -> tuple[str, ...]:
+    """``first`` and more words, until no notice can be confirmed in a paragraph without any of them.
+
+    A notice that stays above ``CONFIRM`` without them gives its longest other words.
+    """
+    out = list(first)
+    for n in (n for ns in NOTICES.values() for n in ns):
+        pairs = {tuple(b.split(" ")) for b in _bigrams(words(n))}
+        rest = sorted({w for p in pairs for w in p} - set(out), key=lambda w: (-len(w), w))
+        while pairs and sum(not (set(p) & set(out)) for p in pairs) >= CONFIRM * len(pairs):
+            out.append(rest.pop(0))
+    return tuple(out)
+
+
+ANCHORS = _anchors(("license", "licence", "licensed", "licenced", "licenses", "gnu", "gpl", "lgpl", "agpl", "apache", "bsd", "mozilla", "commons", "copyright", "warranty", "spdx-license-identifier", "redistribution", "unlicense", "cc", "cc0", "permission", "reserved"))
+#: A paragraph is looked at if it holds one of these anywhere, in any case, or one of ``SHORT`` as a word.
+SHORT = tuple(a for a in ANCHORS if len(a) < 3 or a == "cc0")
+SIGNS = ("licen", *(a for a in ANCHORS if a not in SHORT and "licen" not in a and not any(b != a and b in a for b in ANCHORS if b not in SHORT)))
+_SHORT = "(^|[^A-Za-z0-9])(" + "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in a) for a in SHORT) + ")([^A-Za-z0-9]|$)"
+
+
+def has_sign(paragraph: str) -> bool:
+    return any(s in paragraph.lower() for s in SIGNS) or re.search(_SHORT, paragraph) is not None
+
+
 def ngrams(own: list[str]) -> list[str]:
     """Distinct runs of one to three words with an anchor."""
     out = dict.fromkeys(" ".join(own[i : i + n]) for n in (1, 2, 3) for i in range(len(own) - n + 1) if any(w in ANCHORS for w in own[i : i + n]))
@@ -77,8 +106,8 @@ class Classifier:
         for grams, _ in data:
             for g in grams:
                 counts[g] = counts.get(g, 0) + 1
-        names = sorted(counts, key=lambda g: (-counts[g], g))[:MOST_FEATURES]
-        kept = set(names)
+        kept = set(sorted(counts, key=lambda g: (-counts[g], g))[:MOST_FEATURES])
+        kept |= {g for ns in NOTICES.values() for n in ns for g in ngrams(words(n))}
         data = [([g for g in grams if g in kept], y) for grams, y in data]
         data = [d for d in data if d[0]] + [([], unknown)] * 20
         rng.shuffle(data)
@@ -114,7 +143,7 @@ class Classifier:
 
     def predict(self, paragraph: str) -> list[float]:
         """Probabilities by family, in plain Python (what the projection computes)."""
-        grams = ngrams(words(paragraph)) if any(s in paragraph.lower() for s in SIGNS) else []
+        grams = ngrams(words(paragraph)) if has_sign(paragraph) else []
         return softmax([v / self.temperature for v in self._logits(self.weights, self.bias, grams)])
 
 
@@ -124,10 +153,6 @@ def softmax(z: list[float]) -> list[float]:
     return [v / sum(e) for v in e]
 
 
-def _bigrams(own: list[str]) -> list[str]:
-    return [" ".join(p) for p in zip(own, own[1:])]
-
-
 def confirmed(paragraph: str, family: str) -> float:
     """Largest share of the two-word runs of one of the family's notices that the paragraph has."""
     have = set(_bigrams(words(paragraph)))
@@ -140,17 +165,17 @@ def fit(documents: DataFrame, sample: int = SAMPLE_PARAGRAPHS) -> Classifier:
     A paragraph that a notice is confirmed in is no ordinary one and is left out.
     """
     paragraph = F.explode(F.split(F.col("text").cast("string"), "\n"))
-    some = documents.where(_has_sign(F.lower(F.col("text").cast("string")))).select(paragraph.alias("p")).where(_has_sign(F.lower("p")))
+    some = documents.where(_has_sign(F.col("text").cast("string"))).select(paragraph.alias("p")).where(_has_sign(F.col("p")))
     rows = some.where(F.length("p") <= 2000).orderBy(F.xxhash64("p"), "p").limit(sample).collect()
     return Classifier(sorted({r["p"] for r in rows if not any(confirmed(r["p"], f) >= CONFIRM for f in NOTICES)}))
 
 
-def _has_sign(lowered: Column) -> Column:
-    """Whether a text has a sign of a licence: plain substring searches."""
-    out = F.lit(False)
+def _has_sign(text: Column) -> Column:
+    """Whether a text has a sign of a licence: plain substring searches, and the short anchors as words."""
+    out, lowered = F.lit(False), F.lower(text)
     for part in SIGNS:
         out = out | F.contains(lowered, F.lit(part))
-    return out
+    return out | (F.contains(lowered, F.lit("cc")) & F.rlike(text, F.lit(_SHORT)))
 
 
 def _scan(model: Classifier) -> Column:
@@ -173,12 +198,13 @@ def _scan(model: Classifier) -> Column:
     family = f"{names}[cast(array_position(z, array_max(z)) as int) - 1]"
     overlap = let("b", f"array_distinct({runs(2)})", f"coalesce(array_max(transform({templates}[f], n -> cast(size(array_intersect(n, b)) as double) / size(n))), 0D)")
     body = let("z", logits, let("f", family, f"named_struct('paragraph', pos, 'family', f, 'probability', {probability}, 'overlap', if(f = '{UNKNOWN}', 0D, {overlap}))"))
-    scored = let("weights", table, f"transform(paras, (p, pos) -> if({_sql_sign('lower(p)')}, {let('w', _sql_words('p'), body)}, null))")
+    scored = let("weights", table, f"transform(paras, (p, pos) -> if({_sql_sign('p')}, {let('w', _sql_words('p'), body)}, null))")
     return F.expr(f"filter({let('paras', 'split(txt, chr(10))', scored)}, x -> x is not null)")
 
 
-def _sql_sign(lowered: str) -> str:
-    return "(" + " or ".join(f"contains({lowered}, '{p}')" for p in SIGNS) + ")"
+def _sql_sign(p: str) -> str:
+    lowered = f"lower({p})"
+    return "(" + " or ".join(f"contains({lowered}, '{s}')" for s in SIGNS) + f" or (contains({lowered}, 'cc') and rlike({p}, r'{_SHORT}')))"
 
 
 def _sql_words(p: str) -> str:
@@ -195,7 +221,7 @@ def license_scan(documents: DataFrame, model: Classifier | None = None) -> DataF
     """
     model = model or fit(documents)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("txt"))
-    scanned = docs.select("doc_id", F.when(_has_sign(F.lower("txt")), _scan(model)).alias("notices"))
+    scanned = docs.select("doc_id", F.when(_has_sign(F.col("txt")), _scan(model)).alias("notices"))
     sure = F.filter("notices", lambda x: (x["family"] != UNKNOWN) & (x["overlap"] >= CONFIRM))
     out = scanned.withColumn("sure", F.coalesce(sure, F.filter(F.array(F.struct(F.lit(0).alias("paragraph"), F.lit("").alias("family"), F.lit(0.0).alias("probability"), F.lit(0.0).alias("overlap"))), lambda x: F.lit(False))))
     return out.select(

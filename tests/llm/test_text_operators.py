@@ -222,6 +222,19 @@ def test_license_scan_agrees_with_plain_model(spark):
         assert abs(own.overlap - licenses.confirmed(texts[i], own.family)) < 1e-12
 
 
+def test_license_gate_passes_all_that_could_count(spark):
+    signs = licenses.has_sign
+    assert all(signs(f"x ({a.upper()}) y") for a in licenses.ANCHORS) and not signs("a success according to plan")
+    for notice in (n for ns in licenses.NOTICES.values() for n in ns):
+        pairs = {tuple(p) for p in zip(licenses.words(notice), licenses.words(notice)[1:])}
+        assert sum(not signs(" ".join(p)) for p in pairs) < licenses.CONFIRM * max(1, len(pairs))
+    grant = "Permission is hereby granted, free of charge, to any person obtaining a copy"
+    texts = ["All rights reserved.", "Content available under CC BY-SA 4.0.", grant, f"{grant} of this software and associated documentation files", "Some prose.\nReleased under the MIT License. All rights reserved.", "He asked a person for permission to reserve a seat."]
+    rows = [(i, t, None, None, None, "x", 1, "y", 2, 3, "z") for i, t in enumerate(texts)]
+    got = {r.doc_id: r.families for r in license_scan(spark.createDataFrame(rows, SCHEMA), licenses.Classifier([])).collect()}
+    assert [got[i] for i in range(6)] == ["reserved", "cc-by-sa", "mit", "mit", "mit", None]
+
+
 def test_nearest_examples_match_brute_force():
     rng = np.random.default_rng(1)
     vectors = []
