@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 CHUNK_BYTES = 1 << 20
 _BLANK = np.zeros(256, bool)
@@ -20,9 +21,9 @@ LETTERS = np.zeros(256, bool)
 LETTERS[65:91] = LETTERS[97:123] = LETTERS[128:] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_POWERS: list[np.ndarray] = []
+#: Words beyond so many bytes are hashed one by one, others eight bytes at a time, all together.
+LANE_BYTES = 64
+_MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -34,21 +35,9 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-_BYTE_VALUE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 _PLACE = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, CHUNK_BYTES) + 1
-        _POWERS[:] = []
-        for base in (_BASE, _INVERSE):
-            run = np.full(size, base, np.uint64)
-            run[0] = 1
-            _POWERS.append(np.multiply.accumulate(run))
-    return _POWERS[0], _POWERS[1]
-
-
 class Chunk:
     """Whole documents ``first .. last`` of a batch: their bytes and byte offsets."""
 
@@ -82,11 +71,25 @@ class Chunk:
         return starts, ends, np.searchsorted(starts, self.offsets)
 
     def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """A 64-bit hash of each span, by differences of a running polynomial."""
-        up, down = _powers(len(self.data))
-        run = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum(_BYTE_VALUE[self.data] * up[: len(self.data)], out=run[1:])
-        return mix((run[ends] - run[starts]) * down[starts])
+        """A 64-bit hash of each span: its length and eight bytes at a time, each mixed in before the next.
+
+        Every step is a bijection of what came before, so only chance makes spans collide
+        (a sum of powers modulo 2^64 would have fixed strings that do, whatever the base).
+        """
+        padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
+        lanes = np.ndarray(len(self.data) + 1, "<u8", padded.data, 0, (1,))
+        size = ends - starts
+        out = mix((size + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        todo = np.flatnonzero((size > 0) & (size <= LANE_BYTES))
+        at = 0
+        while len(todo):
+            lane = lanes[starts[todo] + at] & _MASK[np.minimum(size[todo] - at, 8)]
+            out[todo] = mix(out[todo] ^ lane)
+            at += 8
+            todo = todo[size[todo] > at]
+        for i in np.flatnonzero(size > LANE_BYTES).tolist():
+            out[i] = xxhash.xxh3_64_intdigest(self.data[starts[i] : ends[i]].data)
+        return out
 
 
 def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[Chunk]:

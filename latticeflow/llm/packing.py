@@ -3,14 +3,16 @@
 Documents are tokenised where they lie; only piece lengths travel.  A length is a whole
 number up to the capacity, so all pieces of one length are interchangeable and the packing
 problem is its histogram: at most ``capacity`` rows, whatever the input.  The driver solves
-that; pieces then look up their place by (length, rank within the length), where ranks come
-from counts per (length, bucket) so that a hot length is spread over all buckets.
+that by branch and bound over whole bins (:func:`plan`); pieces then look up their place by
+(length, rank within the length), where ranks come from counts per (length, bucket) so that a
+hot length is spread over all buckets.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +24,16 @@ from latticeflow.llm.common import frugal, small_batches, staged
 CAPACITY = 1024
 END_ID = 2
 TOKENIZER = "byte_bpe_50k.json"
-BUCKET_ROWS = 1 << 16
+BUCKET_ROWS = 1 << 13
+#: Nodes of the search over bins, fillings that a node tries, and steps that it looks for them; beyond
+#: these the incumbent stands.
+NODES = 1000
+FILLINGS = 32
+STEPS = 1000
 _LOADED: dict = {}
-_ODD = re.compile(r"[^\t-\r\x20-\x7e¡-ɏ]|<\|")
+#: What the faster encoder is not given: odd characters, strings of special tokens, and runs
+#: without a break that its pattern would have to track back over or its merges to sort out.
+_ODD = re.compile(r"[^\t-\r\x20-\x7e¡-ɏ]|<\||[\t-\r ]{512}|[^\t-\r ]{512}")
 
 
 class Encoder:
@@ -32,7 +41,8 @@ class Encoder:
 
     The two agree wherever their character classes and white space agree, which the guard
     confines the fast path to: no code point beyond U+024F, no unusual white space or
-    control, and nothing that could be a special token's string.
+    control, nothing that could be a special token's string, and no run of 512 characters
+    with or without white space (the faster encoder gives up on very long ones).
     """
 
     def __init__(self, tokenizer_path: str, ranks_path: str | None, pattern: str | None):
@@ -97,6 +107,9 @@ def _pieces(paths: tuple | None, name: str, capacity: int, end_id: int):
     return run
 
 
+Plan = list[tuple[tuple[int, ...], int]]  # fillings, largest piece first, and how many sequences have them
+
+
 def _reach(counts: list[int], room: int) -> list[int]:
     """Bit s of entry x: some pieces of length x at most, as many as there are, sum to s."""
     whole = (1 << (room + 1)) - 1
@@ -113,80 +126,201 @@ def _reach(counts: list[int], room: int) -> list[int]:
 
 
 def completion(counts: list[int], room: int) -> list[int]:
-    """Lengths that fill ``room`` best, largest first.
+    """Lengths that fill ``room`` best, largest first, and of those with as many large pieces as can be."""
+    reach = _reach(counts, room)
+    goal = reach[room].bit_length() - 1
+    best: list[int] = []
+    for x in range(min(room, len(counts) - 1), 0, -1):
+        if not goal:
+            break
+        k = min(counts[x], goal // x)
+        while not reach[x - 1] >> (goal - k * x) & 1:
+            k -= 1
+        best += [x] * k
+        goal -= k * x
+    return best
+
+
+def _dominated(filling: list[int], counts: list[int], room: int) -> bool:
+    """Whether a longer piece could stand in for some of the filling's (or for nothing), and they go elsewhere."""
+    slack = room - sum(filling)
+    one, more = 1, 0  # sums of no piece or one, and of two pieces or more
+    for x in filling:
+        more |= (more | one & ~1) << x
+        one |= 1 << x
+    for x in range(1, room + 1):
+        if counts[x] > filling.count(x):
+            low = max(0, x - slack)
+            if (one >> low & ((1 << (x - low)) - 1)) or (more >> low & ((1 << (x - low + 1)) - 1)):
+                return True
+    return False
 
-    Branch and bound over fillings in descending order.  The incumbent is best fit (always
-    the largest piece that fits); a branch whose attainable sum (its waste bound, from the
-    subset sums of what may still be chosen) does not beat the incumbent is cut.  Trying
-    large pieces first meets an undominated filling before those it dominates.
+
+def fillings(counts: list[int], room: int, most_waste: int, steps: int = STEPS) -> Iterator[list[int]]:
+    """Undominated fillings of ``room`` that leave at most ``most_waste``, those with large pieces first.
+
+    A branch whose attainable sum (from the subset sums of what may still be chosen) leaves
+    more is cut; after ``steps`` branches none is begun.
     """
-    best, left, used = [], room, {}
-    for x in range(min(room, len(counts) - 1), 0, -1):
-        take = min(counts[x], left // x)
-        best += [x] * take
-        left -= take * x
-    waste = left
     reach = _reach(counts, room)
-    floor = room - (reach[room].bit_length() - 1)
     stack: list[int] = []
 
-    def branch(space: int, top: int) -> bool:
-        nonlocal best, waste
-        if space < waste:
-            best, waste = list(stack), space
-            if waste == floor:
-                return True
+    def branch(space: int, top: int) -> Iterator[list[int]]:
+        nonlocal steps
+        steps -= 1
+        if space <= most_waste and not _dominated(stack, counts, room):
+            yield list(stack)
         for x in range(min(space, top), 0, -1):
-            if counts[x] <= used.get(x, 0):
-                continue
-            attainable = (reach[x] & ((1 << (space + 1)) - 1)).bit_length() - 1
-            if space - attainable >= waste:
-                return False  # smaller pieces attain no more
-            if not reach[x] >> (space - floor) & 1:
-                return False
-            used[x] = used.get(x, 0) + 1
-            stack.append(x)
-            done = branch(space - x, x)
-            stack.pop()
-            used[x] -= 1
-            if done:
-                return True
-        return False
-
-    if waste > floor:
-        branch(room, room)
+            if space - (reach[x] & ((1 << (space + 1)) - 1)).bit_length() + 1 > most_waste:
+                return  # nor do shorter pieces attain more
+            if steps <= 0:
+                return
+            if counts[x] > stack.count(x):
+                stack.append(x)
+                yield from branch(space - x, x)
+                stack.pop()
+
+    return branch(room, room)
+
+
+def best_fit_decreasing(counts: list[int], capacity: int) -> Plan:
+    """Pieces from long to short, each into the fullest open sequence that has room, bins alike together."""
+    open_bins: dict[int, list[tuple[tuple[int, ...], int]]] = {}  # by room left
+    for x in range(capacity, 0, -1):
+        left = counts[x]
+        while left:
+            room = min((r for r in open_bins if r >= x), default=None)
+            if room is None:
+                filling, bins = (), -(-left // (capacity // x))
+                room = capacity
+            else:
+                filling, bins = open_bins[room].pop()
+                if not open_bins[room]:
+                    del open_bins[room]
+            each = room // x
+            full = min(bins, left // each)
+            rest = left - full * each if full < bins else 0
+            if full:
+                open_bins.setdefault(room - each * x, []).append(((*filling, *[x] * each), full))
+            if rest:
+                open_bins.setdefault(room - rest * x, []).append(((*filling, *[x] * rest), 1))
+            if filling and bins > full + (rest > 0):
+                open_bins.setdefault(room, []).append((filling, bins - full - (rest > 0)))
+            left -= full * each + rest
+    return [b for bins in open_bins.values() for b in bins]
+
+
+def _sequences(found: Plan) -> int:
+    return sum(times for _, times in found)
+
+
+def _one_by_one(counts: list[int], capacity: int) -> Plan:
+    """Around the longest piece left, the best completion, repeated while its pieces last."""
+    counts, out, top = list(counts), [], capacity
+    while True:
+        while top and not counts[top]:
+            top -= 1
+        if not top:
+            return out
+        counts[top] -= 1
+        filling = [top, *completion(counts, capacity - top)]
+        counts[top] += 1
+        times = min(counts[x] // filling.count(x) for x in set(filling))
+        for x in filling:
+            counts[x] -= times
+        out.append((tuple(filling), times))
+
+
+def least_sequences(counts: list[int], capacity: int) -> int:
+    """A lower bound: for every limit, pieces too long to share with those above it, and the rest by volume."""
+    total = sum(x * n for x, n in enumerate(counts))
+    best = -(-total // capacity)
+    for low in range(1, capacity // 2 + 1):
+        alone = sum(counts[capacity - low + 1 :])
+        big = sum(counts[capacity // 2 + 1 : capacity - low + 1])
+        room = big * capacity - sum(x * counts[x] for x in range(capacity // 2 + 1, capacity - low + 1))
+        small = sum(x * counts[x] for x in range(low, capacity // 2 + 1))
+        best = max(best, alone + big + max(0, -(-(small - room) // capacity)))
     return best
 
 
-def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
-    """Slots ``(length, first rank, ranks, first sequence, copies, offset)`` for all pieces.
+def fillings_plan(counts: list[int], capacity: int, nodes: int = NODES, width: int = FILLINGS) -> Plan:
+    """Bin completion: a plan of as few sequences as the search finds.
 
-    Around the largest length left, the best completion is repeated while its pieces last;
-    every repetition uses up a length, so there are few distinct fillings.
+    The incumbent is the better of best fit decreasing and the best completion bin by bin.
+    A node takes the longest piece left and branches over the undominated fillings around it,
+    those of least waste first, each repeated as often as its pieces last and, failing that,
+    once.  A branch is cut when its closed sequences waste so much that no plan of fewer
+    sequences than the incumbent can come of it.  The search ends at the lower bound, when
+    nothing is left to try, or after ``nodes`` nodes.
     """
+    best = min(_one_by_one(counts, capacity), best_fit_decreasing(counts, capacity), key=_sequences)
+    floor, total = least_sequences(counts, capacity), sum(x * n for x, n in enumerate(counts))
+
+    def tries(left: list[int], waste: int) -> Iterator[tuple[tuple[int, ...], int]]:
+        top = max(x for x, n in enumerate(left) if n)
+        spare = (_sequences(best) - 1) * capacity - total - waste
+        if spare < 0:
+            return
+        left[top] -= 1
+        try:
+            found = []
+            for filling in fillings(left, capacity - top, min(spare, capacity - top)):
+                found.append((top, *filling))
+                if len(found) == width:
+                    break
+        finally:
+            left[top] += 1
+        found.sort(key=sum, reverse=True)
+        most = [min(left[x] // f.count(x) for x in set(f)) for f in found]
+        yield from zip(found, most)
+        yield from ((f, 1) for f, n in zip(found, most) if n > 1)
+
+    left, done, waste = list(counts), [], 0
+    levels = [tries(left, 0)] if total else []
+    while levels and nodes and _sequences(best) > floor:
+        nodes -= 1
+        step = next(levels[-1], None)
+        if step is not None:
+            filling, times = step
+            lost = (capacity - sum(filling)) * times
+            if waste + lost > (_sequences(best) - 1) * capacity - total:
+                continue
+            for x in filling:
+                left[x] -= times
+            done.append(step)
+            waste += lost
+            if any(left):
+                levels.append(tries(left, waste))
+                continue
+            if _sequences(done) < _sequences(best):
+                best = list(done)
+        else:
+            levels.pop()
+        if done:
+            filling, times = done.pop()
+            for x in filling:
+                left[x] += times
+            waste -= (capacity - sum(filling)) * times
+    return best
+
+
+def plan(histogram: dict[int, int], capacity: int, nodes: int = NODES) -> list[tuple[int, int, int, int, int, int]]:
+    """Slots ``(length, first rank, ranks, first sequence, copies, offset)`` for all pieces of :func:`fillings_plan`."""
     counts = [0] * (capacity + 1)
     for length, n in histogram.items():
         counts[length] = n
     taken = [0] * (capacity + 1)
     slots, sequence = [], 0
-    top = capacity
-    while True:
-        while top and not counts[top]:
-            top -= 1
-        if not top:
-            return slots
-        counts[top] -= 1
-        filling = [top, *completion(counts, capacity - top)]
-        counts[top] += 1
-        copies = {x: filling.count(x) for x in dict.fromkeys(filling)}
-        times = min(counts[x] // k for x, k in copies.items())
+    for filling, times in fillings_plan(counts, capacity, nodes):
         offset = 0
-        for x, k in copies.items():
+        for x in dict.fromkeys(filling):
+            k = filling.count(x)
             slots.append((x, taken[x], times * k, sequence, k, offset))
             taken[x] += times * k
-            counts[x] -= times * k
             offset += x * k
         sequence += times
+    return slots
 
 
 def _placed(slots: np.ndarray):

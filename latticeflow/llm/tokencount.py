@@ -4,7 +4,8 @@ The vocabulary is a trie over bytes.  A node that cannot go on fails to the node
 longest suffix that is still open, having *popped* a known number of whole pieces; both the
 link and the count are computed once.  Counting a word follows goto and failure links and
 adds up the popped counts: each byte is looked at a bounded number of times and no piece is
-ever built.  All distinct words of a chunk step through the automaton together.
+ever built.  All distinct words of a chunk step through the automaton together; words beyond
+``LONG_BYTES`` go through it one by one.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from latticeflow.llm.common import frugal, small_batches
 from latticeflow.llm.kernels import Chunk, chunks
 
 CACHED_WORDS = 1 << 20
+LONG_BYTES = 256
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
 
@@ -63,6 +65,27 @@ class Automaton:
         self.first = np.full(256, -1, np.int64)
         for byte, child in goto[0].items():
             self.first[byte] = child
+        self.goto: dict[int, int] | None = None
+
+    def length(self, word: bytes) -> int:
+        """Pieces of one word, byte by byte."""
+        if self.goto is None:
+            self.goto = dict(zip(self.keys.tolist(), self.targets.tolist()))
+            self.steps = list(zip(self.fail.tolist(), self.popped.tolist()))
+        goto, steps, node, total = self.goto, self.steps, 0, 0
+        for byte in word:
+            while (to := goto.get(node << 8 | byte)) is None:
+                node, popped = steps[node]
+                total += popped
+                if node < 0:
+                    return 1
+            node = to
+        while node:  # the end of the word closes what is open
+            node, popped = steps[node]
+            total += popped
+            if node < 0:
+                return 1
+        return total
 
     def _next(self, nodes: np.ndarray, data: np.ndarray) -> np.ndarray:
         if not len(self.keys):
@@ -77,7 +100,8 @@ class Automaton:
         node = np.zeros(len(starts), np.int64)
         lost = np.zeros(len(starts), bool)
         place = starts.copy()
-        active = np.flatnonzero(starts < ends)
+        long = np.flatnonzero(ends - starts > LONG_BYTES)
+        active = np.flatnonzero((starts < ends) & (ends - starts <= LONG_BYTES))
         while len(active):
             here, at = node[active], data[place[active]].astype(np.int64)
             to = np.where(here == 0, self.first[at], self._next(here, at))
@@ -97,6 +121,8 @@ class Automaton:
             lost[rest[node[rest] < 0]] = True
             rest = rest[node[rest] > 0]
         total[lost] = 1
+        for i in long.tolist():
+            total[i] = self.length(data[starts[i] : ends[i]].tobytes())
         return total
 
 

@@ -181,6 +181,92 @@ def test_completion_is_optimal():
         assert all(filling.count(x) <= counts[x] for x in filling)
 
 
+def fewest_bins(items, capacity):
+    items, best, bins = sorted(items, reverse=True), [len(items)], []
+
+    def place(i):
+        if len(bins) >= best[0]:
+            return
+        if i == len(items):
+            best[0] = len(bins)
+            return
+        for room in {b for b in bins if b >= items[i]}:
+            j = bins.index(room)
+            bins[j] -= items[i]
+            place(i + 1)
+            bins[j] += items[i]
+        bins.append(capacity - items[i])
+        place(i + 1)
+        bins.pop()
+
+    place(0)
+    return best[0]
+
+
+def test_bin_completion_finds_the_fewest_sequences():
+    rng = random.Random(1)
+    for _ in range(200):
+        capacity = rng.randrange(5, 40)
+        items = [rng.randrange(1, capacity + 1) for _ in range(rng.randrange(0, 12))]
+        counts = np.bincount(items, minlength=capacity + 1).tolist() if items else [0] * (capacity + 1)
+        found = packing.fillings_plan(counts, capacity)
+        assert sorted(x for f, n in found for x in f * n) == sorted(items)
+        assert all(sum(f) <= capacity for f, _ in found)
+        fewest = fewest_bins(items, capacity)
+        assert sum(n for _, n in found) == fewest >= packing.least_sequences(counts, capacity)
+
+
+def test_bin_completion_is_never_above_best_fit_decreasing():
+    rng = random.Random(2)
+    for trial in range(1000):
+        capacity = rng.choice([64, 200, 1024])
+        items = [rng.randrange(1 + capacity // rng.choice([4, 10, 1024]), capacity + 1) for _ in range(rng.randrange(1, 80))]
+        counts = np.bincount(items, minlength=capacity + 1).tolist()
+        bins: list[int] = []
+        for x in sorted(items, reverse=True):
+            room = min((b for b in bins if b >= x), default=None)
+            if room is None:
+                bins.append(capacity - x)
+            else:
+                bins[bins.index(room)] -= x
+        assert sum(n for _, n in packing.best_fit_decreasing(counts, capacity)) == len(bins)
+        found = packing.fillings_plan(counts, capacity, nodes=20)
+        assert sum(n for _, n in found) <= len(bins)
+        assert sorted(x for f, n in found for x in f * n) == sorted(items)
+
+
+def test_very_long_texts(spark):
+    """Runs that a pattern or merge could choke on, and words of a megabyte."""
+    from tokenizers import Tokenizer
+
+    texts = [" " * 5_000_000, "a" * 1_000_000, "x \n" * 300_000, "\t" * 600 + "end"]
+    rows = [(i, t, "en", "a", len(t), "x", 1, "y", 2, 3, "z") for i, t in enumerate(texts)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    got = {}
+    for r in pack(frame).select("doc_id", "length").collect():
+        got[r.doc_id] = got.get(r.doc_id, 0) + r.length
+    tokenizer = Tokenizer.from_file(packing.public_encoder_paths()[0])
+    assert got == {i: len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 for i, t in enumerate(texts)}
+    counted = {r.doc_id: (r.n_words, r.n_tokens) for r in token_counts(frame, vocabulary=[b"a", b"aa", b"aaa", b"x", b"e", b"n", b"d"]).collect()}
+    assert counted == {0: (0, 0), 1: (1, 333_334), 2: (300_000, 300_000), 3: (1, 3)}
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_components(frame).collect()} == {0: (0, 0), 1: (1, 1), 2: (1, 2), 3: (1, 3)}
+    assert license_scan(frame, licenses.Classifier([])).count() == 4
+
+
+def test_words_of_one_bit_apart_do_not_collide(spark):
+    """Thue-Morse strings and their complements collide in any sum of powers modulo 2^64."""
+    word = "a"
+    for _ in range(10):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows = [(i, f"{w} one two three four", "en", "a", 1, "x", 1, "y", 2, 3, "z") for i, w in enumerate([word, other, word[:32], other[:32]])]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    assert sorted((r.doc_id, r.component_id) for r in ngram_components(frame).collect()) == [(i, i) for i in range(4)]
+    vocabulary = [b"a", b"b", b"ab", word.encode(), b"one", b"two", b"three", b"four"]
+    got = {r.doc_id: r.n_tokens for r in token_counts(frame, vocabulary=vocabulary).collect()}
+    assert got[0] == 5 and got[1] > 100
+
+
 def test_automaton_is_greedy_longest_match():
     rng = random.Random(4)
     for _ in range(40):
@@ -188,7 +274,9 @@ def test_automaton_is_greedy_longest_match():
         words = [bytes(rng.choice(b"abc") for _ in range(rng.randrange(1, 12))) for _ in range(30)]
         data = np.frombuffer(b"".join(words), np.uint8)
         ends = np.cumsum([len(w) for w in words])
-        got = tokencount.Automaton(vocabulary).lengths(data, ends - [len(w) for w in words], ends)
+        automaton = tokencount.Automaton(vocabulary)
+        got = automaton.lengths(data, ends - [len(w) for w in words], ends)
+        assert got.tolist() == [automaton.length(w) for w in words]
         for word, n in zip(words, got.tolist()):
             at, pieces = 0, 0
             while at < len(word):
@@ -201,11 +289,26 @@ def test_automaton_is_greedy_longest_match():
             assert n == pieces, (vocabulary, word)
 
 
-def test_token_counts_keep_all_rows(spark):
+def test_token_counts_match_a_longest_match_loop(spark):
     rows = corpus(n=10)
-    got = token_counts(spark.createDataFrame(rows, SCHEMA), vocabulary=[b"w", b"w1", b"1", b"2"]).collect()
-    assert len(got) == len(rows)
-    assert {(r.n_words, r.n_tokens) for r in got if r.doc_id == 10} == {(0, 0)}
+    vocabulary = [b"w", b"w1", b"1", b"2", "É".encode(), b"23"]
+    got = token_counts(spark.createDataFrame(rows, SCHEMA), vocabulary=vocabulary).collect()
+
+    def pieces(word):
+        at = n = 0
+        while at < len(word):
+            fits = [len(v) for v in vocabulary if word.startswith(v, at)]
+            if not fits:
+                return 1
+            at, n = at + max(fits), n + 1
+        return n
+
+    def counts(text):
+        own = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode())
+        return len(own), sum(map(pieces, own))
+
+    low = lambda v: (v[0] is not None, *v)
+    assert sorted(((r.doc_id, r.n_words, r.n_tokens) for r in got), key=low) == sorted(((r[0], *counts(r[1])) for r in rows), key=low)
 
 
 def test_license_scan_agrees_with_plain_model(spark):
