@@ -4,11 +4,18 @@ A bounded, stratified sample of labelled documents is the index (``EXAMPLES`` a
 with the smallest hashes).  Terms are runs of letters, A-Z lower-cased, and the stems of
 longer ones: every term of every example counts, and a document's cosine with an example is
 over all of the document's terms that any example has.  Document frequencies for the IDF
-count every document.  All cosines of a document are computed, so the neighbours are exact.
-
-A score is a logistic fit of two votes, on leave-one-out votes of the index itself: that of
-the neighbours by all terms (the ``evidence``), and, as an extra, that of the neighbours by
-the ``TERMS`` terms whose association with the label is beyond its sampling error.  Votes are
+count every document.
+
+The inverted index is block-max: alike examples stand in one block, and each term knows its
+largest weight in every block.  A query is compared with the block of its largest bound, and
+then only with blocks whose bound reaches its ``k``-th cosine, so the neighbours are exact.
+No document is its own neighbour.
+
+A score is a logistic fit of two votes: that of the neighbours by all terms (the
+``evidence``), and, as an extra, that of the neighbours by the ``TERMS`` terms whose
+association with the label is beyond its sampling error.  The fit is on votes that know
+nothing of the example they are for: without itself among its neighbours, and, for the
+extra, with terms and neighbours from the other folds of the examples.  Votes are
 distance-weighted and corrected for the sampling rates.
 
 The index is bounded by the examples, so broadcasting it is safe at any size.
@@ -31,7 +38,11 @@ EXAMPLES = 2048
 TERMS = 1024
 NEIGHBOURS = 15
 COMMON = 512  # terms of the most examples, as a dense matrix
+BLOCK = 256  # examples of a block
+AXES = 8  # principal axes that alike examples are found by
+FOLDS = 5
 QUERIES = 64  # documents compared at once
+BLUR = 1e-5  # more than single precision can be off in a cosine
 SLICE = 512  # terms whose frequencies travel as a row
 CONFIDENCE = 3.0
 LEAST_DOCS = 4
@@ -113,34 +124,72 @@ def _added(n: int):
     return run
 
 
+def _dense(places: np.ndarray, terms: np.ndarray, values: np.ndarray, n: int, common: np.ndarray) -> np.ndarray:
+    """Weights of the ``common`` terms, a row a term and a column an example."""
+    out = np.zeros((len(common), n))
+    if len(common):
+        at = np.minimum(np.searchsorted(common, terms), len(common) - 1)
+        hit = common[at] == terms
+        out[at[hit], places[hit]] = values[hit]
+    return out
+
+
+def _arranged(dense: np.ndarray) -> np.ndarray:
+    """An order of the columns of ``dense`` in which runs of ``BLOCK`` are alike: halves along principal axes."""
+    n = dense.shape[1]
+    if n <= BLOCK:
+        return np.arange(n)
+    centred = dense - dense.mean(1, keepdims=True)
+    axes = np.linalg.eigh(centred @ centred.T)[1][:, -AXES:]
+    at = centred.T @ axes
+
+    def halves(rows: np.ndarray) -> list[np.ndarray]:
+        if len(rows) <= BLOCK:
+            return [rows]
+        rows = rows[np.argsort(at[rows, at[rows].var(0).argmax()], kind="stable")]
+        cut = -(-len(rows) // (2 * BLOCK)) * BLOCK
+        return halves(rows[:cut]) + halves(rows[cut:])
+
+    return np.concatenate(halves(np.arange(n)))
+
+
 class Index:
-    """Inverted index of weighted examples; the terms of the most examples as a dense matrix."""
+    """Block-max inverted index of weighted examples; the terms of the most examples as a dense matrix."""
 
     def __init__(self, known: np.ndarray, idf: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, weights: np.ndarray, ids: np.ndarray, k: int):
-        self.known, self.idf, self.k = known, idf, k
-        self.labels, self.weights, self.ids, self.n = labels, weights, ids, len(vectors)
+        self.known, self.idf, self.k, self.n = known, idf, k, len(vectors)
+        self.blocks = max(1, -(-self.n // BLOCK))
         places = np.repeat(np.arange(self.n, dtype=np.int32), [len(at) for at, _ in vectors])
         terms = np.concatenate([np.empty(0, np.int32), *(at.astype(np.int32) for at, _ in vectors)])
-        order = np.argsort(terms, kind="stable")
-        self.heads = np.concatenate([[0], np.cumsum(np.bincount(terms, minlength=len(known)))])
-        del terms
-        self.places = places[order]
-        self.values = np.concatenate([np.empty(0), *(w for _, w in vectors)])[order]
+        values = np.concatenate([np.empty(0), *(w for _, w in vectors)])
+        sizes = np.bincount(terms, minlength=len(known))
+        self.common = np.sort(np.argsort(-sizes, kind="stable")[:COMMON])
+        order = _arranged(_dense(places, terms, values, self.n, self.common)) if self.n else np.empty(0, np.int64)
+        self.place = np.empty(self.n, np.int32)  # of the i-th vector given
+        self.place[order] = np.arange(self.n, dtype=np.int32)
+        self.labels, self.weights, self.ids = labels[order], weights[order], ids[order]
+        places = self.place[places]
+        order = np.lexsort((places, terms))
+        self.places, self.terms, self.values = places[order], terms[order], values[order]
         self.dense = None
 
     def __getstate__(self):
-        return self.__dict__ | {"dense": None}
+        return self.__dict__ | {"dense": None, "rough": None, "heads": None, "top": None, "row": None}
 
     def _split(self) -> None:
-        """The dense rows of the most frequent terms, made where they are used."""
-        sizes = np.diff(self.heads)
-        common = np.sort(np.argsort(-sizes, kind="stable")[:COMMON])
-        self.row = np.full(len(sizes), -1, np.int32)
-        self.row[common] = np.arange(len(common))
-        self.dense = np.zeros((len(common), self.n))
-        for r, t in enumerate(common.tolist()):
-            s, e = self.heads[t], self.heads[t + 1]
-            self.dense[r, self.places[s:e]] = self.values[s:e]
+        """Postings by term and block, their largest weights and the dense rows, made where they are used."""
+        cells = self.terms.astype(np.int64) * self.blocks + self.places // BLOCK
+        self.heads = np.zeros(len(self.known) * self.blocks + 1, np.int32)
+        np.cumsum(np.bincount(cells, minlength=len(self.heads) - 1), out=self.heads[1:])
+        self.top = np.zeros(len(self.heads) - 1)
+        busy = np.flatnonzero(self.heads[1:] > self.heads[:-1])
+        if len(busy):
+            self.top[busy] = np.maximum.reduceat(self.values, self.heads[busy])
+        self.top = self.top.reshape(-1, self.blocks)
+        self.row = np.full(len(self.known), -1, np.int32)
+        self.row[self.common] = np.arange(len(self.common))
+        self.dense = _dense(self.places, self.terms, self.values, self.n, self.common)
+        self.rough = self.dense.astype(np.float32)
 
     def weigh(self, at: np.ndarray, counts: np.ndarray) -> np.ndarray:
         w = (1.0 + np.log(counts)) * self.idf[at]
@@ -148,43 +197,75 @@ class Index:
         return w / length if length else w
 
     def nearest_of(self, queries: list[tuple[np.ndarray, np.ndarray]], skips: list[int] | None = None) -> list[list[tuple[float, int]]]:
-        """For each query the ``k`` examples of largest positive cosine, ties to the earlier: ``(cosine, place)``."""
+        """For each query the ``k`` examples of largest positive cosine, ties to the smaller id: ``(cosine, place)``.
+
+        ``skips`` are places that are no neighbours of their query (-1: none).
+        """
         out = []
-        for first in range(0, len(queries), QUERIES):
-            part = queries[first : first + QUERIES]
-            scores = self._cosines(part)
-            for i, own in enumerate(scores):
-                if skips is not None:
-                    own[skips[first + i]] = 0.0
-                hits = np.flatnonzero(own > 0)
-                if len(hits) > self.k:
-                    floor = np.partition(own, self.n - self.k)[self.n - self.k]
-                    hits = hits[own[hits] >= floor - 2e-12]
-                best = sorted(((float(own[p]), p) for p in hits.tolist()), key=lambda x: (-round(x[0], 12), x[1]))
-                out.append(best[: self.k])
-        return out
-
-    def _cosines(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        for first in range(0, len(queries) if self.n else 0, QUERIES):
+            scores, rare, common = self._cosines(queries[first : first + QUERIES], None if skips is None else skips[first : first + QUERIES])
+            floors = np.partition(scores, self.n - self.k, axis=1)[:, self.n - self.k] - 2 * BLUR if self.n > self.k else np.zeros(len(scores))
+            for q, own in enumerate(scores):
+                hits = np.flatnonzero((own > 0) & (own >= floors[q]))
+                exact = rare[q, hits] + common[q] @ self.dense[:, hits]
+                order = np.lexsort((self.ids[hits], -np.round(exact, 12)))[: self.k]
+                out.append(list(zip(exact[order].tolist(), hits[order].tolist())))
+        return out if self.n else [[] for _ in queries]
+
+    def _cosines(self, queries: list[tuple[np.ndarray, np.ndarray]], skips: list[int] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Cosines with all examples that can be among the nearest ``k``, to within ``BLUR``; 0 for the others.
+
+        Also the exact share of the rarer terms in them, and the queries' weights of the common ones.
+        """
         if self.dense is None:
             self._split()
         common = np.zeros((len(queries), len(self.dense)))
+        bounds = np.zeros((len(queries), self.blocks))
         rare = []
         for q, (at, w) in enumerate(queries):
+            bounds[q] = w @ self.top[at]
             row = self.row[at]
             common[q, row[row >= 0]] = w[row >= 0]
-            rare.append((at[row < 0], w[row < 0]))
-        scores = common @ self.dense
-        for q, (at, w) in enumerate(rare):
-            sizes = self.heads[at + 1] - self.heads[at]
-            ends = np.cumsum(sizes)
-            if len(ends) and ends[-1]:
-                own = np.arange(ends[-1]) + np.repeat(self.heads[at] - ends + sizes, sizes)
-                scores[q] += np.bincount(self.places[own], self.values[own] * np.repeat(w, sizes), self.n)
-        return scores
+            rare.append((at[row < 0].astype(np.int64) * self.blocks, w[row < 0]))
+        scores = np.zeros((len(queries), self.n), np.float32)
+        others = np.zeros((len(queries), self.n))
+        rough = common.astype(np.float32)
+
+        def compare(pairs: np.ndarray) -> None:
+            """Fills in the blocks of a query that ``pairs`` marks."""
+            for b in np.flatnonzero(pairs.any(0)).tolist():
+                some = np.flatnonzero(pairs[:, b])
+                own = slice(b * BLOCK, (b + 1) * BLOCK)
+                scores[some, own] = rough[some] @ self.rough[:, own]
+            for q in np.flatnonzero(pairs.any(1)).tolist():
+                cells, w = rare[q]
+                cells = (cells[:, None] + np.flatnonzero(pairs[q])).reshape(-1)
+                starts = self.heads[cells]
+                sizes = self.heads[cells + 1] - starts
+                busy = np.flatnonzero(sizes)
+                if not len(busy):
+                    continue
+                sizes, starts, w = sizes[busy], starts[busy], w[busy // int(pairs[q].sum())]
+                ends = np.cumsum(sizes)
+                at = np.arange(ends[-1]) + np.repeat(starts - ends + sizes, sizes)
+                more = np.bincount(self.places[at], self.values[at] * np.repeat(w, sizes), self.n)
+                others[q] += more
+                scores[q] += more
+            if skips is not None:
+                some = [(q, p) for q, p in enumerate(skips) if p >= 0]
+                if some:
+                    scores[tuple(zip(*some))] = 0.0
+
+        first = np.zeros(bounds.shape, bool)
+        first[np.arange(len(queries)), bounds.argmax(1)] = True
+        compare(first)
+        least = np.partition(scores, self.n - self.k, axis=1)[:, self.n - self.k] if self.n > self.k else np.zeros(len(queries))
+        compare(~first & (bounds > 0) & (bounds >= least[:, None] - BLUR))
+        return scores, others, common
 
     def nearest(self, at: np.ndarray, w: np.ndarray, skip: int = -1) -> list[tuple[float, int]]:
         """:meth:`nearest_of` one query."""
-        return self.nearest_of([(at, w)], [skip] if skip >= 0 else None)[0]
+        return self.nearest_of([(at, w)], [skip])[0]
 
     def vote(self, neighbours: list[tuple[float, int]]) -> float | None:
         """Share of label 1 among the neighbours, each by its weight and nearness; null without any."""
@@ -203,19 +284,21 @@ class Model:
         self.inner = np.full(len(whole.known), -1, np.int32)
         self.inner[np.searchsorted(whole.known, marked.known)] = np.arange(len(marked.known))
         self.empty, self.scale = (0.0, 0.0), (0.0, 0.0, 0.0)
-
-    def neighbours(self, documents: list[tuple[np.ndarray, np.ndarray]], own: bool = False) -> tuple[list, list]:
-        """Neighbours by all terms and by terms with a label; ``own``: the documents are the examples."""
-        found = []
-        for index, inner in ((self.whole, None), (self.marked, self.inner)):
-            queries = []
-            for at, counts in documents:
-                if inner is not None:
-                    at, counts = inner[at], counts[inner[at] >= 0]
-                    at = at[at >= 0]
-                queries.append((at, index.weigh(at, counts)))
-            found.append(index.nearest_of(queries, list(range(len(queries))) if own else None))
-        return tuple(found)
+        order = np.argsort(whole.ids, kind="stable")
+        self.by_id = (whole.ids[order], order)
+
+    def own_place(self, doc_id: int | None) -> int:
+        """Place of the example that is this document, or -1."""
+        ids, order = self.by_id
+        at = int(np.searchsorted(ids, doc_id)) if doc_id is not None else len(ids)
+        return int(order[at]) if at < len(ids) and ids[at] == doc_id else -1
+
+    def neighbours(self, documents: list[tuple[np.ndarray, np.ndarray]], own: list[int]) -> tuple[list, list]:
+        """Neighbours by all terms and by terms with a label; ``own``: the documents' places among the examples."""
+        whole = self.whole.nearest_of([(at, self.whole.weigh(at, counts)) for at, counts in documents], own)
+        inner = [_inside(at, counts, self.inner) for at, counts in documents]
+        places = np.append(self.marked.place[np.argsort(self.whole.place)], -1)  # of the same example; -1 stays
+        return whole, self.marked.nearest_of([(at, self.marked.weigh(at, counts)) for at, counts in inner], [int(places[p]) for p in own])
 
     def score(self, votes: tuple[float | None, float | None]) -> float:
         z = self.scale[-1] + sum(slope * (e if v is None else v) for slope, v, e in zip(self.scale, votes, self.empty))
@@ -244,6 +327,12 @@ def _calibrated(votes: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> t
     return (*(max(float(v), 0.1 if n == 1 else 0.0) for v in beta[:n]), float(beta[n]))
 
 
+def _inside(at: np.ndarray, counts: np.ndarray, inner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A document's terms by their places in a smaller vocabulary."""
+    to = inner[at]
+    return to[to >= 0], counts[to >= 0]
+
+
 def selected_terms(flat: np.ndarray, label: np.ndarray, n1: int, n0: int, terms: int) -> np.ndarray:
     """Terms whose log odds ratio between the classes is ``CONFIDENCE`` errors from nothing, strongest first.
 
@@ -283,10 +372,10 @@ def fit(documents: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms
     got = np.bincount(y, minlength=2)
     rates = np.array([sizes.get(c, 0) / max(1, got[c]) for c in (0, 1)])
     weights = rates[y] if len(y) else np.empty(0)
-    strong = np.sort(selected_terms(flat, np.repeat(y, lengths), int(y.sum()), int((1 - y).sum()), terms).view(np.uint64))
     vocabulary = np.unique(flat.view(np.uint64))
     at = _places(vocabulary, flat.view(np.uint64))
     del flat
+    flat_label = np.repeat(y, lengths)
     total = max(1, documents.count())
     freq = np.zeros(len(vocabulary))
     if len(vocabulary):
@@ -298,17 +387,32 @@ def fit(documents: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms
     idf = np.log((1.0 + total) / (1.0 + freq)) + 1.0
     release()
     own = [(at[s:e], n_flat[s:e]) for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
-    places = np.searchsorted(vocabulary, strong)
-
-    def index(known: np.ndarray, weight: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]]) -> Index:
-        out = Index(known, weight, [], np.empty(0), np.empty(0), np.empty(0), k)
-        return Index(known, weight, [(a, out.weigh(a, n)) for a, n in vectors], y.astype(float), weights, ids, k)
 
-    inner = np.full(len(vocabulary), -1, np.int32)
-    inner[places] = np.arange(len(places))
-    model = Model(index(vocabulary, idf, own), index(strong, idf[places], [(inner[a][inner[a] >= 0], n[inner[a] >= 0]) for a, n in own]))
+    def weighed(known: np.ndarray, weight: np.ndarray, documents: list[tuple[np.ndarray, np.ndarray]], chosen: np.ndarray) -> Index:
+        out = Index(known, weight, [], np.empty(0), np.empty(0), np.empty(0, np.int64), k)
+        return Index(known, weight, [(a, out.weigh(a, n)) for a, n in documents], y[chosen].astype(float), weights[chosen], ids[chosen], k)
+
+    def by_label(chosen: np.ndarray) -> tuple[Index, np.ndarray]:
+        """The index of some examples by the terms that go with their labels, and where it has the vocabulary's terms."""
+        mask = np.zeros(len(y), bool)
+        mask[chosen] = True
+        kept = np.repeat(mask, lengths)
+        strong = np.sort(selected_terms(at[kept], flat_label[kept], int(y[chosen].sum()), int((1 - y[chosen]).sum()), terms))
+        inner = np.full(len(vocabulary), -1, np.int32)
+        inner[strong] = np.arange(len(strong))
+        return weighed(vocabulary[strong], idf[strong], [_inside(*own[i], inner) for i in chosen.tolist()], chosen), inner
+
+    everyone = np.arange(len(y))
+    model = Model(weighed(vocabulary, idf, own, everyone), by_label(everyone)[0])
     share = float(weights[y == 1].sum() / weights.sum()) if len(y) else 0.0
-    votes = np.array([[index.vote(f) for f in found] for index, found in zip((model.whole, model.marked), model.neighbours(own, True))], float).T.reshape(-1, 2)  # null: nan
+    votes = np.full((len(y), 2), np.nan)  # nan: no neighbours
+    near = model.whole.nearest_of([(a, model.whole.weigh(a, n)) for a, n in own], model.whole.place.tolist())
+    votes[:, 0] = [np.nan if not f else model.whole.vote(f) for f in near]
+    for fold in range(min(FOLDS, len(y))):
+        mine = everyone % FOLDS == fold
+        index, inner = by_label(everyone[~mine])
+        asked = [_inside(*own[i], inner) for i in everyone[mine].tolist()]
+        votes[mine, 1] = [np.nan if not f else index.vote(f) for f in index.nearest_of([(a, index.weigh(a, n)) for a, n in asked])]
     lone = np.isnan(votes)
     # the votes of examples without neighbours are their own share of label 1
     model.empty = tuple(float((weights[m] * y[m]).sum() + share) / (float(weights[m].sum()) + 1.0) for m in lone.T)
@@ -324,6 +428,7 @@ def scored(documents: DataFrame, model: Model) -> DataFrame:
     """``(doc_id, held_out, score, predicted, evidence)`` of all rows; evidence lists neighbours ``(doc_id, cosine, label)``.
 
     Null and empty texts, and texts that share no term with any example, have null evidence.
+    An example is no neighbour of the rows with its own doc_id.  Ties go to the smaller doc_id.
     Null and repeated doc_ids keep their rows; other columns are not read.
     """
     shared = documents.sparkSession.sparkContext.broadcast(model)
@@ -334,10 +439,10 @@ def scored(documents: DataFrame, model: Model) -> DataFrame:
         kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
         for batch in batches:
             scores, evidence = np.full(batch.num_rows, own.score((None, None))), [None] * batch.num_rows
-            rows, queries = [], []
+            rows, queries, ids = [], [], batch.column("doc_id").to_pylist()
 
             def settle():
-                for row, near, also in zip(rows, *own.neighbours(queries)):
+                for row, near, also in zip(rows, *own.neighbours(queries, [own.own_place(ids[r]) for r in rows])):
                     scores[row] = own.score((whole.vote(near), marked.vote(also)))
                     evidence[row] = [{"doc_id": int(whole.ids[p]), "cosine": c, "label": int(whole.labels[p])} for c, p in near]
                 rows.clear()

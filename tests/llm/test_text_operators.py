@@ -338,27 +338,37 @@ def test_license_gate_passes_all_that_could_count(spark):
     assert [got[i] for i in range(6)] == ["reserved", "cc-by-sa", "mit", "mit", "mit", None]
 
 
-def test_nearest_examples_match_brute_force():
+@pytest.mark.parametrize("n", [5, 300, 1500])
+def test_nearest_examples_match_brute_force(n):
     rng = np.random.default_rng(1)
     vectors = []
-    for _ in range(300):
-        at = np.sort(rng.choice(40, rng.integers(1, 8), replace=False))
+    for i in range(n):  # families of terms, so that blocks differ; some examples are equal
+        at = np.sort(rng.choice(40, rng.integers(1, 8), replace=False)) + 40 * (i % 4)
         w = rng.random(len(at)) + 0.1
-        vectors.append((at, w / np.sqrt((w * w).sum())))
-    index = Index(np.arange(40, dtype=np.uint64), np.ones(40), vectors, np.zeros(300), np.ones(300), np.arange(300), 7)
-    dense = np.zeros((300, 40))
+        vectors.append((at, w / np.sqrt((w * w).sum())) if i % 10 else vectors[-1] if vectors else (np.array([1]), np.array([1.0])))
+    ids = rng.permutation(n)
+    index = Index(np.arange(160, dtype=np.uint64), np.ones(160), vectors, np.zeros(n), np.ones(n), ids, 7)
+    dense = np.zeros((n, 160))
     for i, (at, w) in enumerate(vectors):
         dense[i, at] = w
-    for _ in range(100):
-        at = np.sort(rng.choice(40, 4, replace=False))
+    assert sorted(index.place.tolist()) == list(range(n)) and (index.ids[index.place] == ids).all()
+    for trial in range(100):
+        at = np.sort(rng.choice(40, 4, replace=False)) + 40 * int(rng.integers(0, 4))
         w = np.full(4, 0.5)
-        q = np.zeros(40)
-        q[at] = w
-        scores = dense @ q
-        best = np.sort(scores[scores > 0])[::-1][:7]
-        got = index.nearest(at, w)
-        assert np.allclose([c for c, _ in got], best)
-        assert np.allclose([scores[index.ids[p]] for _, p in got], best)
+        skip = int(rng.integers(0, n)) if trial % 2 else -1
+        scores = dense[:, at] @ w
+        expected = sorted(((-round(float(c), 12), int(ids[i])) for i, c in enumerate(scores) if c > 0 and i != skip))[:7]
+        got = index.nearest(at, w, int(index.place[skip]) if skip >= 0 else -1)
+        assert [int(index.ids[p]) for _, p in got] == [i for _, i in expected]
+        assert np.allclose([-c for c, _ in got], [c for c, _ in expected])
+
+
+def test_block_bounds_leave_out_most_blocks():
+    rng = np.random.default_rng(3)
+    vectors = [(np.sort(rng.choice(50, 10, replace=False)) + 50 * (i % 8), np.full(10, 10**-0.5)) for i in range(2048)]
+    index = Index(np.arange(400, dtype=np.uint64), np.ones(400), vectors, np.zeros(2048), np.ones(2048), np.arange(2048), 7)
+    index.nearest(*vectors[0])
+    assert len(index.top[0]) == 8 and ((index.top[vectors[0][0]] > 0).any(0)).sum() <= 3
 
 
 def test_toxicity_learns_and_flags(spark):
@@ -425,7 +435,7 @@ def test_toxicity_weighs_every_term_of_the_examples(spark):
     vectors = {i: vector(i) for i in docs}
     assert got[300].evidence is None
     for i in range(300):
-        cosines = {e: sum(w * vectors[e].get(t, 0) for t, w in vectors[i].items()) for e in examples}
+        cosines = {e: sum(w * vectors[e].get(t, 0) for t, w in vectors[i].items()) for e in examples if e != i}
         best = sorted((c for c in cosines.values() if c > 0), reverse=True)[:15]
         assert len(got[i].evidence) == len(best) and np.allclose([e.cosine for e in got[i].evidence], best)
         assert all(abs(cosines[e.doc_id] - e.cosine) < 1e-9 for e in got[i].evidence)
