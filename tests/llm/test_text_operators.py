@@ -250,7 +250,6 @@ def test_very_long_texts(spark):
     counted = {r.doc_id: (r.n_words, r.n_tokens) for r in token_counts(frame, vocabulary=[b"a", b"aa", b"aaa", b"x", b"e", b"n", b"d"]).collect()}
     assert counted == {0: (0, 0), 1: (1, 333_334), 2: (300_000, 300_000), 3: (1, 3)}
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_components(frame).collect()} == {0: (0, 0), 1: (1, 1), 2: (1, 2), 3: (1, 3)}
-    assert license_scan(frame, licenses.Classifier([])).count() == 4
 
 
 def test_words_of_one_bit_apart_do_not_collide(spark):
@@ -311,31 +310,63 @@ def test_token_counts_match_a_longest_match_loop(spark):
     assert sorted(((r.doc_id, r.n_words, r.n_tokens) for r in got), key=low) == sorted(((r[0], *counts(r[1])) for r in rows), key=low)
 
 
-def test_license_scan_agrees_with_plain_model(spark):
-    model = licenses.Classifier(["the license office is closed on mondays"])
-    texts = ["Released under the MIT License.", "x\nLicensed under CC BY-NC 4.0.\ny", "This work is licensed under the GNU General Public License, version 3.", "a driving license", None, "", "Licensed under the Apache License, Version 2.0. 'quoted'"]
-    rows = [(i, t, None, None, None, "x", 1, "y", 2, 3, "z") for i, t in enumerate(texts)]
-    got = {r.doc_id: r for r in license_scan(spark.createDataFrame(rows, SCHEMA), model).collect()}
-    assert [got[i].families for i in range(7)] == ["mit", "cc-by-nc", "gpl", None, None, None, "apache"]
-    for i in (0, 2, 3, 6):
-        own = got[i].notices[0]
-        plain = model.predict(texts[i])
-        assert abs(own.probability - max(plain)) < 1e-9
-        assert own.family == model.families[plain.index(max(plain))]
-        assert abs(own.overlap - licenses.confirmed(texts[i], own.family)) < 1e-12
-
-
-def test_license_gate_passes_all_that_could_count(spark):
-    signs = licenses.has_sign
-    assert all(signs(f"x ({a.upper()}) y") for a in licenses.ANCHORS) and not signs("a success according to plan")
-    for notice in (n for ns in licenses.NOTICES.values() for n in ns):
-        pairs = {tuple(p) for p in zip(licenses.words(notice), licenses.words(notice)[1:])}
-        assert sum(not signs(" ".join(p)) for p in pairs) < licenses.CONFIRM * max(1, len(pairs))
-    grant = "Permission is hereby granted, free of charge, to any person obtaining a copy"
-    texts = ["All rights reserved.", "Content available under CC BY-SA 4.0.", grant, f"{grant} of this software and associated documentation files", "Some prose.\nReleased under the MIT License. All rights reserved.", "He asked a person for permission to reserve a seat."]
-    rows = [(i, t, None, None, None, "x", 1, "y", 2, 3, "z") for i, t in enumerate(texts)]
-    got = {r.doc_id: r.families for r in license_scan(spark.createDataFrame(rows, SCHEMA), licenses.Classifier([])).collect()}
-    assert [got[i] for i in range(6)] == ["reserved", "cc-by-sa", "mit", "mit", "mit", None]
+PROBES = {
+    "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files": "mit",
+    "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:": "bsd",
+    "Available under CC BY-SA 4.0.": "cc-by-sa", "CC0 1.0": "cc0", "Licensed under GPLv3": "gpl", "Licensed under BSD-2-Clause": "bsd", "Code is MIT licensed.": "mit", "MIT License": "mit", "License: MIT": "mit",
+    "SPDX-License-Identifier: GPL-2.0-only": "gpl", "// SPDX-License-Identifier: BSD-2-Clause": "bsd", "Redistribution and use in source and binary forms, with or without": "bsd", "All rights reserved.": "reserved",
+    "Released under the MIT License. All rights reserved.": "mit", "Some prose.\nLicensed under CC BY-NC 4.0.\nMore prose.": "cc-by-nc", "Licensed under the Apache License, Version 2.0. 'quoted'": "apache",
+    "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation": "lgpl",
+    "Intro.\n\nSPDX-License-Identifier: Apache-2.0\nSPDX-License-Identifier: MIT\n \t\nEnd": "apache,mit",
+    "a driving license": None, "He asked a person for permission to reserve a seat.": None, "a success according to plan": None, "the license plate of the apache helicopter": None, "": None,
+}
+
+
+def test_license_scan_finds_notices_and_agrees_with_plain_python(spark):
+    model = licenses.Classifier([])
+    texts = [*PROBES, None, "x " * 200_000 + "released under the MIT license " + "y " * 200_000]
+    rows = [(i, t, None, None, None, "x", 1, "y", 2, 3, "z") for i, t in enumerate(texts)] + [(0, texts[0], None, None, None, "x", 1, "y", 2, 3, "z"), (None, "CC0 1.0", None, None, None, "x", 1, "y", 2, 3, "z")]
+    seen = license_scan(spark.createDataFrame(rows, SCHEMA), model).collect()
+    assert len(seen) == len(rows)
+    got = {r.doc_id: r for r in seen}
+    assert [got[i].families for i in range(len(texts))] == [*PROBES.values(), None, "mit"] and got[None].families == "cc0"
+    for i, text in enumerate(texts[: len(PROBES)]):
+        expected = []
+        for paragraph, unit in licenses.units(text):
+            own = licenses.words(unit)
+            if licenses.buckets(own):
+                plain = model.predict(unit)
+                family = model.families[plain.index(max(plain))]
+                expected.append((paragraph, family, max(plain), licenses.confirmed(own, family)))
+        own = [tuple(n) for n in got[i].notices or []]
+        assert [(n[0], n[1]) for n in own] == [(e[0], e[1]) for e in expected]
+        assert np.allclose([n[2:] for n in own], [e[2:] for e in expected], atol=1e-9) if own else not expected
+
+
+def test_license_classifier_on_held_out_names_and_forms():
+    kept = [f for f in licenses.FORMS if "reserved" not in f and "this work" not in f]  # the others are notices of a family themselves
+    names = {f: ns[: -max(1, len(ns) // 3)] for f, ns in licenses.NAMES.items()}
+    model = licenses.Classifier([], licenses.examples(names, tuple(f for f in licenses.FORMS if f not in kept[1::3]), licenses.TEXTS))
+    family = lambda t: model.families[int(np.argmax(model.predict(t)))]
+    held = [(form.format(n), f) for f, ns in names.items() for n in ns for form in kept[1::3]]
+    assert sum(family(t) == f for t, f in held) >= 0.9 * len(held)
+    new = [(form.format(n), f) for f, ns in licenses.NAMES.items() for n in ns[len(names[f]) :] for form in kept]
+    sure = [(family(t), f) for t, f in new if licenses.confirmed(licenses.words(t), family(t)) >= licenses.CONFIRM]
+    assert len(sure) > 0.5 * len(new) and sum(g == f for g, f in sure) > 0.85 * len(sure)
+    held_ordinary = ["her license expired in may", "the copyright office is closed", "the apache tribe", "a warranty for the fridge", "the commons are green", "we reserved two rooms"]
+    assert sum(family(t) == "unknown" or not any(licenses.confirmed(licenses.words(t), f) >= licenses.CONFIRM for f in licenses.NAMES) for t in held_ordinary) == len(held_ordinary)
+
+
+def test_license_searches_pass_every_anchor(spark):
+    texts = [f"x ({a.upper()}) y" for a in licenses.ANCHORS]
+    frame = spark.createDataFrame([(t,) for t in texts] + [("a success according to plan",)], "t string")
+    assert [r.t for r in frame.selectExpr("t", f"{licenses._sql_sign('t')} as s").where("s").collect()] == texts
+
+
+def test_license_fit_takes_ordinary_paragraphs_only(spark):
+    rows = [(i, t) for i, t in enumerate(["The license fee rose.\n\nReleased under the MIT License.", "no words of it", None, "The license fee rose."])]
+    model = licenses.fit(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert (model.weights == licenses.Classifier([sorted(licenses.buckets(licenses.words("The license fee rose.")))]).weights).all()
 
 
 @pytest.mark.parametrize("n", [5, 300, 1500])
