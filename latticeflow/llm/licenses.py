@@ -324,7 +324,9 @@ def fit(documents: DataFrame, sample: int = SAMPLE_PARAGRAPHS) -> Classifier:
     templates = _constant([TEMPLATES[f] for f in NAMES], "array<array<array<string>>>")
     texts = documents.select(F.col("text").cast("string").alias("txt")).where(F.expr(_sql_sign("txt")))
     found = texts.select(F.explode(F.expr(f"filter({_sql_units('txt')}, u -> {_sql_sign('u.body')})")).alias("u")).select("u.body")
-    first = found.select(F.xxhash64("body").alias("h"), "body").dropDuplicates(["h"]).orderBy("h").limit(sample)
+    hashed = found.select(F.xxhash64("body").alias("h"), "body")
+    chosen = hashed.select("h").distinct().orderBy("h").limit(sample)  # the texts themselves stay where they are
+    first = hashed.join(F.broadcast(chosen), "h", "left_semi").dropDuplicates(["h"])
     worded = first.select(F.expr(_sql_words("body")).alias("w"))
     best = _let("have", _sql_runs("w"), f"array_max(transform({templates}, t -> {_sql_overlap('t', 'have')}))")
     rows = worded.where(F.expr(f"{best} < {CONFIRM}D")).select(F.expr(f"array_sort({_sql_buckets('w')})").alias("b")).where("size(b) > 0").collect()
