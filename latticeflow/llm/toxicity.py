@@ -7,9 +7,11 @@ over all of the document's terms that any example has.  Document frequencies for
 count every document.
 
 The inverted index is block-max: alike examples stand in one block, and each term knows its
-largest weight in every block.  A query is compared with the block of its largest bound, and
-then only with blocks whose bound reaches its ``k``-th cosine, so the neighbours are exact.
-No document is its own neighbour.
+largest weight in every block.  Short lists are added up whole; with what they give, a
+query's bound for a block is its best example so far and the largest weights of the terms
+still out.  The query is compared with the block of its largest bound, and then only with
+blocks whose bound reaches its ``k``-th cosine, so the neighbours are exact.  No document is
+its own neighbour.
 
 A score is a logistic fit of two votes: that of the neighbours by all terms (the
 ``evidence``), and, as an extra, that of the neighbours by the ``TERMS`` terms whose
@@ -38,15 +40,17 @@ EXAMPLES = 2048
 TERMS = 1024
 NEIGHBOURS = 15
 COMMON = 512  # terms of the most examples, as a dense matrix
+SHORT = 128  # examples of a term whose list is short
 BLOCK = 256  # examples of a block
 AXES = 8  # principal axes that alike examples are found by
 FOLDS = 5
 QUERIES = 64  # documents compared at once
 BLUR = 1e-5  # more than single precision can be off in a cosine
+SPARE = 9  # candidates beyond ``k`` that are settled together
 SLICE = 512  # terms whose frequencies travel as a row
 CONFIDENCE = 3.0
 LEAST_DOCS = 4
-STEMS = (4, 5, 6, 7, 9)  # bytes of a stem
+STEMS = (4, 5, 7)  # bytes of a stem
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -163,7 +167,7 @@ class Index:
         terms = np.concatenate([np.empty(0, np.int32), *(at.astype(np.int32) for at, _ in vectors)])
         values = np.concatenate([np.empty(0), *(w for _, w in vectors)])
         sizes = np.bincount(terms, minlength=len(known))
-        self.common = np.sort(np.argsort(-sizes, kind="stable")[:COMMON])
+        self.common = np.sort(np.argsort(-sizes, kind="stable")[: COMMON if len(known) > TERMS else TERMS])
         order = _arranged(_dense(places, terms, values, self.n, self.common)) if self.n else np.empty(0, np.int64)
         self.place = np.empty(self.n, np.int32)  # of the i-th vector given
         self.place[order] = np.arange(self.n, dtype=np.int32)
@@ -174,7 +178,7 @@ class Index:
         self.dense = None
 
     def __getstate__(self):
-        return self.__dict__ | {"dense": None, "rough": None, "heads": None, "top": None, "row": None}
+        return self.__dict__ | {"dense": None, "rough": None, "turned": None, "heads": None, "lists": None, "brief": None, "top": None, "row": None}
 
     def _split(self) -> None:
         """Postings by term and block, their largest weights and the dense rows, made where they are used."""
@@ -186,31 +190,48 @@ class Index:
         if len(busy):
             self.top[busy] = np.maximum.reduceat(self.values, self.heads[busy])
         self.top = self.top.reshape(-1, self.blocks)
+        self.lists = self.heads[:: self.blocks].copy()
+        self.brief = np.diff(self.lists) <= SHORT
+        self.brief[self.common] = False
+        self.top[self.brief] = 0.0
         self.row = np.full(len(self.known), -1, np.int32)
         self.row[self.common] = np.arange(len(self.common))
         self.dense = _dense(self.places, self.terms, self.values, self.n, self.common)
         self.rough = self.dense.astype(np.float32)
+        self.turned = np.ascontiguousarray(self.dense.T)
 
     def weigh(self, at: np.ndarray, counts: np.ndarray) -> np.ndarray:
         w = (1.0 + np.log(counts)) * self.idf[at]
         length = math.sqrt(float((w * w).sum()))
         return w / length if length else w
 
-    def nearest_of(self, queries: list[tuple[np.ndarray, np.ndarray]], skips: list[int] | None = None) -> list[list[tuple[float, int]]]:
-        """For each query the ``k`` examples of largest positive cosine, ties to the smaller id: ``(cosine, place)``.
+    def nearest_of(self, queries: list[tuple[np.ndarray, np.ndarray]], skips: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """For each query the ``k`` examples of largest positive cosine, ties to the smaller id.
 
-        ``skips`` are places that are no neighbours of their query (-1: none).
+        A row a query of cosines and places, -1 where there are fewer.  ``skips`` are places
+        that are no neighbours of their query (-1: none).
         """
-        out = []
+        cosines, places = np.full((len(queries), self.k), -1.0), np.full((len(queries), self.k), -1, np.int64)
         for first in range(0, len(queries) if self.n else 0, QUERIES):
-            scores, rare, common = self._cosines(queries[first : first + QUERIES], None if skips is None else skips[first : first + QUERIES])
-            floors = np.partition(scores, self.n - self.k, axis=1)[:, self.n - self.k] - 2 * BLUR if self.n > self.k else np.zeros(len(scores))
-            for q, own in enumerate(scores):
-                hits = np.flatnonzero((own > 0) & (own >= floors[q]))
-                exact = rare[q, hits] + common[q] @ self.dense[:, hits]
+            part = slice(first, first + QUERIES)
+            scores, rare, common = self._cosines(queries[part], None if skips is None else skips[part])
+            wide = min(self.n, self.k + SPARE)
+            floors = np.maximum(np.partition(scores, self.n - self.k, axis=1)[:, self.n - self.k] - 2 * BLUR, 0.0) if self.n > self.k else np.zeros(len(scores))
+            near = (scores > 0) & (scores >= floors[:, None])
+            got = np.argpartition(-scores, wide - 1, axis=1)[:, :wide] if wide < self.n else np.broadcast_to(np.arange(self.n), scores.shape)
+            exact = np.take_along_axis(rare, got, 1) + np.matmul(self.turned[got], common[:, :, None])[..., 0]
+            exact = np.where(np.take_along_axis(near, got, 1), exact, -1.0)
+            ties = self.ids[got]
+            order = np.lexsort((ties, -np.round(exact, 12)), axis=1)[:, : self.k]
+            cosines[part, : order.shape[1]] = np.take_along_axis(exact, order, 1)
+            places[part, : order.shape[1]] = np.take_along_axis(got, order, 1)
+            for q in np.flatnonzero(near.sum(1) > wide).tolist():  # more ties than are settled together
+                hits = np.flatnonzero(near[q])
+                exact = rare[q, hits] + self.turned[hits] @ common[q]
                 order = np.lexsort((self.ids[hits], -np.round(exact, 12)))[: self.k]
-                out.append(list(zip(exact[order].tolist(), hits[order].tolist())))
-        return out if self.n else [[] for _ in queries]
+                cosines[first + q], places[first + q] = exact[order], hits[order]
+        places[cosines <= 0] = -1
+        return cosines, places
 
     def _cosines(self, queries: list[tuple[np.ndarray, np.ndarray]], skips: list[int] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Cosines with all examples that can be among the nearest ``k``, to within ``BLUR``; 0 for the others.
@@ -219,61 +240,75 @@ class Index:
         """
         if self.dense is None:
             self._split()
-        common = np.zeros((len(queries), len(self.dense)))
-        bounds = np.zeros((len(queries), self.blocks))
-        rare = []
-        for q, (at, w) in enumerate(queries):
-            bounds[q] = w @ self.top[at]
-            row = self.row[at]
-            common[q, row[row >= 0]] = w[row >= 0]
-            rare.append((at[row < 0].astype(np.int64) * self.blocks, w[row < 0]))
-        scores = np.zeros((len(queries), self.n), np.float32)
-        others = np.zeros((len(queries), self.n))
+        m = len(queries)
+        of = np.repeat(np.arange(m), [len(at) for at, _ in queries])
+        at = np.concatenate([at for at, _ in queries]).astype(np.int64)
+        w = np.concatenate([w for _, w in queries])
+        scores, others = np.zeros((m, self.n), np.float32), np.zeros(m * self.n)
+
+        def add(which: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
+            """Adds runs of postings, ``which`` says of which queries' terms."""
+            busy = np.flatnonzero(sizes)
+            if not len(busy):
+                return
+            which, sizes, starts = which[busy], sizes[busy], starts[busy]
+            ends = np.cumsum(sizes)
+            posts = np.arange(ends[-1]) + np.repeat(starts - ends + sizes, sizes)
+            more = np.bincount(self.places[posts] + np.repeat(of[which] * self.n, sizes), self.values[posts] * np.repeat(w[which], sizes), len(others))
+            np.add(others, more, out=others)
+            np.add(scores, more.reshape(m, -1), out=scores, casting="same_kind")
+
+        brief = np.flatnonzero(self.brief[at])
+        add(brief, self.lists[at[brief]], self.lists[at[brief] + 1] - self.lists[at[brief]])
+        long = np.flatnonzero(~self.brief[at])
+        bounds = np.zeros((m, self.blocks))
+        if len(long):
+            heads = np.flatnonzero(np.concatenate([[True], of[long[1:]] != of[long[:-1]]]))
+            bounds[of[long[heads]]] = np.add.reduceat(self.top[at[long]] * w[long, None], heads)
+        bounds += np.maximum.reduceat(scores, np.arange(0, self.n, BLOCK), axis=1)
+        row = self.row[at]
+        own = row >= 0
+        common = np.zeros((m, len(self.dense)))
+        common[of[own], row[own]] = w[own]
         rough = common.astype(np.float32)
+        mid = long[row[long] < 0]
 
         def compare(pairs: np.ndarray) -> None:
             """Fills in the blocks of a query that ``pairs`` marks."""
             for b in np.flatnonzero(pairs.any(0)).tolist():
                 some = np.flatnonzero(pairs[:, b])
-                own = slice(b * BLOCK, (b + 1) * BLOCK)
-                scores[some, own] = rough[some] @ self.rough[:, own]
-            for q in np.flatnonzero(pairs.any(1)).tolist():
-                cells, w = rare[q]
-                cells = (cells[:, None] + np.flatnonzero(pairs[q])).reshape(-1)
-                starts = self.heads[cells]
-                sizes = self.heads[cells + 1] - starts
-                busy = np.flatnonzero(sizes)
-                if not len(busy):
-                    continue
-                sizes, starts, w = sizes[busy], starts[busy], w[busy // int(pairs[q].sum())]
-                ends = np.cumsum(sizes)
-                at = np.arange(ends[-1]) + np.repeat(starts - ends + sizes, sizes)
-                more = np.bincount(self.places[at], self.values[at] * np.repeat(w, sizes), self.n)
-                others[q] += more
-                scores[q] += more
+                span = slice(b * BLOCK, (b + 1) * BLOCK)
+                scores[some, span] += rough[some] @ self.rough[:, span]
+            which, block = np.nonzero(pairs[of[mid]])
+            cells = at[mid[which]] * self.blocks + block
+            add(mid[which], self.heads[cells], self.heads[cells + 1] - self.heads[cells])
             if skips is not None:
                 some = [(q, p) for q, p in enumerate(skips) if p >= 0]
                 if some:
                     scores[tuple(zip(*some))] = 0.0
 
         first = np.zeros(bounds.shape, bool)
-        first[np.arange(len(queries)), bounds.argmax(1)] = True
+        first[np.arange(m), bounds.argmax(1)] = True
         compare(first)
-        least = np.partition(scores, self.n - self.k, axis=1)[:, self.n - self.k] if self.n > self.k else np.zeros(len(queries))
-        compare(~first & (bounds > 0) & (bounds >= least[:, None] - BLUR))
-        return scores, others, common
+        # scores only grow, so the k-th of unfinished ones is a bound from below as well
+        least = np.partition(scores, self.n - self.k, axis=1)[:, self.n - self.k] if self.n > self.k else np.zeros(m)
+        again = ~first & (bounds > 0) & (bounds >= least[:, None] - BLUR)
+        compare(again)
+        scores[~np.repeat(first | again, BLOCK, axis=1)[:, : self.n]] = 0.0
+        return scores, others.reshape(m, -1), common
 
     def nearest(self, at: np.ndarray, w: np.ndarray, skip: int = -1) -> list[tuple[float, int]]:
-        """:meth:`nearest_of` one query."""
-        return self.nearest_of([(at, w)], [skip])[0]
+        """:meth:`nearest_of` one query, as ``(cosine, place)``."""
+        cosines, places = self.nearest_of([(at, w)], [skip])
+        return [(c, p) for c, p in zip(cosines[0].tolist(), places[0].tolist()) if p >= 0]
 
-    def vote(self, neighbours: list[tuple[float, int]]) -> float | None:
-        """Share of label 1 among the neighbours, each by its weight and nearness; null without any."""
-        if not neighbours:
-            return None
-        places = [p for _, p in neighbours]
-        near = np.array([1.0 / (1.05 - min(c, 1.0)) for c, _ in neighbours]) * self.weights[places]
-        return float((near * self.labels[places]).sum() / near.sum())
+    def votes(self, cosines: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Share of label 1 among the neighbours of each query, each by its weight and nearness; nan without any."""
+        if not self.n:
+            return np.full(len(cosines), np.nan)
+        near = np.where(places >= 0, self.weights[places] / (1.05 - np.minimum(cosines, 1.0)), 0.0)
+        with np.errstate(invalid="ignore"):
+            return (near * self.labels[places]).sum(1) / near.sum(1)
 
 
 class Model:
@@ -293,16 +328,17 @@ class Model:
         at = int(np.searchsorted(ids, doc_id)) if doc_id is not None else len(ids)
         return int(order[at]) if at < len(ids) and ids[at] == doc_id else -1
 
-    def neighbours(self, documents: list[tuple[np.ndarray, np.ndarray]], own: list[int]) -> tuple[list, list]:
+    def neighbours(self, documents: list[tuple[np.ndarray, np.ndarray]], own: list[int]) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
         """Neighbours by all terms and by terms with a label; ``own``: the documents' places among the examples."""
         whole = self.whole.nearest_of([(at, self.whole.weigh(at, counts)) for at, counts in documents], own)
         inner = [_inside(at, counts, self.inner) for at, counts in documents]
         places = np.append(self.marked.place[np.argsort(self.whole.place)], -1)  # of the same example; -1 stays
         return whole, self.marked.nearest_of([(at, self.marked.weigh(at, counts)) for at, counts in inner], [int(places[p]) for p in own])
 
-    def score(self, votes: tuple[float | None, float | None]) -> float:
-        z = self.scale[-1] + sum(slope * (e if v is None else v) for slope, v, e in zip(self.scale, votes, self.empty))
-        return 1.0 / (1.0 + math.exp(-max(-40.0, min(40.0, z))))
+    def scores(self, votes: np.ndarray) -> np.ndarray:
+        """Scores of rows of two votes (nan: no neighbours)."""
+        z = self.scale[-1] + np.where(np.isnan(votes), np.array(self.empty), votes) @ np.array(self.scale[:-1])
+        return 1.0 / (1.0 + np.exp(-np.clip(z, -40.0, 40.0)))
 
 
 def _calibrated(votes: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple[float, ...]:
@@ -406,13 +442,12 @@ def fit(documents: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms
     model = Model(weighed(vocabulary, idf, own, everyone), by_label(everyone)[0])
     share = float(weights[y == 1].sum() / weights.sum()) if len(y) else 0.0
     votes = np.full((len(y), 2), np.nan)  # nan: no neighbours
-    near = model.whole.nearest_of([(a, model.whole.weigh(a, n)) for a, n in own], model.whole.place.tolist())
-    votes[:, 0] = [np.nan if not f else model.whole.vote(f) for f in near]
+    votes[:, 0] = model.whole.votes(*model.whole.nearest_of([(a, model.whole.weigh(a, n)) for a, n in own], model.whole.place.tolist()))
     for fold in range(min(FOLDS, len(y))):
         mine = everyone % FOLDS == fold
         index, inner = by_label(everyone[~mine])
         asked = [_inside(*own[i], inner) for i in everyone[mine].tolist()]
-        votes[mine, 1] = [np.nan if not f else index.vote(f) for f in index.nearest_of([(a, index.weigh(a, n)) for a, n in asked])]
+        votes[mine, 1] = index.votes(*index.nearest_of([(a, index.weigh(a, n)) for a, n in asked]))
     lone = np.isnan(votes)
     # the votes of examples without neighbours are their own share of label 1
     model.empty = tuple(float((weights[m] * y[m]).sum() + share) / (float(weights[m].sum()) + 1.0) for m in lone.T)
@@ -433,18 +468,20 @@ def scored(documents: DataFrame, model: Model) -> DataFrame:
     """
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
+    kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
+
     def run(batches):
         own = shared.value
-        whole, marked = own.whole, own.marked
-        kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
+        whole = own.whole
         for batch in batches:
-            scores, evidence = np.full(batch.num_rows, own.score((None, None))), [None] * batch.num_rows
-            rows, queries, ids = [], [], batch.column("doc_id").to_pylist()
+            n, ids = batch.num_rows, batch.column("doc_id").to_pylist()
+            scores, cosines, places = np.full(n, own.scores(np.full((1, 2), np.nan))[0]), np.full((n, whole.k), -1.0), np.full((n, whole.k), -1, np.int64)
+            rows, queries = [], []
 
             def settle():
-                for row, near, also in zip(rows, *own.neighbours(queries, [own.own_place(ids[r]) for r in rows])):
-                    scores[row] = own.score((whole.vote(near), marked.vote(also)))
-                    evidence[row] = [{"doc_id": int(whole.ids[p]), "cosine": c, "label": int(whole.labels[p])} for c, p in near]
+                found, also = own.neighbours(queries, [own.own_place(ids[r]) for r in rows])
+                scores[rows] = own.scores(np.stack([whole.votes(*found), own.marked.votes(*also)], 1))
+                cosines[rows], places[rows] = found
                 rows.clear()
                 queries.clear()
 
@@ -454,9 +491,15 @@ def scored(documents: DataFrame, model: Model) -> DataFrame:
                     queries.append((at, counts))
                     if len(rows) == QUERIES:
                         settle()
-            settle()
+            if rows:
+                settle()
+            some = places >= 0
+            flat = places[some]
+            bounds = np.concatenate([[0], np.cumsum(some.sum(1))]).astype(np.int32)
+            parts = [pa.array(whole.ids[flat], pa.int64()), pa.array(cosines[some]), pa.array(whole.labels[flat].astype(np.int32))]
+            evidence = pa.ListArray.from_arrays(pa.array(bounds), pa.StructArray.from_arrays(parts, fields=list(kind.value_type)), mask=pa.array(~some.any(1)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("held_out"), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32)), pa.array(evidence, kind)], names=["doc_id", "held_out", "score", "predicted", "evidence"]
+                [batch.column("doc_id"), batch.column("held_out"), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32)), evidence], names=["doc_id", "held_out", "score", "predicted", "evidence"]
             )
 
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out().alias("held_out"))
