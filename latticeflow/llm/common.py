@@ -59,16 +59,28 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back.
 
     Cuts the lineage: a lost executor costs no more than the tasks it ran, since
-    the table can be read from any machine.
+    the table can be read from any machine.  It goes when the driver ends, or by
+    :func:`discard`.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    table = spark.read.schema(schema).parquet(path)
+    table.staged_at = path
+    return table
 
 
-def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def discard(table: DataFrame) -> None:
+    """Removes a table of :func:`staged` that no frame reads any more."""
+    spark = table.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(table.staged_at)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``(node, component)`` for every node of ``links``; component is the smallest reachable node.
 
     Alternating star contraction: each round hangs every neighbour of a node on the
@@ -84,9 +96,7 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_round
         return table, (seen.get["n"], seen.get["h"])
 
     edges, seen = settled(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
-    for _ in range(max_rounds):
-        if not seen[0]:
-            break
+    while seen[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -98,11 +108,11 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_round
             .where("u <> v")
             .distinct()
         )
+        last = edges
         edges, now = settled(small)
+        discard(last)
         if now == seen:
             break
         seen = now
-    else:
-        raise RuntimeError("components did not settle")
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -7,7 +7,8 @@ aggregation, smoothed up a hierarchy (host, registered domain, everything) witho
 own guess.  How far declarations and addresses can be trusted is counted over all rows too.
 
 The text models are fitted on a bounded sample of labelled documents (``SAMPLE_DOCS`` a
-language, those with the smallest hashes, at most ``MOST_LANGUAGES`` languages).
+language, those with the smallest hashes).  Every label, in lower case, is a language; more
+of them than ``MODEL_BYTES`` has room for is an error, never a cut.
 """
 
 from __future__ import annotations
@@ -23,15 +24,18 @@ from latticeflow.llm.common import frugal, small_batches, staged
 from latticeflow.llm.kernels import LETTERS, Chunk, chunks
 
 SAMPLE_DOCS = 500
-MOST_LANGUAGES = 64
+MODEL_BYTES = 1 << 28
+SALTS = 64
 BUCKETS = 1 << 14
-EVIDENCE = 64.0  # trigrams of one text that count as independent
+EVIDENCE = 8.0  # times the root of their number, the trigrams of a text that count as independent
 HOST_WEIGHT, DOMAIN_WEIGHT = 5.0, 20.0
 TRUST = 50.0
 LEAST_CONFIDENCE = 0.5
 UNKNOWN = "und"
 #: Country suffixes whose main language is one language.
 SUFFIXES = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "uk": "en", "us": "en", "au": "en", "nz": "en", "ie": "en", "it": "it", "pt": "pt", "br": "pt", "nl": "nl", "pl": "pl"}
+#: Labels under which countries register domains.
+SECOND_LEVEL = ("ac", "co", "com", "edu", "go", "gob", "gov", "gv", "ne", "net", "nom", "or", "org")
 
 
 @dataclass(frozen=True)
@@ -78,11 +82,15 @@ def _likelihoods(batch: pa.RecordBatch, text: str, model: Model) -> tuple[np.nda
 def fit(documents: DataFrame, per_language: int = SAMPLE_DOCS) -> Model:
     """Text models of the languages that label ``documents (doc_id, text, lang)``."""
     small_batches(documents.sparkSession)
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.lower(F.col("lang").cast("string")).alias("lang"))
     named = docs.where("doc_id is not null and lang is not null and lang <> ''")
-    languages = sorted(r["lang"] for r in named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect())
-    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = named.where(F.col("lang").isin(languages) if languages else F.lit(False)).select("doc_id", "lang").withColumn("n", first).where(F.col("n") <= per_language).drop("n")
+    languages = sorted(r["lang"] for r in named.select("lang").distinct().limit(MODEL_BYTES // (8 * BUCKETS) + 1).collect())
+    if len(languages) * BUCKETS * 8 > MODEL_BYTES:
+        raise ValueError(f"more languages than a model of {MODEL_BYTES} bytes has room for")
+    nearest = [F.xxhash64("doc_id"), F.col("doc_id")]
+    salted = named.select("doc_id", "lang").withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(SALTS)))
+    few = salted.withColumn("n", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*nearest))).where(F.col("n") <= per_language)
+    ids = few.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(*nearest))).where(F.col("n") <= per_language).select("doc_id", "lang")
     sample = staged(docs.join(F.broadcast(ids), ["doc_id", "lang"]), "sample")
     place = {name: k for k, name in enumerate(languages)}
 
@@ -132,23 +140,30 @@ def _with_likelihoods(rows: DataFrame, text: str, model: Model) -> DataFrame:
 
 
 def _domain(host: Column) -> Column:
-    return F.coalesce(F.nullif(F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1), F.lit("")), host)
+    """The registered domain: two labels, or three where the country registers under a second level."""
+    second = "|".join(SECOND_LEVEL)
+    deep, plain = F.regexp_extract(host, rf"([^.]+\.(?:{second})\.[a-z]{{2}})$", 1), F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1)
+    return F.coalesce(F.nullif(deep, F.lit("")), F.nullif(plain, F.lit("")), host)
 
 
-def identified(rows: DataFrame, model: Model, text: str, host: str | None, declared: str | None, suffix: str | None) -> DataFrame:
+def identified(rows: DataFrame, model: Model, text: str, host: str | None, declared: str | None, suffix: str | None, need_text: bool = True) -> DataFrame:
     """``rows`` with ``lid_lang``, ``lid_confidence`` and ``lid_accepted``.
 
     The columns named hold the text, the host (any grouping of origins), the declared
     language and the address's hint; null, empty or unknown values of the last three are no
-    evidence.  A text without letters, or likelier in no known language, or whose best
-    posterior is below ``LEAST_CONFIDENCE`` is ``und`` and not accepted.
+    evidence, and case does not matter.  A text likelier in no known language, or whose best
+    posterior is below ``LEAST_CONFIDENCE``, is ``und`` and not accepted.  So is a text
+    without letters, unless ``need_text`` is off and a declaration or an address speaks for
+    it.  Equal posteriors go to the first language in order.
     """
-    languages = list(model.languages)
+    spark, languages = rows.sparkSession, list(model.languages)
     if not languages:
         return rows.withColumn("lid_lang", F.lit(UNKNOWN)).withColumn("lid_confidence", F.lit(0.0)).withColumn("lid_accepted", F.lit(False))
+    n = len(languages)
     given = {"__host": host, "__declared": declared, "__suffix": suffix}
     cols = {k: F.nullif(F.lower(F.col(f"`{v}`").cast("string")), F.lit("")) if v else F.lit(None).cast("string") for k, v in given.items()}
-    known = lambda c: F.when(c.isin(languages), c)
+    names = F.array(*(F.lit(x) for x in languages))
+    known = lambda c: F.nullif(F.array_position(names, c).cast("int"), F.lit(0)) - 1
     prepared = rows.withColumns({"__host": cols["__host"], "__declared": known(cols["__declared"]), "__suffix": known(cols["__suffix"])})
     prepared = prepared.withColumn("__domain", _domain(F.col("__host")))
     guess = F.when(F.col("__n") > 0, F.array_position("__means", F.array_max("__means")).cast("int") - 1)
@@ -157,42 +172,43 @@ def identified(rows: DataFrame, model: Model, text: str, host: str | None, decla
         .withColumn("__guess", guess).select("__host", "__domain", "__declared", "__suffix", "__guess").where("__guess is not null"),
         "guesses",
     )
-    per_language = [F.count(F.when(F.col("__guess") == k, 1)).cast("double") for k in range(len(languages))]
 
     def counts(key: str) -> DataFrame:
-        return narrow.where(F.col(key).isNotNull()).groupBy(key).agg(F.array(*per_language).alias(f"{key}_counts"))
-
-    overall = np.array(narrow.agg(F.array(*per_language)).first()[0]) + 1.0
-    world = (overall / overall.sum()).tolist()
-
-    def trust(key: str) -> Column:
-        """log P(value | language) by language, or nothing for no value."""
-        table = np.full((len(languages), len(languages)), 1.0) + np.eye(len(languages)) * TRUST
-        at = {name: k for k, name in enumerate(languages)}
+        """Guesses by language, as an array, of each value of ``key``."""
+        some = narrow.where(F.col(key).isNotNull()).groupBy(key, "__guess").agg(F.count("*").cast("double").alias("c"))
+        held = some.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("__guess", "c"))).alias("__of"))
+        return held.select(key, F.expr(f"transform(sequence(0, {n - 1}), k -> coalesce(element_at(__of, k), 0D))").alias(f"{key}_counts"))
+
+    overall = np.ones(n)
+    for r in narrow.groupBy("__guess").count().collect():
+        overall[r["__guess"]] += r["count"]
+    world = "array(" + ", ".join(f"{v!r}D" for v in (overall / overall.sum()).tolist()) + ")"
+
+    def trust(key: str) -> DataFrame:
+        """log P(value | language) by language, a row a value (at most one a language)."""
+        table = np.full((n, n), 1.0) + np.eye(n) * TRUST
         for r in narrow.where(F.col(key).isNotNull()).groupBy(key, "__guess").count().collect():
-            table[at[r[0]], r[1]] += r[2]
+            table[r[0], r[1]] += r[2]
         logs = np.log(table / table.sum(0))
-        pairs = [x for name in languages for x in (F.lit(name), F.array(*(F.lit(float(v)) for v in logs[at[name]])))]
-        return F.coalesce(F.element_at(F.create_map(*pairs), F.col(key)), F.array(*[F.lit(0.0)] * len(languages)))
+        return F.broadcast(spark.createDataFrame([(k, v) for k, v in enumerate(logs.tolist())], f"{key} int, {key}_logs array<double>"))
 
     domains, hosts = counts("__domain"), counts("__host").withColumn("__domain", _domain(F.col("__host")))
     priors = hosts.join(domains, "__domain", "left").drop("__domain")
-    scored = _with_likelihoods(prepared, text, model).withColumn("__guess", guess).join(priors, "__host", "left")
-    own = lambda k: F.coalesce((F.col("__guess") == k).cast("double"), F.lit(0.0))
-    size = lambda c: F.greatest(F.aggregate(c, F.lit(0.0), lambda a, b: a + b) - F.col("__guess").isNotNull().cast("double"), F.lit(0.0))
-    posterior = []
-    share = F.least(F.col("__n").cast("double"), F.lit(EVIDENCE))
-    scored = scored.withColumn("__said", trust("__declared")).withColumn("__hint", trust("__suffix"))
-    for k in range(len(languages)):
-        base = F.lit(world[k])
-        at = lambda c: F.greatest(F.col(c)[k] - own(k), F.lit(0.0))  # noqa: B023, E731
-        domain = F.coalesce((at("__domain_counts") + DOMAIN_WEIGHT * base) / (size("__domain_counts") + DOMAIN_WEIGHT), base)
-        prior = F.coalesce((at("__host_counts") + HOST_WEIGHT * domain) / (size("__host_counts") + HOST_WEIGHT), base)
-        posterior.append(F.col("__means")[k] * share + F.log(prior) + F.col("__said")[k] + F.col("__hint")[k])
-    out = scored.withColumn("__post", F.array(*posterior)).withColumn("__top", F.array_max("__post"))
+    scored = _with_likelihoods(prepared, text, model).withColumn("__guess", guess).join(priors, "__host", "left").join(trust("__declared"), "__declared", "left").join(trust("__suffix"), "__suffix", "left")
+    # counts without the row's own guess, smoothed by the level above
+    own = "if(__guess = k, 1D, 0D)"
+    size = lambda c: f"greatest(aggregate({c}, 0D, (s, v) -> s + v) - if(__guess is null, 0D, 1D), 0D)"
+    less = lambda c: f"greatest({c}[k] - coalesce({own}, 0D), 0D)"
+    scored = scored.withColumns({"__domain_size": F.expr(size("__domain_counts")), "__host_size": F.expr(size("__host_counts")), "__share": F.least(F.col("__n").cast("double"), F.lit(EVIDENCE) * F.sqrt(F.col("__n")))})
+    domain = f"coalesce(({less('__domain_counts')} + {DOMAIN_WEIGHT}D * w) / (__domain_size + {DOMAIN_WEIGHT}D), w)"
+    prior = f"coalesce(({less('__host_counts')} + {HOST_WEIGHT}D * ({domain})) / (__host_size + {HOST_WEIGHT}D), w)"
+    out = scored.withColumn("__post", F.expr(f"transform({world}, (w, k) -> __means[k] * __share + ln({prior}) + coalesce(__declared_logs[k], 0D) + coalesce(__suffix_logs[k], 0D))"))
+    out = out.withColumn("__top", F.array_max("__post"))
     total = F.aggregate("__post", F.lit(0.0), lambda a, p: a + F.exp(p - F.col("__top")))
-    best = F.element_at(F.array(*(F.lit(x) for x in languages)), F.array_position("__post", F.col("__top")).cast("int"))
-    accepted = (F.col("__n") > 0) & (F.array_max("__means") >= model.floor) & (1 / total >= LEAST_CONFIDENCE)
+    best = F.element_at(names, F.array_position("__post", F.col("__top")).cast("int"))
+    worded = (F.col("__n") > 0) & (F.array_max("__means") >= model.floor)
+    told = (F.col("__n") == 0) & (F.col("__declared").isNotNull() | F.col("__suffix").isNotNull()) & F.lit(not need_text)
+    accepted = (worded | told) & (1 / total >= LEAST_CONFIDENCE)
     final = out.withColumns({"lid_confidence": 1 / total, "lid_accepted": accepted, "lid_lang": F.when(accepted, best).otherwise(F.lit(UNKNOWN))})
     return final.select(*(F.col(f"`{c}`") for c in rows.columns), "lid_lang", "lid_confidence", "lid_accepted")
 
@@ -200,14 +216,15 @@ def identified(rows: DataFrame, model: Model, text: str, host: str | None, decla
 def page_parts(pages: DataFrame) -> DataFrame:
     """``(page_id, text, host, declared, suffix)`` of raw pages, by their markup and address."""
     html, url = F.coalesce(F.col("html").cast("string"), F.lit("")), F.lower(F.coalesce(F.col("url").cast("string"), F.lit("")))
-    text = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&[a-z#0-9]{1,10};", " ")
+    # what is left open ends with the page, and a tag with the next one, so that no position is read twice
+    text = F.regexp_replace(html, r"(?is)<(script|style)\b.*?(?:</\1\s*>|\z)|<!--.*?(?:-->|\z)|<[^<>]*>|&[a-z#0-9]{1,10};", " ")
     host = F.regexp_extract(url, r"^[a-z][a-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1)
     path = F.regexp_extract(url, r"^[a-z][a-z0-9+.-]*://[^/?#]+/([a-z]{2})(?:[/?#]|$)", 1)
     country = F.regexp_extract(host, r"\.([a-z]{2})$", 1)
     countries = F.create_map(*(F.lit(x) for pair in SUFFIXES.items() for x in pair))
     return pages.select(
         F.col("page_id").cast("long").alias("page_id"), text.alias("text"), host.alias("host"),
-        F.lower(F.regexp_extract(html, r"""(?is)<html\b[^>]*?\blang\s*=\s*["']?([a-z]{2,3})""", 1)).alias("declared"),
+        F.lower(F.regexp_extract(html, r"""(?is)<html\b[^<>]*?\blang\s*=\s*["']?([a-z]{2,3})""", 1)).alias("declared"),
         F.coalesce(F.nullif(path, F.lit("")), F.element_at(countries, country)).alias("suffix"),
     )
 
@@ -216,7 +233,8 @@ def page_languages(pages: DataFrame, documents: DataFrame, per_language: int = S
     """``(page_id, lang, confidence, accepted, declared, suffix, host)`` of all pages.
 
     Null html or url is empty and gives no evidence; null and repeated page_ids keep their
-    rows; other columns are not read; without pages there are no rows.
+    rows; other columns are not read; without pages there are no rows.  A page without
+    letters has the language that its markup or address speaks for.
     """
-    out = identified(page_parts(pages), fit(documents, per_language), "text", "host", "declared", "suffix")
+    out = identified(page_parts(pages), fit(documents, per_language), "text", "host", "declared", "suffix", need_text=False)
     return out.select("page_id", F.col("lid_lang").alias("lang"), F.col("lid_confidence").alias("confidence"), F.col("lid_accepted").alias("accepted"), "declared", "suffix", "host")

@@ -430,15 +430,78 @@ def test_page_languages(spark):
     docs = [(i, " ".join(rng.choice(lexicon[l].split()) for _ in range(60)), l) for i, l in enumerate(["en", "fr", "de"] * 30)]
     page = '<html lang="{}"><script>the of and</script><body><p>{}</p></body></html>'
     pages = [(i, f"https://{l}.example.org/{i}", page.format(l, " ".join(rng.choice(lexicon[l].split()) for _ in range(50)))) for i, l in enumerate(["en", "fr", "de"] * 10)]
-    pages += [(100, None, None), (101, "http://de.example.org/x", "<html><body>12345 !!</body></html>"), (102, "nonsense", page.format("xx", "der und das lich keit"))]
+    pages += [(100, None, None), (101, "http://example.de/x", "<html><body>12345 !!</body></html>"), (102, "nonsense", page.format("xx", "der und das lich keit"))]
     got = {r.page_id: r for r in page_languages(spark.createDataFrame(pages, "page_id long, url string, html string"), spark.createDataFrame(docs, "doc_id long, text string, lang string")).collect()}
     assert len(got) == len(pages)
     for i, l in enumerate(["en", "fr", "de"] * 10):
         assert got[i].lang == l and got[i].accepted
-    assert got[100].lang == got[101].lang == "und" and not got[101].accepted
+    assert got[100].lang == "und" and not got[100].accepted
+    assert got[101].lang == "de" and got[101].accepted  # no letters, but an address
     assert got[102].lang == "de"
 
 
+def test_page_evidence_by_markup_case_and_repeats(spark):
+    """No text speaks: declarations decide, whatever their case; open scripts take linear time; repeated rows stay."""
+    docs = [(i, "the and of house" if i % 2 else "der und das haus", "EN" if i % 2 else "De") for i in range(40)]
+    pages = [(1, "http://a.co.uk/", '<html lang="EN">1 2 3</html>'), (1, "http://a.co.uk/", '<html lang="EN">1 2 3</html>'), (2, None, "<html>" + "<script " * 200_000), (3, "x", "<!-- " * 100_000 + "der und das haus"), (None, None, "<p>der und das haus"), (4, None, "<" * 300_000 + " the and of house")]
+    got = page_languages(spark.createDataFrame(pages, "page_id long, url string, html string"), spark.createDataFrame(docs, "doc_id long, text string, lang string")).collect()
+    assert sorted((r.page_id or 0, r.lang) for r in got) == [(0, "de"), (1, "en"), (1, "en"), (2, "und"), (3, "und"), (4, "en")]
+
+
+def test_many_languages_all_have_models(spark):
+    rng = random.Random(8)
+    docs = [(i, " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) if rng.random() < 0.1 else f"{chr(97 + l % 26)}{chr(97 + l // 26)}x{chr(97 + l % 26)}" for _ in range(30)), f"l{l}") for l in range(80) for i in (2 * l, 2 * l + 1)]
+    pages = [(i, None, t) for i, t, _ in docs]
+    got = {r.page_id: r.lang for r in page_languages(spark.createDataFrame(pages, "page_id long, url string, html string"), spark.createDataFrame(docs, "doc_id long, text string, lang string")).collect()}
+    assert sum(got[i] == l for i, _, l in docs) >= 0.95 * len(docs)
+
+
+def test_language_scores_match_plain_bayes(spark):
+    """Posteriors against a loop over the same model: likelihood, declared, suffix and smoothed host priors without the own guess."""
+    from latticeflow.llm import langid
+
+    rng = random.Random(3)
+    lexicon = {"aa": "bala gora tima", "bb": "zyx wuv qrst", "cc": "eeio uuae oiea"}
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(lexicon[l].split()) for _ in range(20)), l) for i, l in enumerate(["aa", "bb", "cc"] * 6)], "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    langs = list(model.languages)
+    rows = [(i, " ".join(rng.choice(lexicon[rng.choice(langs)].split()) for _ in range(rng.randrange(0, 6))), rng.choice(["x.co.uk", "y.co.uk", "a.b.com", "c.b.com", "", None]), rng.choice([*langs, "zz", None]), rng.choice([*langs, None])) for i in range(60)]
+    frame = spark.createDataFrame(rows, "id long, body string, site string, said string, hint string")
+    got = {r.id: r for r in langid.identified(frame, model, "body", "site", "said", "hint", need_text=False).collect()}
+    counts, means = langid._likelihoods(pa.RecordBatch.from_arrays([pa.array([r[1] for r in rows])], names=["body"]), "body", model)
+    guess = [int(np.argmax(m)) if c else None for c, m in zip(counts, means)]
+    domain = {"x.co.uk": "x.co.uk", "y.co.uk": "y.co.uk", "a.b.com": "b.com", "c.b.com": "b.com"}
+    world = np.ones(3)
+    for g in guess:
+        if g is not None:
+            world[g] += 1
+    world /= world.sum()
+
+    def trust(column):
+        t = np.ones((3, 3)) + np.eye(3) * langid.TRUST
+        for r, g in zip(rows, guess):
+            if g is not None and r[column] in langs:
+                t[langs.index(r[column]), g] += 1
+        return np.log(t / t.sum(0))
+
+    said, hint = trust(3), trust(4)
+    for i, r in enumerate(rows):
+        prior = world.copy()
+        for weight, same in ((langid.DOMAIN_WEIGHT, lambda o: domain[o[2]] == domain[r[2]]), (langid.HOST_WEIGHT, lambda o: o[2] == r[2])):
+            if r[2] and any(g is not None and o[2] and same(o) for o, g in zip(rows, guess)):
+                own = np.zeros(3)
+                for j, (o, g) in enumerate(zip(rows, guess)):
+                    if j != i and g is not None and o[2] and same(o):
+                        own[g] += 1
+                prior = (own + weight * prior) / (own.sum() + weight)
+        z = means[i] * min(counts[i], langid.EVIDENCE * counts[i] ** 0.5) + np.log(prior)
+        z = z + (said[langs.index(r[3])] if r[3] in langs else 0) + (hint[langs.index(r[4])] if r[4] in langs else 0)
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert abs(got[i].lid_confidence - p.max()) < 1e-9
+        if got[i].lid_accepted:
+            assert got[i].lid_lang == langs[int(p.argmax())]
+
+
 def test_toxicity_weighs_every_term_of_the_examples(spark):
     rng = random.Random(4)
     rows, labels = [], []
