@@ -1,8 +1,9 @@
 """Exact near-duplicate links between embeddings of one label, by PCA-ordered tiles.
 
 Vectors are rotated so that leading dimensions carry most of the variance (any rotation
-gives the same cosines; this one is fitted on a bounded sample) and packed, per label and in
-the order of the first one, into tiles of bounded size.  Tiles whose boxes lie too far apart
+gives the same cosines; this one is fitted on a bounded sample) and packed, per label, into
+tiles of bounded size: by the leaves of a tree of halves along the leading dimensions, fitted
+on the same sample, and within a leaf by the first one.  Tiles whose boxes lie too far apart
 are never compared.  A pair of tiles accumulates leading dimensions first: what is left of a
 product is at most the product of the suffix norms, and a pair of rows is dropped as soon as
 it cannot reach the threshold.  Equal vectors of a label are one row with a count.
@@ -17,13 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latticeflow.llm.common import connected_components, staged
+from latticeflow.llm.common import connected_components, discard, staged
 from latticeflow.llm.vectors import lists, matrix, unit
 
 THRESHOLD = 0.93
 TILE = 512
 SAMPLE_ROWS = 4096
 BOX_DIMS = 16
+LEAF_SAMPLE = 8  # sampled rows of a leaf at least
 STEPS = (8, 24)
 SLACK = 1e-12
 
@@ -34,7 +36,31 @@ def rotation(sample: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(vectors[:, ::-1])
 
 
-def _rotated(turn: np.ndarray):
+def halves(sample: np.ndarray, depth: int) -> list[tuple[int, float]]:
+    """Splits ``(dimension, value)`` of a full binary tree in heap order, along the widest of the leading dimensions."""
+    out, level = [], [np.arange(len(sample))]
+    for _ in range(depth):
+        below = []
+        for rows in level:
+            lead = sample[rows, :BOX_DIMS]
+            d = int(lead.var(0).argmax())
+            cut = float(np.median(lead[:, d]))
+            out.append((d, cut))
+            below += [rows[lead[:, d] <= cut], rows[lead[:, d] > cut]]
+        level = [r if len(r) else level[0][:1] for r in below]
+    return out
+
+
+def leaves(m: np.ndarray, splits: list[tuple[int, float]]) -> np.ndarray:
+    """The leaf of each row."""
+    at = np.zeros(len(m), np.int64)
+    dims, cuts = np.array([d for d, _ in splits], np.int64), np.array([c for _, c in splits])
+    while len(splits) and len(m) and at[0] < len(splits):  # all rows are on one level
+        at = 2 * at + 1 + (m[np.arange(len(m)), dims[at]] > cuts[at])
+    return at - len(splits)
+
+
+def _rotated(turn: np.ndarray, splits: list[tuple[int, float]]):
     dim = len(turn)
 
     def run(batches):
@@ -44,17 +70,19 @@ def _rotated(turn: np.ndarray):
                 rows = [unit(np.array([v], np.float64))[0] for v in batch.column("vector").to_pylist()]
                 rows = [v @ turn if len(v) == dim else v for v in rows]
                 vectors = pa.array(rows, pa.list_(pa.float64()))
+                leaf = pa.array([int(leaves(v[None], splits)[0]) if len(v) == dim else 0 for v in rows], pa.int64())
                 lead = pa.array([float(v[0]) for v in rows], pa.float64())
             else:
                 m = m @ turn if m.shape[1] == dim else m
+                leaf = pa.array(leaves(m, splits) if m.shape[1] == dim else np.zeros(len(m), np.int64))
                 vectors, lead = lists(m), pa.array(m[:, 0])
-            yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("dim"), batch.column("key"), batch.column("n"), lead, vectors], names=["label", "dim", "key", "n", "lead", "vector"])
+            yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("dim"), batch.column("key"), batch.column("n"), leaf, lead, vectors], names=["label", "dim", "key", "n", "leaf", "lead", "vector"])
 
     return run
 
 
 def _tiles(size: int):
-    """Rows sorted by (label, dim, lead) packed into tiles."""
+    """Rows sorted by (label, dim, leaf, lead) packed into tiles."""
     names = ["label", "dim", "tile", "low", "high", "keys", "counts", "vectors"]
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.float64())]
 
@@ -151,8 +179,8 @@ def _compared(threshold: float):
 def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)``, a row for each row of ``rows``.
 
-    Vectors link when their labels are equal and not null and their cosine is at least
-    ``threshold``.  Vectors that are null, zero, or hold null or non-finite components, and
+    Labels are whole numbers.  Vectors link when their labels are equal and not null and
+    their cosine is at least ``threshold``.  Vectors that are null, zero, or hold null or non-finite components, and
     rows without an id, link with nothing; vectors of different lengths do not link.  Equal
     rows are vectors of their own that link with each other.  Other columns are not read.
     """
@@ -161,20 +189,31 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
     vector = F.col("v").cast("array<double>")
     ok = F.coalesce(F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))), F.lit(False))
     parts = F.col("id").isNotNull() & F.col("label").isNotNull() & ok & F.coalesce(F.exists(vector, lambda x: x != 0), F.lit(False))
-    keyed = staged(labelled.select("id", "label", F.when(parts, vector).alias("vector"), F.when(parts, F.xxhash64("label", vector)).alias("key")), "keyed")
-    classes = staged(
-        keyed.where("key is not null").groupBy("label", "vector").agg(F.count("*").alias("n"), F.min("key").alias("key")).withColumn("dim", F.size("vector")), "classes"
-    )
+    marked = labelled.select("id", "label", F.when(parts, vector).alias("vector"))
+    seed = 0
+    while True:  # keys name the distinct vectors: another seed, should two of them share one
+        name = F.xxhash64("label", "vector", F.lit(seed)) if seed else F.xxhash64("label", "vector")
+        classes = staged(
+            marked.where("vector is not null").groupBy("label", "vector").agg(F.count("*").alias("n")).withColumn("key", name).withColumn("dim", F.size("vector")), "classes"
+        )
+        if not classes.groupBy("key").count().where("count > 1").limit(1).count():
+            break
+        discard(classes)
+        seed += 1
+    keyed = staged(marked.select("id", F.when(F.col("vector").isNotNull(), name).alias("key")), "keyed")
     dims = classes.groupBy("dim").count().orderBy(F.desc("count"), "dim").first()
     if dims is None:
         linked = spark.createDataFrame([], "key long, n long, root long")
     else:
         sample = classes.where(F.col("dim") == dims["dim"]).orderBy(F.xxhash64("key"), "key").limit(SAMPLE_ROWS).select("vector").toArrow()
-        turn = rotation(unit(matrix(sample.column("vector"), dims["dim"])))
-        turned = staged(classes.mapInArrow(_rotated(turn), "label long, dim int, key long, n long, lead double, vector array<double>"), "turned")
+        some = unit(matrix(sample.column("vector"), dims["dim"]))
+        turn = rotation(some)
+        tiles_wanted = min(dims["count"] // tile, len(some) // LEAF_SAMPLE)
+        splits = halves(some @ turn, max(0, tiles_wanted.bit_length() - 1))
+        turned = staged(classes.select("label", "dim", "key", "n", "vector").mapInArrow(_rotated(turn, splits), "label long, dim int, key long, n long, leaf long, lead double, vector array<double>"), "turned")
         tiles = staged(
-            turned.repartitionByRange("label", "dim", "lead", "key")
-            .sortWithinPartitions("label", "dim", "lead", "key")
+            turned.repartitionByRange("label", "dim", "leaf", "lead", "key")
+            .sortWithinPartitions("label", "dim", "leaf", "lead", "key")
             .mapInArrow(_tiles(tile), "label long, dim int, tile long, low array<double>, high array<double>, keys array<long>, counts array<long>, vectors array<double>"),
             "tiles",
         )

@@ -12,7 +12,8 @@
     tree: nodes hold the OR of their members' bitmaps, size range, largest bit excess and
     (if common) provisional component.  A dual traversal drops node pairs whose largest
     possible overlap misses the threshold or that lie in one component.  Bundles longer
-    than a block are traversed by pairs of blocks.
+    than a block are cut by size into blocks and traversed by those pairs of blocks whose
+    sizes are within reach of each other.
 4.  Every class is traversed in its largest bundle first.  That yields a spanning forest of
     the candidates, likeliest first; verified on the sets themselves, it gives provisional
     components.  The same over all bundles joins what is left, and a last traversal of the
@@ -39,6 +40,7 @@ PERCENT = 80
 BLOCK = 1024
 FANOUT = 4
 FILTER_BITS = 25
+QUANTILES = 64
 SALT = np.uint64(0xA0761D6478BD642F)
 
 
@@ -258,7 +260,7 @@ def _tree(keys, sizes, maps, comps):
     return keys[order], _Tree(sizes[order], [maps[i] for i in order], comps[order])
 
 
-def _bands(sizes: np.ndarray, limit: int = 2) -> list[np.ndarray]:
+def _bands(sizes: np.ndarray) -> list[np.ndarray]:
     """Members by bitmap size, so that a tree folds nothing away."""
     return [np.flatnonzero(sizes == s) for s in np.unique(sizes)]
 
@@ -434,9 +436,17 @@ def ngram_classes(documents: DataFrame, width: int = WIDTH, percent: int = PERCE
     sorted_posts = posted.select("key", "n", F.explode("prefix").alias("token")).repartition("token").sortWithinPartitions("token", "n", "key")
     lists = staged(sorted_posts.mapInArrow(frugal(_lists(block, percent)), "hub long, members array<long>"), "lists")
     bundled = staged(lists.select("hub", F.explode("members").alias("key")).distinct(), "bundled")
-    blocks = bundled.groupBy("hub").agg((F.floor(F.count("*") / block) + 1).alias("blocks"))
-    members = bundled.join(blocks.hint("merge"), "hub").select("hub", "key", F.pmod(F.xxhash64("key"), "blocks").cast("int").alias("part"))
-    members = staged(members.join(narrow.hint("merge"), "key").select("hub", "key", "part", "n"), "members")
+    # blocks of a bundle by size: quantiles of the sizes, cut again by hash where one holds several blocks
+    wide = bundled.join(narrow.select("key", "n").hint("merge"), "key")
+    cuts = F.percentile_approx("n", [(i + 1) / QUANTILES for i in range(QUANTILES - 1)], 1000)
+    blocks = wide.groupBy("hub").agg((F.floor(F.count("*") / block) + 1).alias("blocks"), cuts.alias("cuts"))
+    blocks = blocks.select("hub", "blocks", F.when(F.col("blocks") > 1, F.col("cuts")).alias("cuts"))
+    below = F.expr("size(filter(cuts, c -> c < n))")  # equal sizes may lie in any of the quantiles that end with them
+    level = below + F.pmod(F.xxhash64("key"), F.expr("size(filter(cuts, c -> c = n)) + 1"))
+    each = F.ceil(F.col("blocks") / QUANTILES)
+    dealt = F.floor(level * F.least("blocks", F.lit(QUANTILES)) / QUANTILES) * each + F.pmod(F.xxhash64("key", F.lit(1)), each)
+    members = wide.join(blocks.hint("merge"), "hub").select("hub", "key", F.when(F.col("blocks") > 1, dealt).otherwise(0).cast("int").alias("part"), "n")
+    members = staged(members, "members")
 
     largest = bundled.join(bundled.groupBy("hub").agg(F.count("*").alias("c")).hint("merge"), "hub").groupBy("key").agg(F.max(F.struct("c", "hub")).alias("m")).select("key", F.col("m.hub").alias("hub"))
     primary = members.join(largest.hint("merge"), ["hub", "key"])

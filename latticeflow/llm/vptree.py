@@ -22,9 +22,10 @@ from latticeflow.llm.vectors import cosine, matrix, unit, usable
 
 SAMPLE_ROWS = 4096
 SHARD_ROWS = 4096
-MOST_CELLS = 1024
+CELL_SAMPLE = 4  # sampled rows that a cell of the top tree has at least
 LEAF = 64
 QUERY_BLOCK = 256
+PAIRS = 1 << 15  # pairs whose exact cosines are computed at once
 SLACK = 1e-9
 
 
@@ -62,12 +63,16 @@ class Tree:
         return self.root, self.vantage, self.radius, self.child, len(self.leaves)
 
 
-def search(tree: Tree, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int, factor: float, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Indices and cosines of each query's best rows, -1 where there are none; a few more than ``k`` to settle ties."""
-    keep = k + 3
-    best = np.full((len(queries), keep), -np.inf)
-    who = np.full((len(queries), keep), -1, np.int64)
+def search(tree: Tree, ids: np.ndarray, given: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int, factor: float, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each query's ``k`` best rows, by :func:`cosine` of the vectors ``given``, ties to the smaller id: ``(query, row, score)``.
+
+    Products of unit vectors lead the way; every row whose product is within ``SLACK`` of the
+    ``k``-th is then scored exactly, however many there are.
+    """
+    units = unit(queries)
+    best = np.full((len(units), k), -np.inf)
     tau = radius.copy()
+    kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
     def visit(node: int, q: np.ndarray) -> None:
         if not len(q):
@@ -76,15 +81,15 @@ def search(tree: Tree, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarr
             rows = tree.leaves[-node - 1]
             for s in range(0, len(rows), 4096):
                 part = rows[s : s + 4096]
-                found = queries[q] @ tree.units[part].T
-                found = np.where(ids[part] == query_ids[q][:, None], -np.inf, np.round(found, 12))
-                values, who_ = np.concatenate([best[q], found], 1), np.concatenate([who[q], np.broadcast_to(part, found.shape)], 1)
-                order = np.lexsort((who_, -values), axis=1)[:, :keep]  # rows of a shard are in the order of their ids
-                best[q] = np.take_along_axis(values, order, 1)
-                who[q] = np.take_along_axis(who_, order, 1)
+                found = units[q] @ tree.units[part].T
+                found[ids[part] == query_ids[q][:, None]] = -np.inf
+                near = np.nonzero(found >= best[q, k - 1][:, None] - SLACK)
+                kept.append((q[near[0]], part[near[1]], found[near]))
+                best[q] = -np.partition(-np.concatenate([best[q], found], 1), k - 1, axis=1)[:, :k]
+                best[q] = -np.sort(-best[q], axis=1)
             tau[q] = np.minimum(tau[q], np.where(best[q, k - 1] > -2, _chord(best[q, k - 1]) + 1e-6, np.inf))
             return
-        d = _chord(queries[q] @ tree.vantage[node])
+        d = _chord(units[q] @ tree.vantage[node])
         inner, outer, beyond = tree.child[node]
         r = tree.radius[node]
         near = d <= (r + beyond) / 2
@@ -94,8 +99,16 @@ def search(tree: Tree, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarr
         visit(outer, q[near & (d + reach >= beyond)])
         visit(inner, q[~near & (d - reach <= r)])
 
-    visit(tree.root, np.arange(len(queries)))
-    return np.where(best > -2, who, -1), best
+    visit(tree.root, np.arange(len(units)))
+    who, row, value = (np.concatenate([part[i] for part in kept] or [np.empty(0, (np.int64, np.int64, float)[i])]) for i in range(3))
+    fine = (value > -2) & (value >= best[who, k - 1] - SLACK) if len(who) else np.zeros(0, bool)
+    who, row = who[fine], row[fine]
+    score = np.concatenate([cosine(queries[who[s : s + PAIRS]], given[row[s : s + PAIRS]]) for s in range(0, len(who), PAIRS)] or [np.empty(0)])
+    order = np.lexsort((ids[row], -score, who))
+    who, row, score = who[order], row[order], score[order]
+    first = np.searchsorted(who, who)
+    top = np.arange(len(who)) - first < k
+    return who[top], row[top], score[top]
 
 
 def _route(top, dim: int):
@@ -177,10 +190,8 @@ def _searched(k: int, factor: float, leaf: int):
             pending, held = [], 0
             for s in range(0, len(q), QUERY_BLOCK):
                 block = slice(s, s + QUERY_BLOCK)
-                who, _ = search(tree, ids, unit(q[block]), q_ids[block], k, factor, radius[block])
-                at, place = np.nonzero(who >= 0)
-                row = who[at, place]
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[block][at]), pa.array(ids[row]), pa.array(cosine(q[block][at], given[row]))], names=names)
+                at, row, score = search(tree, ids, given, q[block], q_ids[block], k, factor, radius[block])
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids[block][at]), pa.array(ids[row]), pa.array(score)], names=names)
 
         for batch in batches:
             shards = batch.column("shard").to_numpy(zero_copy_only=False)
@@ -214,21 +225,23 @@ def nearest(rows: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_
     Nearness is cosine in double precision; ties go to the smaller id.  Rows without an id
     and vectors that are null, zero or hold null or non-finite components take no part, and
     vectors of another length are not compared.  Of identical vectors the ``k + 1`` smallest
-    ids are kept, which loses no result.  The top tree is fitted on ``SAMPLE_ROWS`` rows
-    (those with the smallest hashes); every row is indexed.
+    ids are kept, which loses no result.  An id that asks with several vectors asks with the
+    smallest.  The top tree is fitted on ``SAMPLE_ROWS`` rows (those with the smallest
+    hashes), so that it has ``SAMPLE_ROWS / CELL_SAMPLE`` cells at most; every row is indexed,
+    and a cell of many rows is cut into as many shards as it needs.
     """
     spark = rows.sparkSession
     data = usable(rows, id_col, vector_col).dropDuplicates(["id", "vector"])
     first = F.row_number().over(Window.partitionBy("vector").orderBy("id"))
     data = staged(data.withColumn("n", first).where(F.col("n") <= k + 1).drop("n"), "vectors")
-    asked = usable(queries, id_col, vector_col).dropDuplicates(["id"])
+    asked = usable(queries, id_col, vector_col).groupBy("id").agg(F.min("vector").alias("vector")).withColumn("dim", F.size("vector"))
     total = data.count()
     if not total:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim = data.groupBy("dim").count().orderBy(F.desc("count"), "dim").first()["dim"]
     sample = data.where(F.col("dim") == dim).orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).select("vector").toArrow()
-    cells = min(MOST_CELLS, max(1, total // shard_rows))
     units = unit(matrix(sample.column("vector"), dim))
+    cells = max(1, min(total // shard_rows, len(units) // CELL_SAMPLE))
     top = Tree(units, max(1, len(units) // cells)).arrays()
     schema = "id long, vector array<double>, dim int, cell long"
     homed = staged(data.mapInArrow(_route(top, dim), schema), "homed")

@@ -48,6 +48,29 @@ def test_exact_search_matches_brute_force(spark, shard_rows):
     assert set(got) <= {r[0] for r in fine}
 
 
+def test_ties_follow_the_exact_measure(spark):
+    """Scaled copies of one vector differ in the last bits of their cosines only; ids that ask twice ask alike."""
+    rng = np.random.default_rng(7)
+    v = rng.normal(size=16)
+    rows = [(i, (v * (1 + 0.37 * i)).tolist()) for i in range(40)] + [(100 + i, rng.normal(size=16).tolist()) for i in range(30)] + [(0, rng.normal(size=16).tolist())]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = nearest(frame, frame.where("vec_id % 10 = 0"), shard_rows=16).collect()
+    asking = {}
+    for i, e in rows:
+        if i % 10 == 0:
+            asking[i] = min(asking.get(i, e), e)
+    from latticeflow.llm.vectors import cosine as measure
+
+    for q, e in asking.items():
+        best = {}
+        for i, o in rows:
+            if i != q:
+                best[i] = max(best.get(i, -2.0), float(measure(np.array([e]), np.array([o]))[0]))
+        expected = sorted(((-c, i) for i, c in best.items()))[:5]
+        own = sorted((r.rank, r.vec_id, r.score) for r in got if r.query_id == q)
+        assert [(i, s) for _, i, s in own] == [(i, -c) for c, i in expected]
+
+
 def test_relaxed_search_keeps_most(spark):
     frame = spark.createDataFrame(vectors(n=400), SCHEMA)
     exact = {(r.query_id, r.vec_id) for r in nearest(frame, frame.where("vec_id % 5 = 0"), shard_rows=40).collect()}
@@ -82,6 +105,25 @@ def test_near_duplicates_match_brute_force(spark, tile):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got if r.vec_id is not None)
 
 
+def test_near_duplicates_of_many_tiles(spark):
+    """Leaves, tiles and pairs of tiles, against all pairs."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(60, 12))
+    m = np.concatenate([centres[rng.integers(0, 60, 900)] + 0.2 * rng.normal(size=(900, 12))])
+    label = rng.integers(0, 2, 900)
+    u = m / np.sqrt((m * m).sum(1, keepdims=True))
+    link = (u @ u.T >= 0.93) & (label[:, None] == label) & ~np.eye(900, dtype=bool)
+    got = {r.vec_id: r for r in near_duplicates(spark.createDataFrame([(i, v.tolist(), int(k)) for i, (v, k) in enumerate(zip(m, label))], "vec_id long, embedding array<double>, label int"), tile=20).collect()}
+    assert [got[i].n_links for i in range(900)] == link.sum(1).tolist()
+    root = np.arange(900)
+    while True:
+        new = np.minimum(root, np.where(link, root, 900).min(1))
+        if (new == root).all():
+            break
+        root = new
+    assert [got[i].component_id for i in range(900)] == root.tolist()
+
+
 def test_empty_vector_tables(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert nearest(none, none).count() == 0
