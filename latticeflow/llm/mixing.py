@@ -2,8 +2,8 @@
 
 Each source's words, in document order, form a stream packed into blocks of fixed length.
 Output shards draw multinomial source counts slot by slot; a source's slots, numbered across
-shards, run through a pseudorandom permutation of its block indices, a new one each epoch;
-blocks are then joined by (source, index).  Draws beyond a source's quota go to the sources
+shards, run through a pseudorandom permutation of its block indices (a Feistel network, keyed
+by source and epoch); blocks are then joined by (source, index).  Draws beyond a source's quota go to the sources
 whose draws fell short, so that totals meet the targets to within a block.
 
 A source may hold any share of the rows: positions come from sums per (source, bucket), and
@@ -24,8 +24,25 @@ BLOCK_WORDS = 128
 SHARD_SLOTS = 4096
 BUCKET_ROWS = 16384
 CELLS = 4096
-#: Primes just below 2^31; one that does not divide a block count permutes its indices.
-PRIMES = (2147483647, 2147483629, 2147483587, 2147483579, 2147483563, 2147483549, 2147483543, 2147483497)
+ROUNDS = 4
+WALK = 64
+
+
+def permuted(i: str, n: str, key: str) -> str:
+    """SQL of a keyed pseudorandom permutation of ``0 .. n - 1`` at ``i``.
+
+    A Feistel network over pairs ``(l, r)`` of a grid of ``a * b >= n`` cells, whose halves
+    are added to in turn; it is one to one on the grid.  A place beyond ``n`` is walked on
+    from until one within is met, which keeps it one to one on ``0 .. n - 1``.  The grid has
+    less than ``a`` places beyond, a share of ``1 / sqrt(n)`` at most, and a walk ends with
+    their number.
+    """
+    a, b = f"cast(ceil(sqrt({n})) as bigint)", f"cast(ceil({n} / ceil(sqrt({n}))) as bigint)"
+    left = "(t.l + pmod(xxhash64(t.r, g.key, k), g.a)) % g.a"
+    turn = f"transform(array({left}), l -> struct(l as l, (t.r + pmod(xxhash64(l, g.key, -k), g.b)) % g.b as r))[0]"
+    step = f"aggregate(sequence(1, {ROUNDS}), struct(x div g.b as l, x % g.b as r), (t, k) -> {turn}, t -> t.l * g.b + t.r)"
+    walk = f"aggregate(sequence(1, {WALK}), {step.replace('x div', 'g.i div').replace('x % ', 'g.i % ')}, (x, j) -> if(x < g.n, x, {step}))"
+    return f"transform(array(struct({a} as a, {b} as b, {n} as n, {i} as i, {key} as key)), g -> {walk})[0]"
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS) -> DataFrame:
@@ -115,11 +132,7 @@ def _slots(sources: DataFrame, total: int, block: int, seed: int) -> DataFrame:
     given = surplus.join(wanting.select((F.col("less_before") + F.col("k")).alias("g"), "s", (F.col("got") + F.col("k")).alias("j")), "g").select("shard", "slot", "s", "j")
     known = own.unionByName(given).join(sources.select("s", "n", "slots", "cut", "source_size"), "s")
     epoch = known.withColumn("epoch", F.expr("j div n")).withColumn("i", F.col("j") % F.col("n"))
-    turn = F.pmod(F.xxhash64("s", "epoch", F.lit(seed)), F.lit(len(PRIMES)))
-    primes = F.array(*(F.lit(p) for p in PRIMES * 2))
-    factor = F.element_at(F.filter(F.slice(primes, (turn + 1).cast("int"), len(PRIMES)), lambda p: F.col("n") % p != 0), 1)
-    shift = F.pmod(F.xxhash64("s", "epoch", F.lit(seed + 1)), F.col("n"))
-    index = ((factor.cast("decimal(12, 0)") * F.col("i").cast("decimal(19, 0)") + shift.cast("decimal(19, 0)")) % F.col("n").cast("decimal(19, 0)")).cast("long")
+    index = F.expr(permuted("i", "n", f"xxhash64(s, epoch, {seed})"))
     whole = F.least(F.lit(block), F.col("source_size") - F.col("index") * block)
     last = (F.col("cut") > 0) & (F.col("j") == F.col("slots") - 1)
     return epoch.withColumn("index", index).select("shard", "slot", "s", "epoch", "index", F.when(last, F.least(whole, F.col("cut"))).otherwise(whole).alias("words"))

@@ -29,9 +29,20 @@ def unit(m: np.ndarray) -> np.ndarray:
 
 
 def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Cosine of each row of ``a`` with the same row of ``b``, from the vectors as given."""
+    """Cosine of each row of ``a`` with the same row of ``b``, from the vectors as given.
+
+    Products are added up in the order of the components, so that equal pairs have equal
+    cosines wherever and whenever they are computed.
+    """
+
+    def dot(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        total = np.zeros(len(x))
+        for k in range(x.shape[1]):
+            total += x[:, k] * y[:, k]
+        return total
+
     with np.errstate(all="ignore"):
-        out = (a * b).sum(1) / np.sqrt((a * a).sum(1)) / np.sqrt((b * b).sum(1))
+        out = dot(a, b) / np.sqrt(dot(a, a)) / np.sqrt(dot(b, b))
     odd = ~np.isfinite(out)
     if odd.any():  # squares out of range
         out[odd] = (unit(a[odd]) * unit(b[odd])).sum(1)

@@ -135,6 +135,20 @@ def test_mix_meets_targets_and_reruns_agree(spark):
     assert all(r[3] <= 3 * r[0] for r in got)
 
 
+def test_block_indices_are_permuted(spark):
+    from latticeflow.llm.mixing import permuted
+
+    frame = spark.range(1, 40).withColumnRenamed("id", "n").unionByName(spark.range(1).selectExpr("5000L as n")).selectExpr("n", "explode(sequence(0L, n - 1)) as i")
+    got = {}
+    for r in frame.selectExpr("n", "i", f"{permuted('i', 'n', '17L')} as p", f"{permuted('i', 'n', '18L')} as q").collect():
+        got.setdefault(r.n, []).append((r.i, r.p, r.q))
+    for n, rows in got.items():
+        rows.sort()
+        assert sorted(p for _, p, _ in rows) == sorted(q for _, _, q in rows) == list(range(n))
+    steps = Counter((b - a) % 5000 for (_, a, _), (_, b, _) in zip(got[5000], got[5000][1:]))
+    assert max(steps.values()) < 12 and sum(p == q for _, p, q in got[5000]) < 12
+
+
 def test_mixed_documents_hold_the_words_taken(spark):
     frame = spark.createDataFrame([r for r in corpus(n=40) if r[0] is not None], SCHEMA).dropDuplicates(["doc_id"])
     taken = {r.doc_id: r.taken for r in taken_words(frame, block=8).collect() if r.taken}
