@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from latticeflow.llm.common import frugal, release, small_batches, staged
 from latticeflow.llm.kernels import LETTERS, Chunk, chunks
 
-EXAMPLES = 2048
+EXAMPLES = 1536
 TERMS = 1024
 NEIGHBOURS = 15
 COMMON = 512  # terms of the most examples, as a dense matrix
@@ -71,8 +71,13 @@ def _places(known: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Places of hashes in the sorted ``known``; -1 for others."""
     if not len(known):
         return np.full(hashes.shape, -1, np.int32)
-    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-    return np.where((known[at] == hashes) & (hashes != 0), at, -1).astype(np.int32)
+    flat = hashes.reshape(-1)
+    order = np.argsort(flat)  # a search in order stays in the cache
+    sought = flat[order]
+    at = np.minimum(np.searchsorted(known, sought), len(known) - 1)
+    out = np.empty(len(flat), np.int32)
+    out[order] = np.where((known[at] == sought) & (sought != 0), at, -1)
+    return out.reshape(hashes.shape)
 
 
 def _document_terms(batch: pa.RecordBatch, known: np.ndarray | None):
@@ -178,7 +183,7 @@ class Index:
         self.dense = None
 
     def __getstate__(self):
-        return self.__dict__ | {"dense": None, "rough": None, "turned": None, "heads": None, "lists": None, "brief": None, "top": None, "row": None}
+        return self.__dict__ | {"dense": None, "rough": None, "turned": None, "heads": None, "spots": None, "lists": None, "brief": None, "top": None, "row": None}
 
     def _split(self) -> None:
         """Postings by term and block, their largest weights and the dense rows, made where they are used."""
@@ -190,6 +195,7 @@ class Index:
         if len(busy):
             self.top[busy] = np.maximum.reduceat(self.values, self.heads[busy])
         self.top = self.top.reshape(-1, self.blocks)
+        self.spots = self.places.astype(np.int64)
         self.lists = self.heads[:: self.blocks].copy()
         self.brief = np.diff(self.lists) <= SHORT
         self.brief[self.common] = False
@@ -253,8 +259,13 @@ class Index:
                 return
             which, sizes, starts = which[busy], sizes[busy], starts[busy]
             ends = np.cumsum(sizes)
-            posts = np.arange(ends[-1]) + np.repeat(starts - ends + sizes, sizes)
-            more = np.bincount(self.places[posts] + np.repeat(of[which] * self.n, sizes), self.values[posts] * np.repeat(w[which], sizes), len(others))
+            posts = np.arange(ends[-1], dtype=np.int32)
+            posts += np.repeat((starts - ends + sizes).astype(np.int32), sizes)
+            spots = self.spots.take(posts)
+            spots += np.repeat(of[which] * self.n, sizes)
+            values = self.values.take(posts)
+            values *= np.repeat(w[which], sizes)
+            more = np.bincount(spots, values, len(others))
             np.add(others, more, out=others)
             np.add(scores, more.reshape(m, -1), out=scores, casting="same_kind")
 
