@@ -1,10 +1,12 @@
 """Voronoi cells and Delaunay neighbours of periodic or isolated point sets.
 
 Points are dealt to sub-boxes, with every periodic image that falls into a sub-box's buffer
-as a ghost.  A cell starts as a cube and is clipped by the bisectors of its neighbours, from
+as a ghost.  A cell starts as a box and is clipped by the bisectors of its neighbours, from
 the nearest outward, until the next is farther than twice its farthest vertex: nothing
-beyond can cut it.  Faces and volume come from the same polyhedron.  If the buffer does not
-reach that far the sub-box is done again with a wider one; nothing is left open.
+beyond can cut it.  All cells of a sub-box are clipped together, the j-th neighbour of each
+in one step over padded arrays.  Faces and volumes come from the same polyhedra.  Cells that
+the buffer does not reach far enough for are done again with a wider one, and only those;
+nothing is left open.
 """
 
 from __future__ import annotations
@@ -16,132 +18,147 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CELL_POINTS = 48
+BOX_POINTS = 256
+CHUNK = 512  # cells clipped together
+NEAREST = 96  # neighbours sorted at first
+FLAT = 1e-12  # faces below this share of the cell's reach squared are rounding, not faces
 
 
-class Cell:
-    """A convex polyhedron around the origin: vertices, each on three planes, in dual orientation."""
+class Cells:
+    """Convex polyhedra around the origin, one a row: padded vertices, each on three planes in dual orientation.
 
-    def __init__(self, half: float):
-        h = half
-        self.normals = [np.array(v, float) for v in ((1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1))]
-        self.offsets = [h] * 6
-        corners, triples = [], []
+    Planes 0 to 5 bound the box the cells start as; plane ``6 + j`` is the bisector of
+    neighbour ``j``.
+    """
+
+    def __init__(self, room: np.ndarray, width: int = 48):
+        """``room`` has each cell's distances to its six first planes (+x, -x, +y, -y, +z, -z)."""
+        m = len(room)
+        self.normals = np.zeros((6, 3))
+        self.normals[[0, 1, 2, 3, 4, 5], [0, 0, 1, 1, 2, 2]] = [1, -1, 1, -1, 1, -1]
+        self.room = room
+        self.vertices = np.zeros((m, width, 3))
+        self.planes = np.zeros((m, width, 3), np.int64)
+        self.valid = np.zeros((m, width), bool)
+        self.valid[:, :8] = True
+        at = 0
         for sx, a in ((1, 0), (-1, 1)):
             for sy, b in ((1, 2), (-1, 3)):
                 for sz, c in ((1, 4), (-1, 5)):
-                    corners.append((sx * h, sy * h, sz * h))
-                    triples.append((a, b, c) if sx * sy * sz > 0 else (a, c, b))
-        self.vertices, self.planes = np.array(corners, float), triples
-
-    def reach2(self) -> float:
-        return float((self.vertices * self.vertices).sum(1).max())
-
-    def clip(self, normal: np.ndarray, offset: float) -> None:
-        """Keeps what lies at or below ``normal . x = offset``."""
-        cut = self.vertices @ normal > offset
-        if not cut.any():
-            return
-        me = len(self.normals)
-        self.normals.append(normal)
-        self.offsets.append(offset)
-        open_edges = set()
-        for i in np.flatnonzero(cut).tolist():
-            a, b, c = self.planes[i]
-            for e in ((a, b), (b, c), (c, a)):
-                if (e[1], e[0]) in open_edges:
-                    open_edges.discard((e[1], e[0]))
-                else:
-                    open_edges.add(e)
-        edges = sorted(open_edges)
-        n1 = np.array([self.normals[a] for a, _ in edges])
-        n2 = np.array([self.normals[b] for _, b in edges])
-        d1 = np.array([self.offsets[a] for a, _ in edges])
-        d2 = np.array([self.offsets[b] for _, b in edges])
+                    self.vertices[:, at] = np.stack([sx * room[:, a], sy * room[:, b], sz * room[:, c]], 1)
+                    self.planes[:, at] = (a, b, c) if sx * sy * sz > 0 else (a, c, b)
+                    at += 1
+
+    def reach2(self, rows: np.ndarray) -> np.ndarray:
+        return np.where(self.valid[rows], (self.vertices[rows] ** 2).sum(2), 0.0).max(1)
+
+    def plane(self, cell: np.ndarray, p: np.ndarray, rel: np.ndarray, d2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Normals and offsets of planes ``p`` of ``cell``, given all cells' neighbours."""
+        first = p < 6
+        j = np.maximum(p - 6, 0)
+        normal = np.where(first[:, None], self.normals[np.minimum(p, 5)], rel[cell, j])
+        return normal, np.where(first, self.room[cell, np.minimum(p, 5)], d2[cell, j] / 2)
+
+    def clip(self, rows: np.ndarray, j: int, rel: np.ndarray, d2: np.ndarray) -> np.ndarray:
+        """Keeps what lies at or below the bisector of neighbour ``j``; the rows that it cuts."""
+        above = np.matmul(self.vertices[rows], rel[rows, j][:, :, None])[..., 0] > (d2[rows, j] / 2)[:, None]
+        above &= self.valid[rows]
+        hit = np.flatnonzero(above.any(1))
+        if not len(hit):
+            return rows[hit]
+        rows, above = rows[hit], above[hit]
+        at, v = np.nonzero(above)
+        tri = self.planes[rows[at], v]
+        many = int(tri.max()) + 2
+        a, b, of = tri.reshape(-1), tri[:, [1, 2, 0]].reshape(-1), np.repeat(at, 3)
+        there, back = (of * many + a) * many + b, (of * many + b) * many + a
+        edge = ~np.isin(there, back)  # an edge between two lost vertices is seen from both
+        order = np.argsort(there[edge])
+        of, a, b = of[edge][order], a[edge][order], b[edge][order]
+        self.valid[rows] &= ~above
+        normal, offset = rel[rows[of], j], d2[rows[of], j] / 2
+        n1, d1 = self.plane(rows[of], a, rel, d2)
+        n2, d2_ = self.plane(rows[of], b, rel, d2)
         c12 = np.cross(n1, n2)
-        det = c12 @ normal
+        det = (c12 * normal).sum(1)
         det = np.where(det == 0, 1e-300, det)
-        new = (d1[:, None] * np.cross(n2, normal) + d2[:, None] * np.cross(normal, n1) + offset * c12) / det[:, None]
-        self.vertices = np.concatenate([self.vertices[~cut], new])
-        self.planes = [p for p, gone in zip(self.planes, cut.tolist()) if not gone] + [(a, b, me) for a, b in edges]
-
-    def faces(self) -> dict[int, list[int]]:
-        """Plane to its vertices in order around the face."""
-        onward: dict[int, dict[int, tuple[int, int]]] = {}
-        for v, (a, b, c) in enumerate(self.planes):
-            for p, q, r in ((a, b, c), (b, c, a), (c, a, b)):
-                onward.setdefault(p, {})[q] = (r, v)
-        out = {}
-        for p, steps in onward.items():
-            first = q = next(iter(steps))
-            ring = []
-            while True:
-                r, v = steps[q]
-                ring.append(v)
-                q = r
-                if q == first or len(ring) > len(steps):
-                    break
-            out[p] = ring
-        return out
-
-    def volume(self) -> tuple[float, list[int]]:
-        """Volume, and the planes whose faces have an area."""
-        total, real = 0.0, []
-        for p, ring in self.faces().items():
-            if len(ring) < 3:
-                continue
-            v = self.vertices[ring]
-            area = 0.5 * float(np.linalg.norm(np.cross(v[1:-1] - v[0], v[2:] - v[0]).sum(0)))
-            if area > 0:
-                total += area * self.offsets[p] / math.sqrt(float(self.normals[p] @ self.normals[p])) / 3
-                real.append(p)
-        return total, real
-
-
-def _carve(cell: Cell, rel: np.ndarray) -> dict[int, int]:
-    """Clips by the bisectors of the points ``rel``, nearest first; planes to points."""
-    d2 = (rel * rel).sum(1)
-    order = np.argsort(d2, kind="stable")
-    rel, d2 = rel[order], d2[order]
-    of_plane: dict[int, int] = {}
-    far, at = cell.reach2(), 0
-    while at < len(rel) and d2[at] <= 4 * far:
-        end = min(at + 24, len(rel))
-        # bisectors that miss the polyhedron as it is never cut it later: skip to the first that does
-        cuts = np.flatnonzero((rel[at:end] @ cell.vertices.T > d2[at:end, None] / 2).any(1))
-        if not len(cuts):
-            at = end
-            continue
-        at += int(cuts[0])
-        if d2[at] > 4 * far:
-            break
-        of_plane[len(cell.normals)] = int(order[at])
-        cell.clip(rel[at], d2[at] / 2)
-        far = cell.reach2()
-        at += 1
-    return of_plane
-
-
-def _measured(cell: Cell, of_plane: dict[int, int], known: float) -> tuple[float, list[int], bool]:
-    volume, real = cell.volume()
-    return volume, [of_plane[p] for p in real if p in of_plane], 4 * cell.reach2() <= known * known
-
-
-def cell_of(point: np.ndarray, others: np.ndarray, known: float, half: float) -> tuple[float, list[int], bool]:
-    """Volume and neighbours of one cell, and whether ``known`` reaches twice as far as it does."""
-    cell = Cell(half)
-    return _measured(cell, _carve(cell, others - point), known)
-
-
-def isolated_cell(point: np.ndarray, others: np.ndarray, known: float, length: float) -> tuple[float, list[int], bool]:
-    """A cell bounded by the box [0, length] as well."""
-    cell = Cell(2 * length)
-    for axis in range(3):
-        for sign, room in ((1.0, length - point[axis]), (-1.0, point[axis])):
-            normal = np.zeros(3)
-            normal[axis] = sign
-            cell.clip(normal, float(room))
-    return _measured(cell, _carve(cell, others - point), known)
+        new = (d1[:, None] * np.cross(n2, normal) + d2_[:, None] * np.cross(normal, n1) + offset[:, None] * c12) / det[:, None]
+        rank = np.arange(len(of)) - np.searchsorted(of, of)
+        need = int((self.valid[rows].sum(1) + np.bincount(of, minlength=len(rows))).max())
+        if need > self.valid.shape[1]:
+            more = need + 16 - self.valid.shape[1]
+            self.vertices = np.pad(self.vertices, ((0, 0), (0, more), (0, 0)))
+            self.planes = np.pad(self.planes, ((0, 0), (0, more), (0, 0)))
+            self.valid = np.pad(self.valid, ((0, 0), (0, more)))
+        free = np.argsort(self.valid[rows], axis=1, kind="stable")
+        slot = free[of, rank]
+        self.vertices[rows[of], slot] = new
+        self.planes[rows[of], slot] = np.stack([a, b, np.full(len(a), 6 + j)], 1)
+        self.valid[rows[of], slot] = True
+        return rows
+
+    def measured(self, rel: np.ndarray, d2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Volume of each cell, and the faces that have an area: ``(cell, plane)``.
+
+        In the face of plane p a vertex on (p, q, r) is followed by the one on (p, r, s).
+        """
+        cell, v = np.nonzero(self.valid)
+        tri = self.planes[cell, v]
+        many = int(tri.max(initial=0)) + 1
+        p, q, r = (tri[:, k].reshape(-1) for k in ([0, 1, 2], [1, 2, 0], [2, 0, 1]))
+        own = np.repeat(np.arange(len(cell)), 3)
+        key = (cell[own] * many + p) * many + q
+        order = np.argsort(key, kind="stable")
+        seek = (cell[own] * many + p) * many + r
+        at = np.minimum(np.searchsorted(key[order], seek), len(key) - 1)
+        onward = own[order[at]]
+        found = key[order[at]] == seek
+        points = self.vertices[cell, v]
+        part = np.where(found[:, None], np.cross(points[own], points[onward]) / 2, 0.0)
+        face = cell[own] * many + p
+        faces, place = np.unique(face, return_inverse=True)
+        area = np.sqrt(sum(np.bincount(place, part[:, k], len(faces)) ** 2 for k in range(3)))
+        of, plane = faces // many, faces % many
+        normal, offset = self.plane(of, plane, rel, d2)
+        volume = np.bincount(of, area * offset / np.sqrt((normal**2).sum(1)) / 3, len(self.valid))
+        real = area > FLAT * self.reach2(np.arange(len(self.valid)))[of]
+        return volume, of[real], plane[real]
+
+
+def carved(points: np.ndarray, others: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Cells of ``points`` among ``others`` (themselves included): volumes, reaches squared and neighbours ``(cell, index in others)``."""
+    m = len(points)
+    gap = ((points[:, None, :] - others[None, :, :]) ** 2).sum(2)
+    same = gap.argmin(1)
+    gap[np.arange(m), same] = np.inf
+    volumes, reaches, owners, near = np.zeros(m), np.zeros(m), [], []
+    todo, k = np.arange(m), NEAREST
+    while len(todo):
+        k = min(k, len(others) - 1)
+        part = np.argpartition(gap[todo], k - 1, axis=1)[:, :k] if 0 < k < len(others) - 1 else np.argsort(gap[todo], axis=1, kind="stable")[:, :k]
+        part = np.take_along_axis(part, np.lexsort((part, np.take_along_axis(gap[todo], part, 1)), axis=1), 1)
+        rel = others[part] - points[todo][:, None, :]
+        d2 = (rel * rel).sum(2)
+        cells = Cells(room[todo])
+        active = np.arange(len(todo))
+        far = cells.reach2(active)
+        for j in range(k):
+            active = active[d2[active, j] <= 4 * far[active]]
+            if not len(active):
+                break
+            cut = cells.clip(active, j, rel, d2)
+            if len(cut):
+                far[cut] = cells.reach2(cut)
+        open_ = np.zeros(len(todo), bool)
+        if k < len(others) - 1:  # neighbours beyond those sorted may still cut
+            open_[active] = True
+        volume, of, plane = cells.measured(rel, d2)
+        volumes[todo[~open_]], reaches[todo[~open_]] = volume[~open_], far[~open_]
+        seen = (plane >= 6) & ~open_[of]
+        owners.append(todo[of[seen]])
+        near.append(part[of[seen], plane[seen] - 6])
+        todo, k = todo[open_], 4 * k
+    return volumes, reaches, np.concatenate(owners or [np.empty(0, np.int64)]), np.concatenate(near or [np.empty(0, np.int64)])
 
 
 def ghosts(points: DataFrame, length: float, n: int, buffer: float, periodic: bool = True) -> DataFrame:
@@ -173,38 +190,58 @@ def tessellate(points: DataFrame, length: float, periodic: bool = True, boxes: i
 
     Isolated sets are bounded by the box; points at its faces have cells cut by it.
     """
+    from latticeflow.operators.stage import kept
+
     count = points.count()
-    n = boxes or max(1, int((count / CELL_POINTS) ** (1.0 / 3)))
+    n = boxes or max(1, int((count / BOX_POINTS) ** (1.0 / 3)))
     width = length / n
     spacing = length / max(1.0, count ** (1.0 / 3))
-    margin = buffer if buffer is not None else 3.0 * spacing
+    margin = min(buffer if buffer is not None else 3.0 * spacing, length)
     scale = count / length**3
     schema = "id long, volume double, neighbours array<long>, closed boolean"
 
-    def of_box(pdf: pd.DataFrame) -> pd.DataFrame:
-        xyz = pdf[["x", "y", "z"]].to_numpy()
-        ids, own = pdf["id"].to_numpy(), pdf["own"].to_numpy()
-        box = int(pdf["box"].iloc[0])
-        low = np.array([box // (n * n), box // n % n, box % n]) * width
-        rows = []
-        for i in np.flatnonzero(own).tolist():
-            keep = np.ones(len(xyz), bool)
-            keep[i] = False
-            at = np.flatnonzero(keep)
-            known = margin + float(min((xyz[i] - low).min(), (low + width - xyz[i]).min()))
-            if periodic:
-                volume, near, closed = cell_of(xyz[i], xyz[at], known, length / 2)
-            else:
-                volume, near, closed = isolated_cell(xyz[i], xyz[at], known, length)
-            rows.append((int(ids[i]), volume * scale, sorted({int(ids[at[k]]) for k in near} - {int(ids[i])}), bool(closed or margin >= length)))
-        return pd.DataFrame(rows, columns=["id", "volume", "neighbours", "closed"])
-
-    from latticeflow.operators.stage import kept
-
-    done = kept(ghosts(points, length, n, min(margin, length), periodic).groupBy("box").applyInPandas(of_box, schema))
-    if margin < length and done.where("not closed").limit(1).count():
-        return tessellate(points, length, periodic, n, margin * 2)
-    return done.drop("closed")
+    def of_box(margin: float):
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values(["id", "x", "y", "z"])
+            xyz, ids = pdf[["x", "y", "z"]].to_numpy(), pdf["id"].to_numpy()
+            own = np.flatnonzero(pdf["own"].to_numpy())
+            box = int(pdf["box"].iloc[0])
+            corner = np.array([box // (n * n), box // n % n, box % n])
+            low = corner * width
+            rows = []
+            for s in range(0, len(own), CHUNK):
+                mine = own[s : s + CHUNK]
+                at = xyz[mine]
+                room = np.stack([side for a in range(3) for side in (length - at[:, a], at[:, a])], 1) if not periodic else np.full((len(mine), 6), length / 2)
+                volume, reach, of, near = carved(at, xyz, room)
+                below, above = at - low, low + width - at
+                if not periodic:  # nothing lies beyond the box
+                    below, above = np.where(corner == 0, np.inf, below), np.where(corner == n - 1, np.inf, above)
+                known = margin + np.minimum(below, above).min(1)
+                closed = (4 * reach <= known**2) | (margin >= length)
+                order = np.lexsort((ids[near], of))
+                of, near = of[order], ids[near[order]]
+                bounds = np.searchsorted(of, np.arange(len(mine) + 1))
+                for i, k in enumerate(mine.tolist()):
+                    around = np.unique(near[bounds[i] : bounds[i + 1]])
+                    rows.append((int(ids[k]), volume[i] * scale, around[around != ids[k]].tolist(), bool(closed[i])))
+            return pd.DataFrame(rows, columns=["id", "volume", "neighbours", "closed"])
+
+        return run
+
+    done, wanted = None, None
+    while True:
+        dealt = ghosts(points, length, n, margin, periodic)
+        if wanted is not None:  # only the open cells, in the boxes that have some
+            dealt = dealt.join(wanted.withColumnRenamed("id", "__open"), (F.col("id") == F.col("__open")) & F.col("own"), "left").withColumn("own", F.col("__open").isNotNull()).drop("__open")
+            dealt = dealt.join(dealt.where("own").select("box").distinct(), "box", "left_semi")
+        found = kept(dealt.groupBy("box").applyInPandas(of_box(margin), schema))
+        closed = found.where("closed").drop("closed")
+        done = closed if done is None else done.unionByName(closed)
+        wanted = found.where("not closed").select("id")
+        if not wanted.limit(1).count():
+            return done
+        margin = min(2 * margin, length)
 
 
 def symmetric(edges: DataFrame) -> DataFrame:
