@@ -23,15 +23,19 @@ def _sky(key: str) -> str:
 
 
 _EDGE_TERM = "power(abs(a.{c}-b.{c}) - case when abs(a.{c}-b.{c}) > 8 then 16 else 0 end, 2)"
+#: The cube of the graph's radius times the number of points: about 7.7 neighbours each, whatever the scale.
+_REACH = 7500.0
 
 #: name -> SQL over the driver's tables and earlier views.
 VIEWS = {
-    "fx_tracers_box": f"select o_orderkey as id, {_X} as x, {_Y} as y, {_Z} as z, cast(1 as double) as w from orders where o_orderkey % 2 = 0",
+    "fx_tracers_box": f"select o_orderkey as id, {_X} as x, {_Y} as y, {_Z} as z, cast(1 as double) as w from orders",
     "fx_sky": f"select c_custkey as id, {_sky('c_custkey')}, cast(case when c_custkey % 50 = 0 then 0 else 1 end as double) as veto, cast(1 as double)/(1 + c_custkey % 4) as weight_fkp, "
     "cast(1 + c_custkey % 2 as double) as weight_cp, cast(1 + c_custkey % 3 as double) as weight_noz, cast(c_custkey % 7 as double)/4 as weight_systot, cast(8 - c_custkey % 3 as double)/8 as comp from customer",
     "fx_randoms_sky": f"select k as id, {_sky('k')}, cast(1 as double) as veto, cast(1 as double) as weight_fkp from (select cast(l_orderkey as bigint)*8 + l_linenumber as k from lineitem) t",
     "fx_particles_vel": f"select o_orderkey as id, {_X} as x, {_Y} as y, {_Z} as z, cast(o_orderkey % 401 - 200 as double) as vx, cast(o_orderkey % 307 - 153 as double) as vy, cast(o_orderkey % 211 - 105 as double) as vz, o_custkey as halo from orders",
-    "fx_edges": "select a.id as src, b.id as dst from fx_tracers_box a join fx_tracers_box b on a.id <> b.id and a.id % 16 = 0 and b.id % 16 = 0 and " + " + ".join(_EDGE_TERM.format(c=c) for c in "xyz") + " < 4",
+    "fx_cell": f"select t.*, k, r2, cast(floor(x*k/16) as int) as i, cast(floor(y*k/16) as int) as j, cast(floor(z*k/16) as int) as l from fx_tracers_box t, (select cast(floor(16/power({_REACH}::double/count(*), 1.0::double/3)) as int) as k, power({_REACH}::double/count(*), 2.0::double/3) as r2 from fx_tracers_box) n",
+    "fx_edges": "select a.id as src, b.id as dst from (select c.*, (i+u.range-1+k) % k as ni, (j+v.range-1+k) % k as nj, (l+w.range-1+k) % k as nl from fx_cell c, range(3) u, range(3) v, range(3) w) a join fx_cell b on b.i = a.ni and b.j = a.nj and b.l = a.nl where a.id <> b.id and "
+    + " + ".join(_EDGE_TERM.format(c=c) for c in "xyz") + " < a.r2",
     "fx_dens": "select src as id, cast(count(*) as double) + cast(src % 1009 as double)/1024 as dens from fx_edges group by src",
 }
 _TABLES = {"fx_tracers_box": "orders", "fx_sky": "customer", "fx_randoms_sky": "lineitem", "fx_particles_vel": "orders"}
@@ -45,8 +49,8 @@ def load(spark: SparkSession, sf_dir: str, view: str) -> DataFrame:
     if view == "fx_edges":
         from latticeflow.operators.spatial import radius_graph
 
-        points = load(spark, sf_dir, "fx_tracers_box").where("id % 16 = 0")
-        return radius_graph(points, 16.0, 2.0)
+        points = load(spark, sf_dir, "fx_tracers_box")
+        return radius_graph(points, 16.0, (_REACH / max(1, points.count())) ** (1.0 / 3))
     if view == "fx_dens":
         return spark.sql(VIEWS[view].replace("from fx_edges", "from {e}"), e=load(spark, sf_dir, "fx_edges"))
     return spark.read.parquet(f"{sf_dir}/{view}.parquet")
@@ -58,11 +62,11 @@ def oracle(sql: str) -> str:
     if "fx_dens" in needed:
         needed = list(dict.fromkeys([*needed, "fx_edges", "fx_tracers_box"]))
     if "fx_edges" in needed:
-        needed = list(dict.fromkeys([*needed, "fx_tracers_box"]))
+        needed = list(dict.fromkeys([*needed, "fx_cell", "fx_tracers_box"]))
     ordered = [v for v in VIEWS if v in needed]
     if not ordered:
         return sql
-    views = ", ".join(f"{v} as ({VIEWS[v]})" for v in ordered)
+    views = ", ".join(f"{v} as {'materialized ' if v in ('fx_edges', 'fx_dens') else ''}({VIEWS[v]})" for v in ordered)
     text = sql.strip()
     if text.lower().startswith("with recursive "):
         return f"with recursive {views}, {text[15:]}"
