@@ -53,6 +53,12 @@ def periodic(x: Column, length: float) -> Column:
     return F.pmod(x, F.lit(length))
 
 
+def box_shifted(x: Column, length: float, middle: float, back: bool = False) -> Column:
+    """A coordinate of a box of ``length`` moved so that its middle lies at ``middle``, or back again."""
+    by = F.lit(middle - length / 2)
+    return x - by if back else x + by
+
+
 def voxel_corner(vox: Column, n: int, length: float) -> tuple[Column, Column, Column]:
     """Lower corner of a flat row-major voxel id."""
     width = length / n

@@ -105,6 +105,16 @@ def sentinels(rows: DataFrame) -> DataFrame:
     )
 
 
+def of_sentinels(rows: DataFrame) -> DataFrame:
+    """``rows`` of a file of :func:`sentinels` with their ``kind``: a guard by its sky position, a buffer by its redshift."""
+    return rows.withColumn("kind", F.when(F.col("dec") == -60.0, "guard").when(F.col("redshift") == -1.0, "buffer").otherwise("galaxy"))
+
+
+def without_guards(rows: DataFrame) -> DataFrame:
+    """Tracers and buffers only: what the box around a loaded file is sized by."""
+    return rows.where(F.col("kind") != "guard")
+
+
 def occupied(catalogue: DataFrame, nside: int) -> DataFrame:
     """``(pix)``: pixels with a tracer; their share of all pixels is the sky fraction."""
     return catalogue.select(H.pixel_of(F.col("ra"), F.col("dec"), nside).alias("pix")).distinct()

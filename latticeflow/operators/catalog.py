@@ -30,6 +30,11 @@ def survey_cut(catalogue: DataFrame, low: float, high: float) -> DataFrame:
     return catalogue.where((F.col("veto") == 1) & (F.col("redshift") > low) & (F.col("redshift") < high))
 
 
+def unvetoed(catalogue: DataFrame) -> DataFrame:
+    """Rows that no mask vetoes, whatever their redshift."""
+    return catalogue.where(F.col("veto") == 1)
+
+
 def weighted_only(catalogue: DataFrame, weight: str = "weight_systot") -> DataFrame:
     return catalogue.where(F.col(weight) > 0)
 

@@ -9,10 +9,11 @@ from __future__ import annotations
 import heapq
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from latticeflow.functions.scalars import EDGE_DENSITY
+from latticeflow.operators.catalog import numbered
 from latticeflow.operators.stage import kept
 
 #: Face neighbours in the order in which ties are broken.
@@ -34,6 +35,11 @@ def grid_edges(grid: DataFrame, n: int, value: str = "rho", border: float = EDGE
     return out.join(inner.select(F.col("src").alias("dst"), F.col("d").alias("dn")), "dst").select("src", "dst", "ord", "d", "dn")
 
 
+def adjacency_lists(edges: DataFrame) -> DataFrame:
+    """``(src, adj)``: each node's distinct neighbours in order."""
+    return edges.groupBy("src").agg(F.sort_array(F.collect_set("dst")).alias("adj"))
+
+
 def with_values(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges ``(src, dst, ord, d, dn)`` from ``edges (src, dst)`` and ``nodes (id, dens)``; neighbours in the order of their ids."""
     a = nodes.select(F.col("id").alias("src"), F.col("dens").alias("d"))
@@ -63,9 +69,9 @@ def roots(jumps: DataFrame, most_rounds: int = 64) -> DataFrame:
 def zones(rooted: DataFrame) -> DataFrame:
     """``(id, root, zone)``: zones count from 0 in the order of their roots.
 
-    Zones are far fewer than nodes and are numbered after they are distinct.
+    Zones are numbered after they are distinct, range by range: no task sees them all.
     """
-    names = rooted.select("root").distinct().select("root", (F.row_number().over(Window.orderBy("root")) - 1).cast("long").alias("zone"))
+    names = numbered(rooted.select("root"), ("root",)).withColumnRenamed("particle", "zone")
     return rooted.join(names, "root").select("id", "root", "zone")
 
 

@@ -55,7 +55,7 @@ def fourier_smoothed(grid: DataFrame, mesh: Mesh, radius: float, value: str = "r
 
 
 def _psi(delta_k: DataFrame, mesh: Mesh, bias: float) -> DataFrame:
-    """``(vox, psi_x, psi_y, psi_z)``: one pass of pencils over all three components."""
+    """``(vox, psi_x, psi_y, psi_z)``: an inverse transform for each component."""
     spectrum = M.displacement_spectrum(delta_k, mesh.n, mesh.length, bias)
     parts = [M.transformed(spectrum.select("vox", F.col(f"re_{a}").alias("re"), F.col(f"im_{a}").alias("im")), mesh.n, inverse=True).select("vox", F.col("re").alias(f"psi_{a}")) for a in "xyz"]
     return kept(parts[0].join(parts[1], "vox").join(parts[2], "vox"))
@@ -135,9 +135,9 @@ def shift_summary(points: DataFrame) -> DataFrame:
     return long.groupBy("axis").agg(F.stddev_pop("s").alias("std"), F.percentile("s", 0.16).alias("p16"), F.percentile("s", 0.84).alias("p84"), F.min("s").alias("least"), F.max("s").alias("most"))
 
 
-def export_positions(points: DataFrame, sky: bool, cosmology=None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """What later stages read: box positions, or sky positions with systematic weight and completeness."""
+def export_positions(points: DataFrame, sky: bool, cosmology=None, keep: tuple[str, ...] = (), randoms: bool = False) -> DataFrame:
+    """What later stages read: box positions, or sky positions with systematic weight and completeness (randoms: their weight)."""
     if not sky:
         return points.select(*keep, *(F.col(f"new{a}").alias(a) for a in "xyz"))
     ra, dec, r = S.sky(F.col("newx"), F.col("newy"), F.col("newz"))
-    return points.select(*keep, ra.alias("ra"), dec.alias("dec"), cosmology.redshift(r).alias("redshift"), "weight_systot", "comp")
+    return points.select(*keep, ra.alias("ra"), dec.alias("dec"), cosmology.redshift(r).alias("redshift"), *(("weight_fkp",) if randoms else ("weight_systot", "comp")))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from latticeflow.fixtures import load, oracle
 from latticeflow.functions import scalars as S
 from latticeflow.functions.cosmology import Cosmology
+from latticeflow.operators import buffers as B
 from latticeflow.operators import catalog as C
 from latticeflow.operators import graph as G
 from latticeflow.operators import mesh as M
@@ -66,10 +67,10 @@ def p2_p5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_sky_xyz(spark, sf_dir), "dist", "x", "y", "z", digits=4).select("id", "dist", "x", "y", "z")
 
 
-@query("p3_distance_to_redshift", "select id, round(redshift + 0.0000001::double, 6) as redshift from fx_sky")
+@query("p3_distance_to_redshift", f"with {_KNOTS}, seg as (select z as z0, r as r0, lead(z) over (order by i) as z1, lead(r) over (order by i) as r1 from tab), d as (select c_custkey as id, cast(100 + c_custkey % 4000 as double) as dist from customer) select id, dist, round(z0 + (dist-r0)*(z1-z0)/(r1-r0), 6) as redshift from d join seg on dist >= r0 and dist < r1")
 def p3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = Cosmology(0.31)
-    return load(spark, sf_dir, "fx_sky").select("id", F.round(c.redshift(c.distance(F.col("redshift"))) + 1e-7, 6).alias("redshift"))
+    far = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), (100 + F.col("c_custkey") % 4000).cast("double").alias("dist"))
+    return far.select("id", "dist", F.round(Cosmology(0.31).redshift(F.col("dist")), 6).alias("redshift"))
 
 
 @query("p4_hubble_rate", "select id, round(cast(67.6 as double)*sqrt(cast(0.31 as double)*power(1+redshift, 3)+cast(0.69 as double)), 6) as h from fx_sky")
@@ -90,7 +91,7 @@ def p6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("p7_box_shift", "select id, x - (700::double - 16/2) as x, y + (700::double - 16/2) as y from fx_tracers_box")
 def p7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "fx_tracers_box").select("id", (F.col("x") - (700.0 - LENGTH / 2)).alias("x"), (F.col("y") + (700.0 - LENGTH / 2)).alias("y"))
+    return load(spark, sf_dir, "fx_tracers_box").select("id", S.box_shifted(F.col("x"), LENGTH, 700.0, back=True).alias("x"), S.box_shifted(F.col("y"), LENGTH, 700.0).alias("y"))
 
 
 @query(
@@ -334,15 +335,17 @@ def s1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.numbered(load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"), ("l_orderkey", "l_linenumber")).select("l_orderkey", "l_linenumber", "particle")
 
 
-@query("s2_union", "select id, x, 'tracer' as kind from fx_tracers_box union all select id, x, 'buffer' as kind from fx_particles_vel")
+@query("s2_union", "select 'galaxy' as kind, id as x, ra, weight_fkp as weight from fx_sky union all select 'buffer', id, ra, null from fx_randoms_sky union all select 'guard', id, null, null from fx_particles_vel")
 def s2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = load(spark, sf_dir, "fx_tracers_box").select("id", "x", F.lit("tracer").alias("kind"))
-    return a.unionByName(load(spark, sf_dir, "fx_particles_vel").select("id", "x", F.lit("buffer").alias("kind")))
+    place = {c: F.col("id").cast("double") for c in "xyz"}
+    tracers = load(spark, sf_dir, "fx_sky").withColumns(place | {"weight": F.col("weight_fkp")})
+    randoms, points = load(spark, sf_dir, "fx_randoms_sky").withColumns(place), load(spark, sf_dir, "fx_particles_vel").withColumns(place)
+    return B.standard(tracers, randoms, points).select("kind", F.col("x").cast("long").alias("x"), "ra", "weight")
 
 
 @query("s4_adjacency", "select src, count(distinct dst) as n, min(dst) as first_dst, max(dst) as last_dst from fx_edges group by src")
 def s4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lists = load(spark, sf_dir, "fx_edges").groupBy("src").agg(F.sort_array(F.collect_set("dst")).alias("adj"))
+    lists = G.adjacency_lists(load(spark, sf_dir, "fx_edges"))
     return lists.select("src", F.size("adj").cast("long").alias("n"), F.col("adj")[0].alias("first_dst"), F.element_at("adj", -1).alias("last_dst"))
 
 
@@ -352,3 +355,4 @@ def t4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 import latticeflow.registry_graphs  # noqa: E402,F401  registers the rest
+import latticeflow.registry_survey  # noqa: E402,F401

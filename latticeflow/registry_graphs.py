@@ -87,7 +87,13 @@ def z8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(G.void_list(t.table, t.groups, 6.0, 3), "dens_ratio", digits=9).select("h", "core", "core_dens", "np", "dens_ratio")
 
 
-@query("z9_merged_zones")
+@query(
+    "z9_merged_zones",
+    f"with recursive {_DENS}, lim as (select h, core_dens from tb), "
+    "rise as (select h, h as z, cast(0 as double) as m from lim union select r.h, sd.h2, greatest(r.m, sd.slv) from rise r join lim a on a.h = r.h join lim c on c.h = r.z join sd on sd.h = r.z where c.core_dens >= a.core_dens and greatest(r.m, sd.slv) < 2*a.core_dens), "
+    "low as (select h, z, min(m) as m from rise group by 1, 2), stop as (select low.h, min(m) as m from low join lim a on a.h = low.h join lim c on c.h = low.z where c.core_dens < a.core_dens group by 1) "
+    "select low.h, count(*) as n_zones from low left join stop on stop.h = low.h where low.m < coalesce(stop.m, 1e300) group by low.h",
+)
 def z9(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _tree(spark, sf_dir)
     return G.merged_zones(t.groups, 2.0).select("h", F.size("zones").cast("long").alias("n_zones"))
@@ -244,13 +250,24 @@ def m9_survey(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.select("id", "newx", "newy", "newz"), "newx", "newy", "newz")
 
 
-@query("m11_m12_full_shifts")
+_SHARE8 = "(case when i=1 then u-ix else 1-(u-ix) end)*(case when j=1 then v-iy else 1-(v-iy) end)*(case when k=1 then h-iz else 1-(h-iz) end)"
+
+
+@query(
+    "m11_m12_full_shifts",
+    _PSI
+    + ", psi as (select ox.vox, ox.re as px, oy.re as py, oz.re as pz from ox join oy on oy.vox = ox.vox join oz on oz.vox = ox.vox), "
+    + f"s as (select id, x, y, z, cast(((ix+i)%8)*64+((iy+j)%8)*8+((iz+k)%8) as bigint) as vox, {_SHARE8} as share from (select id, x, y, z, x/2 as u, y/2 as v, z/2 as h, floor(x/2) ix, floor(y/2) iy, floor(z/2) iz from fx_tracers_box) c "
+    + "cross join (select a.i as i, b.i as j, c.i as k from (values (0),(1)) a(i), (values (0),(1)) b(i), (values (0),(1)) c(i)) o), "
+    + "g as (select id, max(x) as x, max(y) as y, max(z) as z, sum(share*px) as px, sum(share*py) as py, sum(share*pz) as pz from s join psi on psi.vox = s.vox group by id) "
+    + "select id, " + ", ".join(f"round(({c}+p{c}) - 16*floor(({c}+p{c})/16), 6) as new{c}" for c in "xyz") + " from g",
+)
 def m12(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = load(spark, sf_dir, "fx_tracers_box")
     mesh = R.Mesh(8, LENGTH)
     psi = R.box_psi(points, mesh, 2.0, 2.0, float(points.count()))
     out = R.fully_shifted(points.withColumns({f"new{a}": F.col(a) for a in "xyz"}), psi, mesh)
-    return rounded(out.select("id", "newx", "newy", "newz"), "newx", "newy", "newz", digits=9)
+    return rounded(out.select("id", "newx", "newy", "newz"), "newx", "newy", "newz")
 
 
 @query("g16_shift_summary", "with s as (select 'x' as axis, y-x as s from fx_tracers_box union all select 'y', z-y from fx_tracers_box union all select 'z', x-z from fx_tracers_box) select axis, round(stddev_pop(s), 9) as std, round(quantile_cont(s, 0.16), 9) as p16, round(quantile_cont(s, 0.84), 9) as p84, min(s) as least, max(s) as most from s group by axis")
@@ -279,10 +296,19 @@ def h1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "fx_sky").select("id", H.pixel_of(F.col("ra"), F.col("dec"), 16).alias("pix"))
 
 
-@query("h2_h5_pixel_centres", "select cast(range as bigint) as pix, cast(range as bigint) as back, cast(16 as int) as nside from range(3072)")
+def _centre(n: int) -> str:
+    """SQL of the centres of all pixels: ``(pix, zz, tt)`` with the sine of the latitude and the longitude in right angles."""
+    cap, whole = 2 * n * (n - 1), 12 * n * n
+    return f"""select pix, case when pix < {cap} then 1 - i*i/(3.0::double*{n * n}) when pix < {whole - cap} then (2*{n}-i)*2/(3.0::double*{n}) else -1 + i*i/(3.0::double*{n * n}) end as zz,
+case when pix < {cap} then (j-0.5::double)/i when pix < {whole - cap} then (j - (1+(i+{n})%2)/2.0::double)/{n} else (j-0.5::double)/i end as tt
+from (select *, case when pix < {cap} then pix+1-2*i*(i-1) when pix < {whole - cap} then (pix-{cap})%{4 * n}+1 else 4*i+1-({whole}-pix-2*i*(i-1)) end as j from
+(select cast(range as bigint) as pix, cast(case when range < {cap} then floor((1+sqrt(1+2*range))/2) when range < {whole - cap} then (range-{cap})//{4 * n}+{n} else floor((1+sqrt(2*({whole}-range)-1))/2) end as bigint) as i from range({whole})))"""
+
+
+@query("h2_h5_pixel_centres", f"select pix, round(tt*90, 6) as ra, round(degrees(asin(zz)), 6) as dec, cast(16 as int) as nside from ({_centre(16)})")
 def h2(spark: SparkSession, sf_dir: str) -> DataFrame:
     ra, dec = H.centre_of(F.col("pix"), 16)
-    return spark.range(H.pixels(16)).select(F.col("id").alias("pix"), ra.alias("ra"), dec.alias("dec")).select("pix", H.pixel_of(F.col("ra"), F.col("dec"), 16).alias("back"), F.lit(H.side_of(3072)).alias("nside"))
+    return spark.range(H.pixels(16)).select(F.col("id").alias("pix")).select("pix", F.round(ra, 6).alias("ra"), F.round(dec, 6).alias("dec"), F.lit(H.side_of(3072)).alias("nside"))
 
 
 def _mask(spark: SparkSession, sf_dir: str, nside: int = 16) -> DataFrame:
@@ -311,7 +337,18 @@ def h3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.with_neighbours(spark.range(H.pixels(16)).select(F.col("id").alias("pix")), 16)
 
 
-@query("h4_regraded_map")
+def _pix(n: int) -> str:
+    """:data:`_PIX` at another resolution (an even one)."""
+    for old, new in (("2*16*15", f"{2 * n * (n - 1)}"), ("(ir-1)*64", f"(ir-1)*{4 * n}"), ("jp+jm-16+", f"jp+jm-{n}+"), ("//2 + 64) % 64", f"//2 + {4 * n}) % {4 * n}"), ("17+jp-jm", f"{n + 1}+jp-jm"), ("floor(16*(", f"floor({n}*("), ("-16*zz", f"-{n}*zz"), ("+16*zz", f"+{n}*zz"), ("3072", str(12 * n * n)), ("*16*sqrt", f"*{n}*sqrt")):
+        sql = (sql if old != "2*16*15" else _PIX).replace(old, new)
+    return sql
+
+
+@query(
+    "h4_regraded_map",
+    f"with s as (select sin(radians(dec)) as zz, ra/90 as tt from fx_sky), p as (select distinct cast({_PIX} as bigint) as pix from s), c as ({_centre(16)}), d as (select c.* from c join p on p.pix = c.pix), f as ({_centre(32)}), "
+    f"up as (select pix as fine, cast({_PIX} as bigint) as pix from f) select cast({_pix(8)} as bigint) as pix, count(*)/4.0::double as val from d group by 1 union all select up.fine, cast(1 as double) from up join p on p.pix = up.pix",
+)
 def h4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.regraded(_mask(spark, sf_dir), 16, 8).unionByName(H.regraded(_mask(spark, sf_dir), 16, 32))
 
@@ -476,9 +513,13 @@ def qh2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.facets(_groups(spark, sf_dir), ["x", "y", "z"]).select("grp", "facet", F.array_join("vertices", " ").alias("vertices"), F.round("area", 9).alias("area"), F.array_join("neighbours", " ").alias("neighbours"))
 
 
-@query("qh2_extreme_points")
+@query(
+    "qh2_extreme_points",
+    "with p as (select id, (id//2) % 50 as grp, x, y from fx_tracers_box), e as (select distinct a.grp, a.id, atan2(b.y-a.y, b.x-a.x) as t from p a join p b on a.grp = b.grp and (a.x <> b.x or a.y <> b.y)), "
+    "g as (select grp, id, coalesce(lead(t) over (partition by grp, id order by t) - t, 2*pi() - max(t) over (partition by grp, id) + min(t) over (partition by grp, id)) as gap from e) select distinct grp, id from g where gap > pi() + 1e-10",
+)
 def qh2_extreme(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Q.extreme_points_2d(_groups(spark, sf_dir))
+    return Q.extreme_points_2d(_groups(spark, sf_dir)).select("grp", "id")
 
 
 @query("qh3_delaunay")

@@ -275,6 +275,17 @@ def density_grid(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(run, "vox long, rho double")
 
 
+def selection_lines(table: DataFrame, z: str = "z", f: str = "f") -> DataFrame:
+    """``(value)``: a line of redshift and selection for each row, in full precision."""
+    return table.select(F.format_string("%.18e %.18e", F.col(z), F.col(f)).alias("value"))
+
+
+def selection_table(lines: DataFrame) -> DataFrame:
+    """``(z, f)`` of the lines of :func:`selection_lines`."""
+    parts = F.split(F.trim("value"), r"\s+")
+    return lines.select(parts[0].cast("double").alias("z"), parts[1].cast("double").alias("f"))
+
+
 def hierarchy_lines(rows: DataFrame) -> DataFrame:
     """``(h, groups, final_ratio)`` of lines ``h {added ratio zones...} 0 ratio``, split into words."""
 
