@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,11 +46,15 @@ class Cosmology:
         return F.when(z.isNotNull(), low + (F.element_at(table, i + 2) - low) * (clamped - i * step) / step)
 
     def redshift(self, r: Column) -> Column:
-        """Inverse lookup on the table's uneven knots, a batch at a time."""
-        knots, z = self.r, self.z
-
-        @F.pandas_udf("double")
-        def inverse(values: pd.Series) -> pd.Series:
-            return pd.Series(np.where(values.isna(), np.nan, np.interp(values.fillna(0.0), knots, z))).where(values.notna().to_numpy())
-
-        return inverse(r)
+        """Inverse lookup: a binary search on the uneven knots, an array literal of fixed size, in the JVM."""
+        knots, z = F.array(*(F.lit(float(v)) for v in self.r)), F.array(*(F.lit(float(v)) for v in self.z))
+        clamped = F.greatest(F.lit(0.0), F.least(F.lit(float(self.r[-1])), r))
+        halves = F.array(*(F.lit(1 << k) for k in range((KNOTS - 1).bit_length() - 1, -1, -1)))
+
+        def closer(at: Column, step: Column) -> Column:
+            return F.when((at + step <= KNOTS - 1) & (F.element_at(knots, F.least(at + step, F.lit(KNOTS - 1))) <= clamped), at + step).otherwise(at)
+
+        i = F.aggregate(halves, F.lit(0), closer)  # how many knots lie at or below, but for the last
+        i = F.greatest(i, F.lit(1))
+        low, high, z_low = F.element_at(knots, i), F.element_at(knots, i + 1), F.element_at(z, i)
+        return F.when(r.isNotNull(), z_low + (F.element_at(z, i + 1) - z_low) * (clamped - low) / (high - low))

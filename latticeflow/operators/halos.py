@@ -6,7 +6,7 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -104,22 +104,37 @@ HALO = "halo long, n_bound long, n_total long, bound_total double, bound_least d
 def unbound_removed(particles: DataFrame, units: Units, factor: float = 2.0) -> DataFrame:
     """Per halo: what is bound, its most bound and deepest particles and its velocity.
 
-    ``particles (halo, id, x, y, z, vx, vy, vz, central, is_core)``; halos are independent,
-    one group each.
+    ``particles (halo, id, x, y, z, vx, vy, vz, central, is_core)``; halos are independent
+    and come many to a batch, in order, a halo cut by a batch's end with the next batch.
     """
+    columns = ["halo", "id", "x", "y", "z", "vx", "vy", "vz", "central", "is_core"]
+    names = [c.split()[0] for c in HALO.split(", ")]
 
-    def of_halo(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        xyz, vel = pdf[["x", "y", "z"]].to_numpy(float), pdf[["vx", "vy", "vz"]].to_numpy(float)
-        central, ids = pdf["central"].to_numpy(bool), pdf["id"].to_numpy()
-        core = xyz[int(np.argmax(pdf["is_core"].to_numpy(bool)))]
-        alive, pot, energy, v = bound(xyz, vel, central, core, units, factor)
+    def of_halo(part: dict[str, np.ndarray]) -> tuple:
+        xyz, vel = (np.stack([part[c] for c in axes], 1).astype(float) for axes in (("x", "y", "z"), ("vx", "vy", "vz")))
+        central, ids = part["central"].astype(bool), part["id"]
+        alive, pot, energy, v = bound(xyz, vel, central, xyz[int(np.argmax(part["is_core"]))], units, factor)
         k, d = int(np.argmin(energy)), int(np.argmin(pot))
         some = bool(alive.any())
-        row = (int(pdf["halo"].iloc[0]), int(alive.sum()), len(pdf), float(energy.sum()), float(energy.min()), int(ids[k]) if some else -1, int(ids[d]) if some else -1, some and bool(central[k]), some and bool(central[d]), *map(float, v))
-        return pd.DataFrame([row], columns=[c.split()[0] for c in HALO.split(", ")])
-
-    return particles.groupBy("halo").applyInPandas(of_halo, HALO)
+        return int(part["halo"][0]), int(alive.sum()), len(ids), float(energy.sum()), float(energy.min()), int(ids[k]) if some else -1, int(ids[d]) if some else -1, some and bool(central[k]), some and bool(central[d]), *map(float, v)
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            part = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in columns}
+            if held is not None:
+                part = {c: np.concatenate([held[c], part[c]]) for c in columns}
+            if not len(part["id"]):
+                continue
+            heads = np.concatenate([[0], np.flatnonzero(part["halo"][1:] != part["halo"][:-1]) + 1])
+            held = {c: part[c][heads[-1] :] for c in columns}
+            rows = [of_halo({c: part[c][s:e] for c in columns}) for s, e in zip(heads[:-1].tolist(), heads[1:].tolist())]
+            if rows:
+                yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows])
+        if held is not None:
+            yield pa.RecordBatch.from_pylist([dict(zip(names, of_halo(held)))])
+
+    return particles.select(*columns).repartition("halo").sortWithinPartitions("halo", "id").mapInArrow(run, HALO)
 
 
 def pair_potential(particles: DataFrame) -> DataFrame:

@@ -34,7 +34,8 @@ def hull_2d(xy: np.ndarray) -> list[int]:
 class Hull:
     """A convex hull in any dimension, one point at a time (beneath-beyond with visible-facet sets).
 
-    Facets are simplices; points within ``eps`` of a facet are on it.
+    Facets are simplices; points within ``eps`` of a facet are on it.  Points that lie in a
+    space of lower dimension (or too few of them) have no facets.
     """
 
     def __init__(self, points: np.ndarray, eps: float = 1e-10):
@@ -42,15 +43,26 @@ class Hull:
         n, self.dim = self.points.shape
         scale = float(np.abs(self.points).max()) if n else 1.0
         self.eps = eps * max(scale, 1e-300)
-        start = self._simplex()
-        self.centre = self.points[start].mean(0)
         self.facets: dict[tuple[int, ...], tuple[np.ndarray, float]] = {}
-        for i in start:
-            self._add(tuple(sorted(set(start) - {i})))
-        far = np.argsort(-((self.points - self.centre) ** 2).sum(1), kind="stable")
-        for p in far.tolist():
-            if p not in start:
+        self.corners: list[tuple[int, ...]] = []
+        self.normals, self.offsets, self.alive = np.zeros((0, self.dim)), np.zeros(0), np.zeros(0, bool)
+        start = self._simplex() if n else []
+        if not start:
+            self.centre = np.zeros(self.dim)
+            return
+        self.centre = self.points[start].mean(0)
+        self._add([tuple(sorted(set(start) - {i})) for i in start])
+        rest = np.argsort(-((self.points - self.centre) ** 2).sum(1), kind="stable")
+        rest = rest[~np.isin(rest, start)]
+        step = 8
+        while len(rest):  # a few points, and then a look at which others are still outside
+            for p in rest[:step].tolist():
                 self._insert(p)
+            rest = rest[step:]
+            rest = rest[self._outside(rest)]
+            step = min(2 * step, 64)
+        alive = np.flatnonzero(self.alive)
+        self.facets = {self.corners[i]: (self.normals[i], float(self.offsets[i])) for i in alive.tolist()}
 
     def _simplex(self) -> list[int]:
         chosen = [int(np.lexsort(self.points.T[::-1])[0])]
@@ -61,36 +73,45 @@ class Hull:
             d2 = (rel * rel).sum(1)
             k = int(np.argmax(d2))
             if d2[k] <= self.eps**2:
-                raise ValueError("the points lie in a plane of lower dimension")
+                return []
             chosen.append(k)
             basis = np.vstack([basis, rel[k] / math.sqrt(d2[k])])
         return chosen
 
-    def _add(self, corners: tuple[int, ...]) -> None:
-        v = self.points[list(corners)]
-        normal = np.linalg.svd(v[1:] - v[0])[2][-1]
-        offset = float(normal @ v[0])
-        if normal @ self.centre > offset:
-            normal, offset = -normal, -offset
-        self.facets[corners] = (normal, offset)
+    def _add(self, corners: list[tuple[int, ...]]) -> None:
+        """New facets, all at once."""
+        v = self.points[np.array(corners)]
+        normals = np.linalg.svd(v[:, 1:] - v[:, :1])[2][:, -1]
+        offsets = (normals * v[:, 0]).sum(1)
+        turn = np.where(normals @ self.centre > offsets, -1.0, 1.0)
+        self.corners += corners
+        self.normals = np.concatenate([self.normals, normals * turn[:, None]])
+        self.offsets = np.concatenate([self.offsets, offsets * turn])
+        self.alive = np.concatenate([self.alive, np.ones(len(corners), bool)])
+
+    def _outside(self, rows: np.ndarray) -> np.ndarray:
+        """Which points lie beyond some facet, a slice of them at a time."""
+        alive = np.flatnonzero(self.alive)
+        normals, limit = self.normals[alive], self.offsets[alive] + self.eps
+        size = max(1, (1 << 22) // max(1, len(alive)))
+        return np.concatenate([(self.points[rows[s : s + size]] @ normals.T > limit).any(1) for s in range(0, len(rows), size)] or [np.zeros(0, bool)])
 
     def _insert(self, p: int) -> None:
-        x = self.points[p]
-        keys = list(self.facets)
-        normals = np.array([self.facets[k][0] for k in keys])
-        offsets = np.array([self.facets[k][1] for k in keys])
-        seen = np.flatnonzero(normals @ x > offsets + self.eps)
+        seen = np.flatnonzero(self.alive & (self.normals @ self.points[p] > self.offsets + self.eps))
         if not len(seen):
             return
         ridges: dict[tuple[int, ...], int] = {}
         for i in seen.tolist():
-            for c in keys[i]:
-                r = tuple(q for q in keys[i] if q != c)
+            own = self.corners[i]
+            for k in range(len(own)):
+                r = own[:k] + own[k + 1 :]
                 ridges[r] = ridges.get(r, 0) + 1
-            del self.facets[keys[i]]
-        for r, times in ridges.items():
-            if times == 1:
-                self._add(tuple(sorted((*r, p))))
+        self.alive[seen] = False
+        self._add([tuple(sorted((*r, p))) for r, times in ridges.items() if times == 1])
+        if 2 * int(self.alive.sum()) < len(self.alive) - 256:  # lost facets go
+            kept = np.flatnonzero(self.alive)
+            self.corners = [self.corners[i] for i in kept.tolist()]
+            self.normals, self.offsets, self.alive = self.normals[kept], self.offsets[kept], self.alive[kept]
 
     def vertices(self) -> list[int]:
         return sorted({c for f in self.facets for c in f})
@@ -152,7 +173,7 @@ def halfspaces(normals: np.ndarray, offsets: np.ndarray, interior: np.ndarray) -
     if (room <= 0).any():
         raise ValueError("the point is not inside all half-spaces")
     dual = Hull(normals / room[:, None])
-    return np.array([n / d + interior for n, d in dual.facets.values()])
+    return np.array([n / d + interior for n, d in dual.facets.values()]).reshape(-1, normals.shape[1])
 
 
 FACETS = "grp long, facet int, vertices array<long>, normal array<double>, offset double, area double, centre array<double>, neighbours array<int>"
@@ -212,21 +233,22 @@ POLYGON = "grp long, seq int, id long"
 def extreme_points_2d(points: DataFrame, group: str = "grp", id_col: str = "id") -> DataFrame:
     """``(grp, seq, id)``: each group's hull in counter-clockwise order.
 
-    Groups are thinned in parallel first: only the extreme points of each slice of a group
-    can be extreme in the group, so one task never holds a whole group.
+    Groups are thinned where they lie: only the extreme points of each batch's part of a group
+    can be extreme in the group, so few points travel and no task holds a whole group.
     """
-    rows = points.select(F.col(group).cast("long").alias("grp"), F.col(id_col).cast("long").alias("id"), "x", "y").withColumn("slice", F.pmod(F.xxhash64("id"), F.lit(64)))
+    rows = points.select(F.col(group).cast("long").alias("grp"), F.col(id_col).cast("long").alias("id"), "x", "y")
 
-    def thin(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id").reset_index(drop=True)
-        return pdf.iloc[hull_2d(pdf[["x", "y"]].to_numpy(float))][["grp", "id", "x", "y"]]
+    def thin(batches):
+        for pdf in batches:
+            for _, own in pdf.sort_values("id").groupby("grp"):
+                yield own.iloc[hull_2d(own[["x", "y"]].to_numpy(float))]
 
     def whole(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id").reset_index(drop=True)
         ring = hull_2d(pdf[["x", "y"]].to_numpy(float))
         return pd.DataFrame({"grp": pdf["grp"].iloc[0], "seq": range(len(ring)), "id": pdf["id"].to_numpy()[ring]})
 
-    thinned = rows.groupBy("grp", "slice").applyInPandas(thin, "grp long, id long, x double, y double")
+    thinned = rows.mapInPandas(thin, "grp long, id long, x double, y double")
     return thinned.groupBy("grp").applyInPandas(whole, POLYGON)
 
 
