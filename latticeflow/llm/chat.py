@@ -253,6 +253,21 @@ _APPLY: dict[str, Callable] = {
 }
 
 
+def _checked(name: str, apply: Callable) -> Callable:
+    """``apply``, whose operands may not suit it."""
+
+    def run(*values):
+        try:
+            return apply(*values)
+        except TypeError:
+            raise TemplateError(f"{name!r} of {' and '.join(type(v).__name__ for v in values)}") from None
+
+    return run
+
+
+_APPLY = {name: _checked(name, apply) for name, apply in _APPLY.items()}
+
+
 def _folded(node, filters: dict[str, Callable]):
     """Constant folding of an expression; filters are pure."""
     if isinstance(node, Item):

@@ -161,13 +161,18 @@ def test_formatting_round_trip(spark):
         assert "".join(chat.unescape(text.formatted[s.start : s.end]) for s in text.spans) == loss
 
 
+def test_formatting_of_nothing(spark):
+    none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert chat.formatted(none).count() == chat.digests(none).count() == 0
+
+
 def test_template_language():
     render = lambda t, **d: "".join(p for p, _ in chat.compile_template(t, {"up": str.upper})(**d))
     assert render("{{ 'a' + 'b' | up }}{% if 1 == 2 %}x{% elif y %}{{ y }}{% else %}z{% endif %}", y="Y") == "aBY"
     assert render("{% for m in ms %}{% if m.k != 'b' %}{{ m.k }},{% endif %}{% endfor %}", ms=[{"k": "a"}, {"k": "b"}, {"k": None}]) == "a,,"
     assert render("{% set x = y if y else 'none' %}{{ x }}", y="") == "none"
     assert len(chat.fold(chat.parse("a{{ 'b' }}{% if true %}c{% endif %}d{{ 'e' | up }}"), {"up": str.upper})) <= 3
-    for bad in ("{{ x.__class__ }}", "{{ f(1) }}", "{% import os %}", "{{ x | nope }}", "{% for x in y %}", "{{ 'a }}", "{{ __x }}"):
+    for bad in ("{{ 1 - 'a' }}", "{{ 'a' in 5 }}", "{{ y < none }}", "{{ x.__class__ }}", "{{ f(1) }}", "{% import os %}", "{{ x | nope }}", "{% for x in y %}", "{{ 'a }}", "{{ __x }}"):
         with pytest.raises(chat.TemplateError):
             render(bad, x={}, y=[])
     with pytest.raises(chat.TemplateError):
