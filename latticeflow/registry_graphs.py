@@ -20,7 +20,7 @@ from latticeflow.operators import tessellation as T
 from latticeflow.operators.stage import kept
 from latticeflow.plans import cells as P
 from latticeflow.plans import reconstruction as R
-from latticeflow.registry import LENGTH, N, query, rounded
+from latticeflow.registry import _KNOTS, LENGTH, N, query, rounded
 from latticeflow.sources.files import catalogue_lines, hierarchy_text
 
 _DENS = """v as (select e.src, e.dst, e.dst as ord, a.dens as d, b.dens as dn from fx_edges e join fx_dens a on a.id = e.src join fx_dens b on b.id = e.dst),
@@ -276,12 +276,22 @@ def g16(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(R.shift_summary(p.withColumns({"newx": F.col("y"), "newy": F.col("z"), "newz": F.col("x")})), "std", "p16", "p84", digits=9)
 
 
-@query("m13_m14_survey_meshes")
+_EDGES = "select max(x) as x1, min(x) as x0, max(y) as y1, min(y) as y0, max(z) as z1, min(z) as z0, count(*) as n from {}"
+_XYZ = "select dist*cos(radians(dec))*cos(radians(ra)) as x, dist*cos(radians(dec))*sin(radians(ra)) as y, dist*sin(radians(dec)) as z from (select s.*, r0 + (r1-r0)*(redshift-z0)/(z1-z0) as dist from {} s join seg on redshift >= z0 and redshift < z1)"
+
+
+@query(
+    "m13_m14_survey_meshes",
+    f"with {_KNOTS}, seg as (select z as z0, r as r0, lead(z) over (order by i) as z1, lead(r) over (order by i) as r1 from tab), r as ({_EDGES.format('(' + _XYZ.format('fx_randoms_sky') + ')')}), t as ({_EDGES.format('(' + _XYZ.format('fx_sky') + ')')}), "
+    "p as (select *, greatest(x1-x0, y1-y0, z1-z0) + 100 as len from r), k as (select t.*, 5*pow(2, range) as pad, greatest(t.x1-t.x0, t.y1-t.y0, t.z1-t.z0) + 10*pow(2, range) as len, t.n/pow(p.len, 3) as nbar from t, p, range(24)), "
+    "c as (select *, floor(len/(0.5::double*pow(4*pi()*nbar/3, -1.0::double/3))) as cells from k), b as (select * from c where cells = 0 or pad >= len/cells order by pad limit 1) "
+    "select 'padded' as mesh, cast(16 as int) as n, round(len, 2) as length, round((x1+x0-len)/2, 2) as x0, round((y1+y0-len)/2, 2) as y0, round((z1+z0-len)/2, 2) as z0 from p union all select 'sized', cast(greatest(cells, 1) as int), round(len, 2), round(x0-pad, 2), round(y0-pad, 2), round(z0-pad, 2) from b",
+)
 def m13(spark: SparkSession, sf_dir: str) -> DataFrame:
     tracers, _, mesh = _survey(spark, sf_dir)
     ends = C.extents(tracers).first().asDict()
     sized = R.padded_survey_mesh(ends, tracers.count() / mesh.length**3)
-    return spark.createDataFrame([(name, m.n, round(m.length, 6), *(round(o, 6) for o in m.origin)) for name, m in (("padded", mesh), ("sized", sized))], "mesh string, n int, length double, x0 double, y0 double, z0 double")
+    return spark.createDataFrame([(name, m.n, round(m.length, 2), *(round(o, 2) for o in m.origin)) for name, m in (("padded", mesh), ("sized", sized))], "mesh string, n int, length double, x0 double, y0 double, z0 double")
 
 
 # ---- sky ------------------------------------------------------------------------------------------

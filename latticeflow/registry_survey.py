@@ -11,7 +11,9 @@ from latticeflow.operators import buffers as B
 from latticeflow.operators import catalog as C
 from latticeflow.operators import mesh as M
 from latticeflow.plans import reconstruction as R
-from latticeflow.registry import LENGTH, N, _sky_xyz, query, rounded
+from latticeflow.plans import voxel as V
+from latticeflow.operators.stage import kept
+from latticeflow.registry import _KNOTS, _WATER, LENGTH, N, _sky_xyz, query, rounded
 from latticeflow.registry_graphs import _PIX
 from latticeflow.sources import files
 
@@ -80,3 +82,53 @@ def io17(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("f11_edge_density", "select id, case when id % 5 = 0 then 0.9e30::double else dens end as dens from fx_dens")
 def f11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "fx_dens").select("id", C.edge_density(F.col("dens"), F.col("id") % 5 == 0).alias("dens"))
+
+
+_SEG = "seg as (select z as z0, r as r0, lead(z) over (order by i) as z1, lead(r) over (order by i) as r1 from tab)"
+
+
+@query(
+    "f8_catalogue_on_sky",
+    f"with {_KNOTS}, {_SEG}, m as (select id, x+692 as x, y+692 as y, z+692 as z from fx_particles_vel), d as (select *, sqrt(x*x+y*y+z*z) as dist from m), s as (select *, z0 + (dist-r0)*(z1-z0)/(r1-r0) as redshift from d join seg on dist >= r0 and dist < r1) "
+    "select id, round(degrees(atan2(y, x)), 6) as ra, round(90-degrees(acos(z/dist)), 6) as dec, round(redshift, 6) as redshift, round(degrees(2/dist), 6) as theta from s where redshift > 0.452::double and redshift < 0.457::double",
+)
+def f8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = load(spark, sf_dir, "fx_particles_vel").select("id", "x", "y", "z", F.lit(2.0).alias("radius"))
+    out = V.on_sky(rows, Cosmology(0.31), (700.0, 700.0, 700.0), LENGTH, 0.452, 0.457)
+    return rounded(out.select("id", "ra", "dec", "redshift", "theta"), "ra", "dec", "redshift", "theta")
+
+
+def _cic18(view: str, name: str, weight: str = "1") -> str:
+    """Weights dealt to a grid of 18 cells a side that leaves a cell free around the box."""
+    return (
+        f"{name} as (select cast((ix+1+i)*324+(iy+1+j)*18+(iz+1+k) as bigint) as vox, sum((case when i=1 then x-ix else 1-(x-ix) end)*(case when j=1 then y-iy else 1-(y-iy) end)*(case when k=1 then z-iz else 1-(z-iz) end)*{weight}) as rho "
+        f"from (select id, x, y, z, floor(x) ix, floor(y) iy, floor(z) iz from {view}) c cross join (select a.i as i, b.i as j, c.i as k from (values (0),(1)) a(i), (values (0),(1)) b(i), (values (0),(1)) c(i)) o group by 1)"
+    )
+
+
+def _survey_water() -> str:
+    start = _WATER.index("g as (select * from (select vox as id")
+    flood = _WATER[start:].replace("256", "324").replace("4096", "5832").replace("16", "18")
+    grids = f"{_cic18('fx_particles_vel', 'tr', '(0.5::double + (id % 3)*0.25::double)')}, {_cic18('fx_particles_vel', 'rd')}"
+    ratio = "full_grid as (select cast(range as bigint) as vox, case when coalesce(r.rho, 0) > 1 then coalesce(t.rho, 0)/(0.75::double*r.rho) else 0.9e30::double end as rho, coalesce(r.rho, 0) <= 1 as masked from range(5832) left join tr t on t.vox = range left join rd r on r.vox = range)"
+    return f"{grids}, {ratio}, {flood}"
+
+
+@query(
+    "z14_f6_f12_survey_voids",
+    f"""with recursive {_survey_water()}, dn as (select vox as id, cast(rho as float)::double as rho from full_grid),
+lk as (select tb.h, case when core_dens = 0 then 'infinity'::double else coalesce(min(slv), (select max(dens) from g))/core_dens end as ratio from tb left join sd on sd.h = tb.h group by tb.h, core_dens),
+ed as (select distinct zn.zone as h from zn join (select src, count(*) as n from v group by src) k on k.src = zn.id where k.n < 6),
+pk as (select tb.h, tb.np, dn.rho as extreme from tb join dn on dn.id = tb.core where dn.rho < 1 and tb.h not in (select h from ed) and tb.core not in (select vox from full_grid where masked)),
+mb as (select zn.zone as h, avg(rho) as mean, sum(cast(zn.id//324 as double)*(1/greatest(rho, 1e-12::double)))/sum(1/greatest(rho, 1e-12::double)) as x from zn join dn on dn.id = zn.id group by 1)
+select pk.h as id, round(x, 6) as x, round(power(3*np/(4*pi()), 1.0::double/3), 6) as radius, round(extreme-1, 6) as extreme, round(mean-1, 6) as mean_contrast, round(ratio, 6) as ratio from pk join mb on mb.h = pk.h join lk on lk.h = pk.h""",
+)
+def z14_survey(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A survey whose tracers are its randoms with weights of their own."""
+    randoms = load(spark, sf_dir, "fx_particles_vel").withColumn("w", F.lit(1.0))
+    sums = spark.createDataFrame([(0.75, 1.0)], "alpha double, ran_min double")
+    field = kept(V.survey_density(randoms.withColumn("w", 0.5 + (F.col("id") % 3) * 0.25), randoms, 18, 18.0, (-1.0, -1.0, -1.0), sums))
+    basins = V.watershed(field.select("vox", "rho"), 18)
+    rho = field.select(F.col("vox").alias("id"), F.col("rho").cast("float").cast("double").alias("rho"))
+    found = V.catalogue(basins, rho, 18, 18.0, 1.0, masked=field.select("vox", "masked"))
+    return rounded(found.select("id", "x", "radius", "extreme", "mean_contrast", "ratio"), "x", "radius", "extreme", "mean_contrast", "ratio")
