@@ -133,3 +133,15 @@ def test_packing_covers_the_mix(stages):
 def test_run_is_the_stages(spark, corpus, stages):
     whole = lambda df: sorted((r.doc_id, r.piece, r.length, r.ids_crc32) for r in df.collect())
     assert whole(corpus_pipeline.run(spark, corpus[0])) == whole(stages[4])
+
+
+def test_nothing_and_very_long_texts_pass_through(spark, tmp_path):
+    """Without documents there are no pieces; a text of a megabyte is one like any other."""
+    kinds = "doc_id long, text string, lang string, source string, n_chars long"
+    none, long = str(tmp_path / "none"), str(tmp_path / "long")
+    for path, rows in ((none, []), (long, [(1, " ".join(LEXICON["en"] * 25_000), "en", "s", 1), (2, " ".join(LEXICON["de"] * 30), "de", "s", 1), (3, " " * 1_000_000, "en", None, 1), (None, None, None, None, None)])):
+        spark.createDataFrame(rows, kinds).write.parquet(f"{path}/documents.parquet")
+        spark.createDataFrame([(2, 1, 0)] if rows else [], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    assert corpus_pipeline.run(spark, none).count() == 0
+    got = corpus_pipeline.run(spark, long).collect()
+    assert {r.doc_id for r in got} == {1, 2} and all(r.length <= 1024 for r in got)
