@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from latticeflow.fixtures import load
 from latticeflow.functions.cosmology import Cosmology
+from latticeflow.functions.healpix import pixel_of
 from latticeflow.operators import buffers as B
 from latticeflow.operators import catalog as C
 from latticeflow.operators import mesh as M
 from latticeflow.plans import reconstruction as R
 from latticeflow.plans import voxel as V
-from latticeflow.operators.stage import kept
+from latticeflow.operators.stage import kept, shared_path
 from latticeflow.registry import _KNOTS, _WATER, LENGTH, N, _sky_xyz, query, rounded
 from latticeflow.registry_graphs import _PIX
 from latticeflow.sources import files
@@ -132,3 +133,18 @@ def z14_survey(spark: SparkSession, sf_dir: str) -> DataFrame:
     rho = field.select(F.col("vox").alias("id"), F.col("rho").cast("float").cast("double").alias("rho"))
     found = V.catalogue(basins, rho, 18, 18.0, 1.0, masked=field.select("vox", "masked"))
     return rounded(found.select("id", "x", "radius", "extreme", "mean_contrast", "ratio"), "x", "radius", "extreme", "mean_contrast", "ratio")
+
+
+@query("io3_text_matrix", "select cast(id as double) as id, x, y/3 as y, vx from fx_particles_vel")
+def io3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "matrix")
+    files.write_text_matrix(load(spark, sf_dir, "fx_particles_vel").withColumn("y", F.col("y") / 3), ["id", "x", "y", "vx"], path)
+    return files.text_matrix(spark, path, ["id", "x", "y", "vx"])
+
+
+@query("io5_sky_map", f"with s as (select sin(radians(dec)) as zz, ra/90 as tt from fx_sky) select cast({_PIX} as bigint) as pix, cast(count(*) as double) as val from s group by 1")
+def io5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "map")
+    pix = pixel_of(F.col("ra"), F.col("dec"), 16).alias("pix")
+    files.write_skymap(load(spark, sf_dir, "fx_sky").groupBy(pix).agg(F.count("*").alias("val")), path)
+    return files.skymap(spark, path)

@@ -145,6 +145,16 @@ def text_matrix(spark: SparkSession, path: str, columns: list[str]) -> DataFrame
     return rows.select(*(F.col("v")[i].cast("double").alias(c) for i, c in enumerate(columns)))
 
 
+def write_text_matrix(rows: DataFrame, columns: list[str], path: str) -> None:
+    """A folder of text parts that :func:`text_matrix` reads back exactly."""
+    rows.select(F.concat_ws(" ", *(F.col(c).cast("double").cast("string") for c in columns)).alias("value")).write.text(path)
+
+
+def write_skymap(maps: DataFrame, path: str) -> None:
+    """The map that :func:`skymap` reads."""
+    maps.select(F.col("pix").cast("long"), F.col("val").cast("double")).write.parquet(path)
+
+
 FLAGS = ("fkp", "cp", "noz", "systot", "veto", "comp")
 
 
