@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import heapq
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -124,13 +125,7 @@ def flood(table: DataFrame, links: DataFrame, max_dens: float, tolerance: float
     size = links.count()
     if size > most_zones:
         raise ValueError(f"{size} zone links are too many to broadcast; use direct_links")
-    graph: dict[int, list[tuple[float, int]]] = {}
-    for r in links.select("h", "h2", "slv").toLocalIterator():
-        graph.setdefault(r["h"], []).append((r["slv"], r["h2"]))
-    for own in graph.values():
-        own.sort()
-    cores = {r["h"]: r["core_dens"] for r in table.select("h", "core_dens").toLocalIterator()}
-    shared = spark.sparkContext.broadcast((graph, cores))
+    shared = spark.sparkContext.broadcast((Links(*_columns(links, "h", "h2", "slv")), Cores(*_columns(table, "h", "core_dens"))))
 
     def run(batches):
         graph, cores = shared.value
@@ -141,6 +136,42 @@ def flood(table: DataFrame, links: DataFrame, max_dens: float, tolerance: float
     return table.select("h").mapInPandas(run, "h long, groups array<struct<ratio: double, zones: array<long>>>, leak double, final_ratio double")
 
 
+def _columns(df: DataFrame, *names: str) -> list[np.ndarray]:
+    table = df.select(*names).toArrow()
+    return [table.column(n).to_numpy() for n in names]
+
+
+class Links:
+    """Links of each zone in order, ``(slv, h2)``, as three arrays: a few bytes a link in the driver and in each task."""
+
+    def __init__(self, h: np.ndarray, h2: np.ndarray, slv: np.ndarray):
+        order = np.lexsort((h2, slv, h))
+        self.zones, self.starts = np.unique(h[order], return_index=True)
+        self.starts = np.append(self.starts, len(order))
+        self.h2, self.slv = h2[order], slv[order]
+
+    def get(self, h: int, default=()):
+        at = int(np.searchsorted(self.zones, h))
+        if at == len(self.zones) or self.zones[at] != h:
+            return default
+        own = slice(self.starts[at], self.starts[at + 1])
+        return list(zip(self.slv[own].tolist(), self.h2[own].tolist()))
+
+
+class Cores:
+    """Core densities by zone, as two arrays."""
+
+    def __init__(self, h: np.ndarray, dens: np.ndarray):
+        order = np.argsort(h)
+        self.zones, self.dens = h[order], dens[order]
+
+    def __getitem__(self, h: int) -> float:
+        at = int(np.searchsorted(self.zones, h))
+        if at == len(self.zones) or self.zones[at] != h:
+            raise KeyError(h)
+        return float(self.dens[at])
+
+
 def rise(h: int, graph: dict, cores: dict, max_dens: float, tolerance: float) -> tuple[list[dict], float, float]:
     """Flooding of one zone, see :func:`flood`."""
     inside, groups = {h}, []

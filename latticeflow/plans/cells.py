@@ -75,9 +75,10 @@ def circumcentres(voids: DataFrame, nodes: DataFrame, edges: DataFrame, position
     joined = voids.select("h", "core").join(four, "core")
     for name in ("core", "a", "b", "c"):
         joined = joined.join(at.select(F.col("id").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in "xyz")), name, "left")
-    corners = [tuple(F.col(f"core_{c}") for c in "xyz")]
-    corners += [tuple(near_image(F.col(f"{n}_{c}"), F.col(f"core_{c}"), length) for c in "xyz") for n in ("a", "b", "c")]
-    centre = circumcentre(corners)
+    # each step by columns of its own: written out in one expression the code outgrows what compiles
+    joined = joined.withColumns({f"{n}_{c}": near_image(F.col(f"{n}_{c}"), F.col(f"core_{c}"), length) for n in ("a", "b", "c") for c in "xyz"})
+    centre = [F.col(f"m_{c}") for c in "xyz"]
+    joined = joined.withColumns({f"m_{c}": v for c, v in zip("xyz", circumcentre([tuple(F.col(f"{n}_{c}") for c in "xyz") for n in ("core", "a", "b", "c")]))})
     ok = F.col("c").isNotNull()
 
     def back(v: Column) -> Column:

@@ -32,12 +32,13 @@ sd as (select a.zone as h, b.zone as h2, min(greatest(v.d, v.dn)) as slv from v
 tb as (select zn.zone as h, min(zn.root) as core, max(case when n.id = zn.root then n.dens end) as core_dens, count(*) as np, sum(n.dens/8) as vol from zn join fx_dens n on n.id = zn.id group by 1)"""
 
 
-def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "fx_dens").select("id", "dens", (F.col("dens") / 8).alias("vol"), F.lit(False).alias("is_edge"))
+def _nodes(spark: SparkSession, sf_dir: str, edges: DataFrame) -> DataFrame:
+    return load(spark, sf_dir, "fx_dens", edges).select("id", "dens", (F.col("dens") / 8).alias("vol"), F.lit(False).alias("is_edge"))
 
 
 def _tree(spark: SparkSession, sf_dir: str) -> P.Hierarchy:
-    return P.basins(kept(_nodes(spark, sf_dir)), kept(load(spark, sf_dir, "fx_edges")))
+    edges = kept(load(spark, sf_dir, "fx_edges"))
+    return P.basins(_nodes(spark, sf_dir, edges), edges)
 
 
 @query("fx_edges_radius_graph", "select src, dst from fx_edges")
@@ -109,8 +110,9 @@ thi as (select core, arg_min(n, {'a': dens, 'b': n}) as c from tri group by core
 
 @query("j6_s3_common_neighbours", f"with {_COMMON} select n.id as core, coalesce(one.a, -1) as a, coalesce(sec.b, -1) as b, coalesce(thi.c, -1) as c from fx_dens n left join one on one.core = n.id left join sec on sec.core = n.id left join thi on thi.core = n.id")
 def j6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = load(spark, sf_dir, "fx_dens")
-    found = G.common_neighbours(load(spark, sf_dir, "fx_edges"), nodes, nodes.select(F.col("id").alias("core")))
+    edges = kept(load(spark, sf_dir, "fx_edges"))
+    nodes = kept(load(spark, sf_dir, "fx_dens", edges))
+    found = G.common_neighbours(edges, nodes, nodes.select(F.col("id").alias("core")))
     return found.select("core", *(F.coalesce(c, F.lit(-1)).alias(c) for c in "abc"))
 
 
@@ -132,9 +134,10 @@ _DET = "(px*(qy*rz-qz*ry)-py*(qx*rz-qz*rx)+pz*(qx*ry-qy*rx))"
     "round(case when ok then case when z < 0 or z > 16 then z-16*sign(z) else z end else 0 end, 5) as z, case when ok then 'ok' else 'missing' end as status from c",
 )
 def z10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = load(spark, sf_dir, "fx_dens")
+    edges = kept(load(spark, sf_dir, "fx_edges"))
+    nodes = kept(load(spark, sf_dir, "fx_dens", edges))
     voids = nodes.select(F.col("id").alias("h"), F.col("id").alias("core"))
-    return rounded(P.circumcentres(voids, nodes, load(spark, sf_dir, "fx_edges"), load(spark, sf_dir, "fx_tracers_box"), LENGTH), "x", "y", "z", digits=5)
+    return rounded(P.circumcentres(voids, nodes, edges, load(spark, sf_dir, "fx_tracers_box"), LENGTH), "x", "y", "z", digits=5)
 
 
 @query(
@@ -507,7 +510,8 @@ def b5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("b1_halo_candidates")
 def b1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table, _ = halos.halo_table(load(spark, sf_dir, "fx_dens").select("id", F.col("dens").alias("volume")), load(spark, sf_dir, "fx_edges"))
+    edges = kept(load(spark, sf_dir, "fx_edges"))
+    table, _ = halos.halo_table(load(spark, sf_dir, "fx_dens", edges).select("id", F.col("dens").alias("volume")), edges)
     return rounded(table, "prob", "key")
 
 
