@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from latticeflow.functions import scalars as S
 from latticeflow.operators import graph as G
+from latticeflow.operators.stage import kept
 
 BLOCK = 1024
 
@@ -154,12 +155,12 @@ def halo_table(volumes: DataFrame, edges: DataFrame, tolerance: float = 1e30) ->
     Returns ``(h, core, core_vol, np, np_join, prob)`` in order and the zone of each particle.
     ``prob`` is the leak over the core's volume, one at least.
     """
-    nodes = volumes.select("id", F.col("volume").alias("dens"))
-    valued = G.with_values(edges, nodes)
-    rooted = G.zones(G.roots(G.jumpers(nodes, valued)))
-    table = G.zone_table(nodes, rooted)
+    nodes = kept(volumes.select("id", F.col("volume").alias("dens")))
+    valued = kept(G.with_values(edges, nodes))
+    rooted = kept(G.zones(G.roots(G.jumpers(nodes, valued))))
+    table = kept(G.zone_table(nodes, rooted))
     most = float(nodes.agg(F.max("dens")).first()[0] or 0.0)
-    hierarchy = G.flood(table, G.saddles(valued, rooted), most, tolerance)
+    hierarchy = kept(G.flood(table, kept(G.saddles(valued, rooted)), most, tolerance))
     joined = G.joined(table, hierarchy)
     prob = F.greatest(F.col("contrast"), F.lit(1.0))
     rows = table.join(joined, "h").select("h", "core", F.col("core_dens").alias("core_vol"), "np", "np_join", prob.alias("prob"))
