@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -141,11 +142,165 @@ class Hull:
         return sum(self.facet_area(f) * (d - float(n @ self.centre)) / self.dim for f, (n, d) in self.facets.items())
 
 
+def _turn(ax: float, ay: float, bx: float, by: float, cx: float, cy: float) -> float:
+    """Above 0 if ``c`` lies left of ``a`` to ``b``; the sign is exact."""
+    left, right = (bx - ax) * (cy - ay), (by - ay) * (cx - ax)
+    det = left - right
+    if abs(det) > 4e-16 * (abs(left) + abs(right)):
+        return det
+    ax, ay, bx, by, cx, cy = map(Fraction, (ax, ay, bx, by, cx, cy))
+    det = (bx - ax) * (cy - ay) - (by - ay) * (cx - ax)
+    return (det > 0) - (det < 0)
+
+
+def _in_circle(ax: float, ay: float, bx: float, by: float, cx: float, cy: float, dx: float, dy: float) -> bool:
+    """Whether ``d`` lies inside the circle through ``a``, ``b`` and ``c`` (anticlockwise); exact."""
+    ux, uy, vx, vy, wx, wy = ax - dx, ay - dy, bx - dx, by - dy, cx - dx, cy - dy
+    u, v, w = ux * ux + uy * uy, vx * vx + vy * vy, wx * wx + wy * wy
+    p1, p2, q1, q2, r1, r2 = vx * wy, wx * vy, wx * uy, ux * wy, ux * vy, vx * uy
+    det = u * (p1 - p2) + v * (q1 - q2) + w * (r1 - r2)
+    if abs(det) > 2e-15 * (u * (abs(p1) + abs(p2)) + v * (abs(q1) + abs(q2)) + w * (abs(r1) + abs(r2))):
+        return det > 0
+    ax, ay, bx, by, cx, cy, dx, dy = map(Fraction, (ax, ay, bx, by, cx, cy, dx, dy))
+    ux, uy, vx, vy, wx, wy = ax - dx, ay - dy, bx - dx, by - dy, cx - dx, cy - dy
+    u, v, w = ux * ux + uy * uy, vx * vx + vy * vy, wx * wx + wy * wy
+    return u * (vx * wy - wx * vy) + v * (wx * uy - ux * wy) + w * (ux * vy - vx * uy) > 0
+
+
+def delaunay_2d(xy: np.ndarray) -> np.ndarray:
+    """Triangles of a plane Delaunay triangulation by divide and conquer, as sorted rows of indices.
+
+    Directed edges are numbers, ``e ^ 1`` the other way; around an origin they form a ring
+    anticlockwise (``after``, ``before``).  Of points at one place the first stands for all.
+    """
+    order = np.lexsort((np.arange(len(xy)), xy[:, 1], xy[:, 0]))
+    new = np.ones(len(order), bool)
+    new[1:] = (xy[order[1:]] != xy[order[:-1]]).any(1)
+    order = order[new]
+    if len(order) < 3:
+        return np.zeros((0, 3), np.int64)
+    xs, ys = xy[order, 0].tolist(), xy[order, 1].tolist()
+    org: list[int] = []
+    after: list[int] = []
+    before: list[int] = []
+    lost = bytearray()
+
+    def edge(a: int, b: int) -> int:
+        e = len(org)
+        org.extend((a, b))
+        after.extend((e, e + 1))
+        before.extend((e, e + 1))
+        lost.extend((0, 0))
+        return e
+
+    def splice(a: int, b: int) -> None:
+        an, bn = after[a], after[b]
+        after[a], after[b] = bn, an
+        before[an], before[bn] = b, a
+
+    def connect(a: int, b: int) -> int:
+        e = edge(org[a ^ 1], org[b])
+        splice(e, before[a ^ 1])
+        splice(e ^ 1, b)
+        return e
+
+    def remove(e: int) -> None:
+        splice(e, before[e])
+        splice(e ^ 1, before[e ^ 1])
+        lost[e] = lost[e ^ 1] = 1
+
+    def turn(a: int, b: int, c: int) -> float:
+        return _turn(xs[a], ys[a], xs[b], ys[b], xs[c], ys[c])
+
+    def inside(a: int, b: int, c: int, d: int) -> bool:
+        return _in_circle(xs[a], ys[a], xs[b], ys[b], xs[c], ys[c], xs[d], ys[d])
+
+    def part(low: int, high: int) -> tuple[int, int]:
+        """Hull edges out of the first point (anticlockwise) and of the last (clockwise)."""
+        if high - low == 2:
+            a = edge(low, low + 1)
+            return a, a ^ 1
+        if high - low == 3:
+            a, b = edge(low, low + 1), edge(low + 1, low + 2)
+            splice(a ^ 1, b)
+            way = turn(low, low + 1, low + 2)
+            if not way:
+                return a, b ^ 1
+            c = connect(b, a)
+            return (a, b ^ 1) if way > 0 else (c ^ 1, c)
+        middle = (low + high) // 2
+        left_out, left_in = part(low, middle)
+        right_in, right_out = part(middle, high)
+        while True:  # down to the lower common tangent
+            if turn(org[right_in], org[left_in], org[left_in ^ 1]) > 0:
+                left_in = before[left_in ^ 1]
+            elif turn(org[left_in], org[right_in ^ 1], org[right_in]) > 0:
+                right_in = after[right_in ^ 1]
+            else:
+                break
+        base = connect(right_in ^ 1, left_in)
+        if org[left_in] == org[left_out]:
+            left_out = base ^ 1
+        if org[right_in] == org[right_out]:
+            right_out = base
+        while True:  # up along the seam
+            start, end = org[base], org[base ^ 1]
+            lc = after[base ^ 1]
+            l_ok = turn(org[lc ^ 1], end, start) > 0
+            if l_ok:
+                while inside(end, start, org[lc ^ 1], org[after[lc] ^ 1]):
+                    following = after[lc]
+                    remove(lc)
+                    lc = following
+            rc = before[base]
+            r_ok = turn(org[rc ^ 1], end, start) > 0
+            if r_ok:
+                while inside(end, start, org[rc ^ 1], org[before[rc] ^ 1]):
+                    following = before[rc]
+                    remove(rc)
+                    rc = following
+            if not (l_ok or r_ok):
+                return left_out, right_out
+            if not l_ok or (r_ok and inside(org[lc ^ 1], org[lc], org[rc], org[rc ^ 1])):
+                base = connect(rc, base ^ 1)
+            else:
+                base = connect(base ^ 1, lc ^ 1)
+
+    hull = part(0, len(order))[0] ^ 1
+    alive = np.frombuffer(lost, np.uint8) == 0
+    e = hull
+    while True:  # the outer face is none of the triangles
+        alive[e] = False
+        e = before[e ^ 1]
+        if e == hull:
+            break
+    begin, ring = np.array(org), np.array(before)
+    first = np.flatnonzero(alive)
+    second = ring[first ^ 1]
+    third = ring[second ^ 1]
+    found = (ring[third ^ 1] == first) & (first < second) & (first < third)
+    out = np.sort(order[np.stack([begin[f[found]] for f in (first, second, third)], 1)], axis=1)
+    return out[np.lexsort(out.T[::-1])]
+
+
 def delaunay(points: np.ndarray, furthest: bool = False) -> list[tuple[int, ...]]:
-    """Simplices of the (furthest-site) Delaunay triangulation: the lower (upper) hull of the lifted points."""
+    """Simplices of the (furthest-site) Delaunay triangulation: the lower (upper) hull of the lifted points.
+
+    In the plane the first is triangulated as such, and only extreme points enter the second: no other is farthest from anywhere.
+    """
+    plane = points.shape[1] == 2
+    if plane and not furthest:
+        return list(map(tuple, delaunay_2d(np.asarray(points, float)).tolist()))
     lifted = np.column_stack([points, ((points - points.mean(0)) ** 2).sum(1)])
-    hull = Hull(lifted)
-    return sorted(f for f, (n, _) in hull.facets.items() if (n[-1] > 1e-12 if furthest else n[-1] < -1e-12))
+    if not plane:
+        return sorted(f for f, (n, _) in Hull(lifted).facets.items() if (n[-1] > 1e-12 if furthest else n[-1] < -1e-12))
+    rows = np.sort(hull_2d(points)) if len(points) else np.zeros(0, int)
+    if len(rows) < 3:
+        return []
+    lifted = lifted[rows]  # and a point below them all, without which three, or those on one circle, have no volume
+    below = np.append(lifted[:, :2].mean(0), lifted[:, 2].min() - np.ptp(lifted[:, :2]) ** 2)
+    hull = Hull(np.vstack([lifted, below]))
+    return sorted(tuple(rows[list(f)].tolist()) for f, (n, _) in hull.facets.items() if n[-1] > 1e-12 and len(rows) not in f)
 
 
 def circumcentre(v: np.ndarray) -> np.ndarray:
@@ -258,8 +413,10 @@ def simplices(points: DataFrame, axes: list[str], furthest: bool = False, group:
     def of_group(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(id_col)
         xyz, ids = pdf[axes].to_numpy(float), pdf[id_col].to_numpy()
-        rows = [(int(pdf[group].iloc[0]), i, [int(ids[c]) for c in s], circumcentre(xyz[list(s)]).tolist()) for i, s in enumerate(delaunay(xyz, furthest))]
-        return pd.DataFrame(rows, columns=["grp", "simplex", "vertices", "centre"])
+        found = np.array(delaunay(xyz, furthest), np.int64).reshape(-1, len(axes) + 1)
+        v = xyz[found]
+        centres = np.linalg.solve(2 * (v[:, 1:] - v[:, :1]), ((v[:, 1:] ** 2).sum(2) - (v[:, :1] ** 2).sum(2))[..., None])[..., 0]
+        return pd.DataFrame({"grp": int(pdf[group].iloc[0]), "simplex": range(len(found)), "vertices": list(ids[found]), "centre": list(centres)})
 
     return points.select(F.col(group).cast("long").alias(group), F.col(id_col).cast("long").alias(id_col), *axes).groupBy(group).applyInPandas(of_group, "grp long, simplex int, vertices array<long>, centre array<double>")
 
