@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 BOX_POINTS = 512
 CHUNK = 512  # cells clipped together
 NEAREST = 96  # neighbours sorted at first
-PART = 50_000  # points of a task
+PART = 50_000  # points of a task, if that gives every core some
 ROWS = 1 << 17  # places for neighbours, of cells that are done singly, at once
 DENSE = 1 << 23  # places of a table of plane pairs; more are looked up by sorting
 FLAT = 1e-12  # faces below this share of the cell's reach squared are rounding, not faces
@@ -346,7 +346,7 @@ def tessellate(points: DataFrame, length: float, periodic: bool = True, boxes: i
             out.append(_found(ids[mine], at, volume, reach, (4 * reach <= known**2) | (margin >= length), of, ids[near]))
         return pa.concat_tables(out) if out else _found(ids[:0], xyz[:0], *(np.empty(0) for _ in range(2)), np.empty(0, bool), *(np.empty(0, np.int64) for _ in range(2)))
 
-    done, parts = None, 1 + count // PART
+    done, parts = None, 1 + max(count // PART, min(count // BOX_POINTS, 2 * points.sparkSession.sparkContext.defaultParallelism))
     points = points.select("id", "x", "y", "z").repartition(parts, "id")  # ghosts are many times what a file's one task reads
     found = kept(ghosts(points, length, n, margin, periodic).repartition(parts, "box").groupBy("box").applyInArrow(of_box, FOUND))
     while True:
