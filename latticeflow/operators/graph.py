@@ -86,8 +86,12 @@ def saddles(valued: DataFrame, zoned: DataFrame) -> DataFrame:
 
 def zone_table(nodes: DataFrame, zoned: DataFrame, edge: Column | None = None, volume: str | None = None) -> DataFrame:
     """``(h, core, core_dens, np, vol, edge)``; border nodes count neither as members nor as volume."""
-    flag = edge if edge is not None else F.lit(False)
-    joined = nodes.withColumn("__edge", flag).join(zoned, "id")
+    return zone_sums(nodes.join(zoned, "id"), edge, volume)
+
+
+def zone_sums(members: DataFrame, edge: Column | None = None, volume: str | None = None) -> DataFrame:
+    """:func:`zone_table` of ``members (id, dens, root, zone)``."""
+    joined = members.withColumn("__edge", edge if edge is not None else F.lit(False))
     size = F.count_if(~F.col("__edge")).alias("np")
     vol = (F.sum(F.when(~F.col("__edge"), F.col(volume)).otherwise(F.lit(0.0))) if volume else F.count_if(~F.col("__edge")).cast("double")).alias("vol")
     core = F.max(F.when(F.col("id") == F.col("root"), F.col("dens"))).alias("core_dens")
@@ -112,6 +116,16 @@ def direct_links(table: DataFrame, links: DataFrame, max_dens: float) -> DataFra
     return table.join(low, "h", "left").select("h", leak.alias("leak"), ratio.alias("ratio"))
 
 
+def unflooded(table: DataFrame, links: DataFrame, max_dens: float) -> DataFrame:
+    """As :func:`flood`, but without groups: ``final_ratio`` is that of the first saddle.
+
+    The first group's ratio, or the final one if there is no group, is this one either way.  So
+    it is all that lists of unmerged voids need, unless a zone touches a border.
+    """
+    none = F.lit(None).cast("array<struct<ratio: double, zones: array<bigint>>>")
+    return direct_links(table, links, max_dens).select("h", none.alias("groups"), "leak", F.col("ratio").alias("final_ratio"))
+
+
 def flood(table: DataFrame, links: DataFrame, max_dens: float, tolerance: float = 1e30, most_zones: int = 5_000_000) -> DataFrame:
     """``(h, groups, leak, final_ratio)``: the hierarchy of each zone.
 

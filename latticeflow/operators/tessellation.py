@@ -224,7 +224,7 @@ def ghosts(points: DataFrame, length: float, n: int, buffer: float, periodic: bo
     return out.select(box.cast("long").alias("box"), "id", F.col("__ix").alias("x"), F.col("__iy").alias("y"), F.col("__iz").alias("z"), same.alias("own"))
 
 
-#: Cells as the kernels give them; those that points unseen might still cut are not closed, and then have their reach and place.
+#: Cells as the kernels give them; those that points unseen might still cut are not closed, and then have their reach.
 FOUND = "id long, volume double, neighbours array<long>, closed boolean, reach double, x double, y double, z double"
 
 
@@ -238,7 +238,7 @@ def _found(ids: np.ndarray, at: np.ndarray, volume: np.ndarray, reach: np.ndarra
     of, near = of[first], near[first]
     bounds = np.searchsorted(of, np.arange(len(ids) + 1)).astype(np.int32)
     around = pa.ListArray.from_arrays(pa.array(bounds), pa.array(near, pa.int64()))
-    place = [pa.array(v, pa.float64(), mask=closed) for v in (np.sqrt(reach), at[:, 0], at[:, 1], at[:, 2])]
+    place = [pa.array(np.sqrt(reach), pa.float64(), mask=closed), *(pa.array(at[:, a], pa.float64()) for a in range(3))]
     return pa.table([pa.array(ids, pa.int64()), pa.array(volume, pa.float64()), around, pa.array(closed), *place], names=["id", "volume", "neighbours", "closed", "reach", "x", "y", "z"])
 
 
@@ -314,7 +314,7 @@ def _singly(length: float, periodic: bool):
 
 
 def tessellate(points: DataFrame, length: float, periodic: bool = True, boxes: int | None = None, buffer: float | None = None) -> DataFrame:
-    """``(id, volume, neighbours)``: Voronoi volumes in units of the mean, and Delaunay neighbours.
+    """``(id, volume, neighbours, x, y, z)``: Voronoi volumes in units of the mean, Delaunay neighbours and the points' places.
 
     Isolated sets are bounded by the box; points at its faces have cells cut by it.
     """
@@ -350,7 +350,7 @@ def tessellate(points: DataFrame, length: float, periodic: bool = True, boxes: i
     points = points.select("id", "x", "y", "z").repartition(parts, "id")  # ghosts are many times what a file's one task reads
     found = kept(ghosts(points, length, n, margin, periodic).repartition(parts, "box").groupBy("box").applyInArrow(of_box, FOUND))
     while True:
-        closed = found.where("closed").select("id", (F.col("volume") * scale).alias("volume"), "neighbours")
+        closed = found.where("closed").select("id", (F.col("volume") * scale).alias("volume"), "neighbours", "x", "y", "z")
         done = closed if done is None else done.unionByName(closed)
         wanted = found.where("not closed").select("id", "x", "y", "z", "reach")
         if not wanted.limit(1).count():

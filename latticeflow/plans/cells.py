@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from latticeflow.functions import scalars as S
+from latticeflow.operators import blocks as B
 from latticeflow.operators import graph as G
 from latticeflow.operators import tessellation as T
 from latticeflow.operators.stage import kept
@@ -93,8 +94,13 @@ def barycentres(voids: DataFrame, zoned: DataFrame, nodes: DataFrame, positions:
     ``strip`` leaves out members of at least that density (at most, for clusters).
     """
     at = positions.select("id", "x", "y", "z")
-    cores = voids.select("h", "core").join(at.select(F.col("id").alias("core"), *(F.col(c).alias(f"c{c}") for c in "xyz")), "core")
-    members = zoned.select("id", F.col("zone").alias("h")).join(cores, "h").join(at, "id").join(nodes.select("id", "dens", "vol", "is_edge").where("not is_edge"), "id")
+    cores = at.select(F.col("id").alias("core"), *(F.col(c).alias(f"c{c}") for c in "xyz"))
+    members = zoned.select("id", F.col("zone").alias("h")).join(voids.select("h", "core").join(cores, "core"), "h").join(at, "id").join(nodes.select("id", "dens", "vol", "is_edge").where("not is_edge"), "id")
+    return _centred(members, length, strip, clusters)
+
+
+def _centred(members: DataFrame, length: float, strip: float | None = None, clusters: bool = False) -> DataFrame:
+    """:func:`barycentres` of ``members (h, dens, vol, x, y, z, cx, cy, cz)``."""
     if strip is not None:
         members = members.where(F.col("dens") > strip if clusters else F.col("dens") < strip)
     w = F.col("vol")
@@ -120,30 +126,44 @@ def described(voids: DataFrame, centres: DataFrame, means: DataFrame, clusters:
     ).orderBy(ordered, "id")
 
 
-def tessellated(points: DataFrame, length: float) -> tuple[DataFrame, DataFrame]:
-    """``(nodes, edges)`` of a periodic box: density is one over the cell volume."""
-    cells = kept(T.tessellate(points, length))
-    nodes = cells.select("id", (1 / F.col("volume")).alias("dens"), F.col("volume").alias("vol"), F.lit(False).alias("is_edge"))
-    return nodes, kept(T.edges_of(cells))
+def zoned_cells(cells: DataFrame, length: float, inverted: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(members, table, groups)`` of a periodic box's cells: density is one over the volume.
+
+    No cell touches a border there, so the first saddles are all that the catalogues take from
+    the hierarchy; the zone graph stays distributed.
+    """
+    dens = 1 / F.col("volume")
+    nodes = cells.select("id", (S.inverted(dens) if inverted else dens).alias("dens"), F.col("volume").alias("vol"), "neighbours", "x", "y", "z")
+    members, links = B.watershed(nodes, length)
+    table = kept(G.zone_sums(members, None, "vol").where(F.col("core_dens") < S.EDGE_DENSITY))
+    links = links.where(F.col("slv") < S.EDGE_DENSITY)
+    links = links.join(table.select("h"), "h", "left_semi").join(table.select(F.col("h").alias("h2")), "h2", "left_semi")
+    top = float(G.density_range(members).first()["max_dens"] or 0.0)
+    return members, table, G.unflooded(table, links, top)
+
+
+def _members_of(voids: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Cores ``(h, cx, cy, cz)`` of ``voids``, and their members as :func:`_centred` takes them."""
+    cores = members.where("id = root").select(F.col("zone").alias("h"), *(F.col(c).alias(f"c{c}") for c in "xyz")).join(voids.select("h"), "h", "left_semi")
+    own = members.select(F.col("zone").alias("h"), (1 / F.col("vol")).alias("dens"), "vol", "x", "y", "z")
+    return cores, own.join(cores, "h")
 
 
 def find_voids(points: DataFrame, length: float, cut: float = 1.0, least_members: int = 5, barycentre: bool = True) -> DataFrame:
-    nodes, edges = tessellated(points, length)
-    tree = basins(nodes, edges)
-    voids = kept(G.void_list(tree.table, tree.groups, cut, least_members))
-    means = barycentres(voids, tree.zoned, tree.nodes, points, length)
-    centres = means if barycentre else circumcentres(voids, tree.nodes, edges, points, length).drop("status")
+    cells = T.tessellate(points, length)
+    members, table, groups = zoned_cells(cells, length)
+    voids = kept(G.void_list(table, groups, cut, least_members))
+    means = kept(_centred(_members_of(voids, members)[1], length))
+    centres = means if barycentre else circumcentres(voids, members, kept(T.edges_of(cells)), points, length).drop("status")
     return described(voids, centres, means)
 
 
 def find_clusters(points: DataFrame, length: float, cut: float = 1.0, least_members: int = 5) -> DataFrame:
     """Clusters: the same on inverted densities; the centre is the core particle."""
-    nodes, edges = tessellated(points, length)
-    tree = basins(nodes.withColumn("dens", S.inverted(F.col("dens"))), edges)
-    found = kept(G.cluster_list(tree.table, tree.groups, cut, least_members))
-    centres = found.select("h", "core").join(points.select(F.col("id").alias("core"), "x", "y", "z"), "core").drop("core")
-    means = barycentres(found, tree.zoned, nodes, points, length)
-    return described(found, centres, means, clusters=True)
+    members, table, groups = zoned_cells(T.tessellate(points, length), length, inverted=True)
+    found = kept(G.cluster_list(table, groups, cut, least_members))
+    cores, own = _members_of(found, members)
+    return described(found, cores.select("h", *(F.col(f"c{c}").alias(c) for c in "xyz")), kept(_centred(own, length)), clusters=True)
 
 
 def on_survey(catalogue: DataFrame, mask: DataFrame, nside: int, cosmology, middle: tuple[float, float, float], length: float, low: float, high: float) -> DataFrame:

@@ -5,7 +5,10 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from latticeflow.operators import tessellation
+from pyspark.sql import functions as F
+
+from latticeflow.operators import blocks, graph, tessellation
+from latticeflow.plans import cells
 
 SCHEMA = "id long, x double, y double, z double"
 
@@ -43,3 +46,28 @@ def test_cells_done_again_are_the_same(spark, periodic):
     assert sorted(whole) == sorted(again) == list(range(400))
     assert all(whole[i].volume == pytest.approx(again[i].volume, rel=1e-9) and set(whole[i].neighbours) == set(again[i].neighbours) for i in whole)
     assert sum(r.volume for r in again.values()) == pytest.approx(400, rel=1e-9)
+
+
+def _clustered(spark):
+    rng = np.random.default_rng(13)
+    xyz = np.concatenate([rng.normal(5, 0.8, (1500, 3)), rng.random((1500, 3)) * 10]) % 10
+    return _frame(spark, np.concatenate([xyz, xyz[:5]]))
+
+
+@pytest.mark.parametrize("blocks_", [1, 7, 40])
+def test_a_watershed_by_blocks_is_that_of_the_edges(spark, blocks_):
+    done = tessellation.tessellate(_clustered(spark), 10.0)
+    nodes = done.select("id", (1 / F.col("volume")).alias("dens"), F.col("volume").alias("vol"), "neighbours", "x", "y", "z").cache()
+    members, links = blocks.watershed(nodes, 10.0, blocks_)
+    tree = cells.basins(nodes.select("id", "dens", "vol", F.lit(False).alias("is_edge")), tessellation.edges_of(done))
+    assert sorted(members.select("id", "root", "zone").collect()) == sorted(tree.zoned.select("id", "root", "zone").collect())
+    assert sorted(links.select("h", "h2", "slv").collect()) == sorted(tree.links.select("h", "h2", "slv").collect())
+    groups = graph.unflooded(tree.table, tree.links, tree.max_dens)
+    got, want = (sorted(graph.void_list(tree.table, g, 1.0, 5).collect()) for g in (groups, tree.groups))
+    assert got == want and len(got) > 20
+
+
+def test_voids_and_clusters_take_more_links_than_a_flood(spark, monkeypatch):
+    monkeypatch.setattr(graph.flood, "__defaults__", (1e30, 3))
+    points = _clustered(spark)
+    assert cells.find_voids(points, 10.0).count() and cells.find_clusters(points, 10.0).count()
