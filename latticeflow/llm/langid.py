@@ -30,6 +30,7 @@ BUCKETS = 1 << 14
 EVIDENCE = 8.0  # times the root of their number, the trigrams of a text that count as independent
 HOST_WEIGHT, DOMAIN_WEIGHT = 5.0, 20.0
 TRUST = 50.0
+PRIOR_CELLS = 1 << 17  # hosts times languages whose priors travel to the texts; beyond, texts travel to them
 LEAST_CONFIDENCE = 0.5
 UNKNOWN = "und"
 #: Country suffixes whose main language is one language.
@@ -193,7 +194,11 @@ def identified(rows: DataFrame, model: Model, text: str, host: str | None, decla
         return F.broadcast(spark.createDataFrame([(k, v) for k, v in enumerate(logs.tolist())], f"{key} int, {key}_logs array<double>"))
 
     domains, hosts = counts("__domain"), counts("__host").withColumn("__domain", _domain(F.col("__host")))
-    priors = hosts.join(domains, "__domain", "left").drop("__domain")
+    # as a table, their number is known before the join is planned: for few hosts no text is moved
+    priors = staged(hosts.join(domains, "__domain", "left").drop("__domain"), "priors")
+    few = PRIOR_CELLS // n
+    if priors.limit(few + 1).count() <= few:
+        priors = F.broadcast(priors)
     scored = _with_likelihoods(prepared, text, model).withColumn("__guess", guess).join(priors, "__host", "left").join(trust("__declared"), "__declared", "left").join(trust("__suffix"), "__suffix", "left")
     # counts without the row's own guess, smoothed by the level above
     own = "if(__guess = k, 1D, 0D)"

@@ -145,3 +145,22 @@ def test_nothing_and_very_long_texts_pass_through(spark, tmp_path):
     assert corpus_pipeline.run(spark, none).count() == 0
     got = corpus_pipeline.run(spark, long).collect()
     assert {r.doc_id for r in got} == {1, 2} and all(r.length <= 1024 for r in got)
+
+
+def test_language_id_moves_no_text_to_few_sources(spark, corpus, stages):
+    docs = spark.read.parquet(f"{corpus[0]}/documents.parquet")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as where the table of guesses is large
+    try:
+        out = corpus_pipeline.language_id(spark, docs, corpus[0])
+        rows = sorted(map(repr, out.collect()))
+        assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert rows == sorted(map(repr, stages[0].collect()))
+
+
+def test_many_sources_give_the_same_languages(spark, corpus, stages, monkeypatch):
+    monkeypatch.setattr(corpus_pipeline.langid, "PRIOR_CELLS", 0)
+    docs = spark.read.parquet(f"{corpus[0]}/documents.parquet")
+    assert sorted(map(repr, corpus_pipeline.language_id(spark, docs, corpus[0]).collect())) == sorted(map(repr, stages[0].collect()))
