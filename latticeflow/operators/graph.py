@@ -9,11 +9,11 @@ from __future__ import annotations
 import heapq
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from latticeflow.functions.scalars import EDGE_DENSITY
+from latticeflow.operators import floods
 from latticeflow.operators.catalog import numbered
 from latticeflow.operators.stage import kept
 
@@ -126,33 +126,15 @@ def unflooded(table: DataFrame, links: DataFrame, max_dens: float) -> DataFrame:
     return direct_links(table, links, max_dens).select("h", none.alias("groups"), "leak", F.col("ratio").alias("final_ratio"))
 
 
-def flood(table: DataFrame, links: DataFrame, max_dens: float, tolerance: float = 1e30, most_zones: int = 5_000_000) -> DataFrame:
+def flood(table: DataFrame, links: DataFrame, max_dens: float, tolerance: float = 1e30, block: int = floods.BLOCK) -> DataFrame:
     """``(h, groups, leak, final_ratio)``: the hierarchy of each zone.
 
     From its own zone water rises to the lowest saddle out.  It stops if there is none, the
     saddle is above ``tolerance``, or a zone behind it has a deeper core; else all that is
     reachable at that level is absorbed as one group, unless a deeper core is among it.
-    Zones are independent of each other, so the zone graph is broadcast and each task floods
-    its own.  The graph's size is checked; above ``most_zones`` links this raises.
+    :func:`rise` is the same for one zone; here all come from one pass, see :mod:`floods`.
     """
-    spark = table.sparkSession
-    size = links.count()
-    if size > most_zones:
-        raise ValueError(f"{size} zone links are too many to broadcast; use direct_links")
-    shared = spark.sparkContext.broadcast((Links(*_columns(links, "h", "h2", "slv")), Cores(*_columns(table, "h", "core_dens"))))
-
-    def run(batches):
-        graph, cores = shared.value
-        for pdf in batches:
-            out = [rise(int(h), graph, cores, max_dens, tolerance) for h in pdf["h"]]
-            yield pd.DataFrame({"h": pdf["h"], "groups": [o[0] for o in out], "leak": [o[1] for o in out], "final_ratio": [o[2] for o in out]})
-
-    return table.select("h").mapInPandas(run, "h long, groups array<struct<ratio: double, zones: array<long>>>, leak double, final_ratio double")
-
-
-def _columns(df: DataFrame, *names: str) -> list[np.ndarray]:
-    table = df.select(*names).toArrow()
-    return [table.column(n).to_numpy() for n in names]
+    return floods.hierarchy(table, links, max_dens, tolerance, block)
 
 
 class Links:

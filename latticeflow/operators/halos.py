@@ -160,13 +160,17 @@ def halo_table(volumes: DataFrame, edges: DataFrame, tolerance: float = 1e30) ->
     rooted = kept(G.zones(G.roots(G.jumpers(nodes, valued))))
     table = kept(G.zone_table(nodes, rooted))
     most = float(nodes.agg(F.max("dens")).first()[0] or 0.0)
-    hierarchy = kept(G.flood(table, kept(G.saddles(valued, rooted)), most, tolerance))
+    return candidates(table, kept(G.flood(table, kept(G.saddles(valued, rooted)), most, tolerance))), rooted
+
+
+def candidates(table: DataFrame, hierarchy: DataFrame) -> DataFrame:
+    """The rows of :func:`halo_table` from the watershed's table and hierarchy."""
     joined = G.joined(table, hierarchy)
     prob = F.greatest(F.col("contrast"), F.lit(1.0))
-    rows = table.join(joined, "h").select("h", "core", F.col("core_dens").alias("core_vol"), "np", "np_join", prob.alias("prob"))
+    rows = kept(table.join(joined, "h").select("h", "core", F.col("core_dens").alias("core_vol"), "np", "np_join", prob.alias("prob")))
     top = float(rows.agg(F.max("prob")).first()[0] or 1.0)
     key = S.halo_order(F.col("np_join"), F.col("prob"), F.lit(top))
-    return rows.withColumn("key", key).orderBy(F.desc("key"), "h"), rooted
+    return rows.withColumn("key", key).orderBy(F.desc("key"), "h")
 
 
 def by_bound_mass(halos: DataFrame) -> DataFrame:
