@@ -104,6 +104,10 @@ def _contract(nodes: pa.Table, halo: pa.Table) -> pa.Table:
     return pa.concat_tables([pa.table([pa.array(ids), pa.array(label), pa.array(border), *(nodes[c].cast(pa.float64()).combine_chunks() for c in names[3:])], names=names), pa.table(links, names=names)])
 
 
+def blocks_of(nodes: DataFrame, count: int) -> int:
+    return 1 + max(count // BLOCK_NODES, min(count // 4096, 2 * nodes.sparkSession.sparkContext.defaultParallelism))
+
+
 def watershed(nodes: DataFrame, length: float, blocks: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Members ``(id, root, zone, dens, vol, x, y, z)`` and saddles ``(h, h2, slv)`` of ``nodes (id, dens, vol, neighbours, x, y, z)``.
 
@@ -111,8 +115,7 @@ def watershed(nodes: DataFrame, length: float, blocks: int | None = None) -> tup
     symmetric edges, but only edges between blocks are ever rows.
     """
     if blocks is None:
-        count = nodes.count()
-        blocks = 1 + max(count // BLOCK_NODES, min(count // 4096, 2 * nodes.sparkSession.sparkContext.defaultParallelism))
+        blocks = blocks_of(nodes, nodes.count())
     own = nodes.select("id", "dens", "vol", "neighbours", "x", "y", "z")
     own = kept(own.repartitionByRange(blocks, curve(length)).withColumn("block", F.spark_partition_id()))
     crossing = own.select("block", "id", "dens", "neighbours").mapInArrow(_leaving, "block int, src long, d double, dst long")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,16 +14,41 @@ from latticeflow.operators import tessellation as T
 from latticeflow.operators.stage import kept
 
 
-@dataclass(frozen=True)
 class Hierarchy:
-    """Zones of a tessellation and how they merge."""
+    """Zones of a graph and how they merge; each part is made when it is first asked for.
 
-    nodes: DataFrame  # id, dens (as flooded), vol, is_edge
-    zoned: DataFrame  # id, root, zone
-    table: DataFrame  # h, core, core_dens, np, vol, edge
-    links: DataFrame
-    groups: DataFrame  # h, groups, leak, final_ratio
-    max_dens: float
+    ``members (id, root, zone, dens, vol, is_edge)``, with what else they carry; ``saddles`` as
+    :func:`graph.saddles` has them.
+    """
+
+    def __init__(self, members: DataFrame, saddles: DataFrame, tolerance: float = 1e30):
+        self.members, self._saddles, self._tolerance = members, saddles, tolerance
+
+    @property
+    def nodes(self) -> DataFrame:  # id, dens (as flooded), vol, is_edge
+        return self.members.select("id", "dens", "vol", "is_edge")
+
+    @property
+    def zoned(self) -> DataFrame:  # id, root, zone
+        return self.members.select("id", "root", "zone")
+
+    @cached_property
+    def table(self) -> DataFrame:  # h, core, core_dens, np, vol, edge
+        return kept(G.zone_sums(self.members, F.col("is_edge"), "vol").where(F.col("core_dens") < S.EDGE_DENSITY))
+
+    @cached_property
+    def links(self) -> DataFrame:
+        own = self.table.select("h")
+        links = self._saddles.where(F.col("slv") < S.EDGE_DENSITY)
+        return kept(links.join(own, "h", "left_semi").join(own.withColumnRenamed("h", "h2"), "h2", "left_semi"))
+
+    @cached_property
+    def max_dens(self) -> float:
+        return float(G.density_range(self.members).first()["max_dens"] or 0.0)
+
+    @cached_property
+    def groups(self) -> DataFrame:  # h, groups, leak, final_ratio
+        return kept(G.flood(self.table, self.links, self.max_dens, self._tolerance))
 
 
 def basins(nodes: DataFrame, edges: DataFrame, tolerance: float = 1e30) -> Hierarchy:
@@ -36,12 +61,13 @@ def basins(nodes: DataFrame, edges: DataFrame, tolerance: float = 1e30) -> Hiera
     nodes = kept(nodes.withColumn("dens", F.when(F.col("is_edge"), F.lit(S.EDGE_DENSITY)).otherwise(F.col("dens"))))
     valued = kept(G.with_values(edges, nodes))
     zoned = kept(G.zones(G.roots(G.jumpers(nodes, valued))))
-    table = kept(G.zone_table(nodes, zoned, F.col("is_edge"), "vol").where(F.col("core_dens") < S.EDGE_DENSITY))
-    links = kept(G.saddles(valued, zoned).where(F.col("slv") < S.EDGE_DENSITY))
-    links = links.join(table.select("h"), "h", "left_semi").join(table.select(F.col("h").alias("h2")), "h2", "left_semi")
-    top = float(G.density_range(nodes).first()["max_dens"] or 0.0)
-    groups = kept(G.flood(table, links, top, tolerance))
-    return Hierarchy(nodes, zoned, table, links, groups, top)
+    return Hierarchy(kept(nodes.join(zoned, "id")), G.saddles(valued, zoned), tolerance)
+
+
+def basins_of_lists(nodes: DataFrame, length: float, count: int, tolerance: float = 1e30) -> Hierarchy:
+    """:func:`basins` of about ``count`` ``nodes (id, dens, vol, neighbours, x, y, z)``, none at a border, block by block; members keep their places."""
+    members, saddles = B.watershed(nodes, length, B.blocks_of(nodes, count))
+    return Hierarchy(members.withColumn("is_edge", F.lit(False)), saddles, tolerance)
 
 
 def circumcentre(corner: list[tuple[Column, Column, Column]]) -> tuple[Column, Column, Column]:
@@ -99,6 +125,13 @@ def barycentres(voids: DataFrame, zoned: DataFrame, nodes: DataFrame, positions:
     return _centred(members, length, strip, clusters)
 
 
+def centres(tree: Hierarchy, length: float) -> DataFrame:
+    """:func:`barycentres` of all zones of a hierarchy whose members keep their places."""
+    inner = tree.members.where("not is_edge")
+    cores = inner.where("id = root").select(F.col("zone").alias("h"), *(F.col(c).alias(f"c{c}") for c in "xyz"))
+    return _centred(inner.select(F.col("zone").alias("h"), "dens", "vol", "x", "y", "z").join(cores, "h"), length)
+
+
 def _centred(members: DataFrame, length: float, strip: float | None = None, clusters: bool = False) -> DataFrame:
     """:func:`barycentres` of ``members (h, dens, vol, x, y, z, cx, cy, cz)``."""
     if strip is not None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latticeflow.fixtures import load
+from latticeflow.fixtures import lists, load
 from latticeflow.functions import healpix as H
 from latticeflow.functions import scalars as S
 from latticeflow.functions.cosmology import Cosmology
@@ -32,13 +32,8 @@ sd as (select a.zone as h, b.zone as h2, min(greatest(v.d, v.dn)) as slv from v
 tb as (select zn.zone as h, min(zn.root) as core, max(case when n.id = zn.root then n.dens end) as core_dens, count(*) as np, sum(n.dens/8) as vol from zn join fx_dens n on n.id = zn.id group by 1)"""
 
 
-def _nodes(spark: SparkSession, sf_dir: str, edges: DataFrame) -> DataFrame:
-    return load(spark, sf_dir, "fx_dens", edges).select("id", "dens", (F.col("dens") / 8).alias("vol"), F.lit(False).alias("is_edge"))
-
-
 def _tree(spark: SparkSession, sf_dir: str) -> P.Hierarchy:
-    edges = kept(load(spark, sf_dir, "fx_edges"))
-    return P.basins(_nodes(spark, sf_dir, edges), edges)
+    return P.basins_of_lists(lists(spark, sf_dir), LENGTH, load(spark, sf_dir, "fx_tracers_box").count())
 
 
 @query("fx_edges_radius_graph", "select src, dst from fx_edges")
@@ -150,7 +145,7 @@ def z10(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def z12(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _tree(spark, sf_dir)
-    return rounded(P.barycentres(t.table, t.zoned, t.nodes, load(spark, sf_dir, "fx_tracers_box"), LENGTH), "x", "y", "z", "mean")
+    return rounded(P.centres(t, LENGTH), "x", "y", "z", "mean")
 
 
 # ---- spectra -------------------------------------------------------------------------------------
@@ -510,9 +505,8 @@ def b5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("b1_halo_candidates")
 def b1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = kept(load(spark, sf_dir, "fx_edges"))
-    table, _ = halos.halo_table(load(spark, sf_dir, "fx_dens", edges).select("id", F.col("dens").alias("volume")), edges)
-    return rounded(table, "prob", "key")
+    t = _tree(spark, sf_dir)
+    return rounded(halos.candidates(t.table, t.groups), "prob", "key")
 
 
 # ---- hulls -----------------------------------------------------------------------------------------
